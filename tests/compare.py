@@ -1,0 +1,91 @@
+"""Run registered queries in Spark and their check SQL in DuckDB and compare the rows."""
+
+from __future__ import annotations
+
+import os
+import sys
+import time
+
+import duckdb
+import pandas as pd
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents "
+    "embeddings pages benchmark labels conversations"
+).split()
+
+
+def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    return con
+
+
+def canonical(frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame[sorted(frame.columns)].copy()
+    for name in frame.columns:
+        if str(frame[name].dtype).startswith(("datetime", "timestamp")):
+            frame[name] = frame[name].astype("datetime64[us]")
+        if frame[name].dtype == object:
+            frame[name] = frame[name].map(lambda v: None if v is None or v != v else str(v))
+    return frame.sort_values(list(frame.columns), na_position="first").reset_index(drop=True)
+
+
+def differences(found: pd.DataFrame, wanted: pd.DataFrame) -> list[str]:
+    if sorted(found.columns) != sorted(wanted.columns):
+        return [f"columns {sorted(found.columns)} != {sorted(wanted.columns)}"]
+    if len(found) != len(wanted):
+        return [f"{len(found)} rows != {len(wanted)}"]
+    found, wanted = canonical(found), canonical(wanted)
+    problems = []
+    for name in found.columns:
+        left, right = found[name], wanted[name]
+        if left.dtype.kind != right.dtype.kind and {left.dtype.kind, right.dtype.kind} != {"O", "M"}:
+            problems.append(f"{name}: {left.dtype} != {right.dtype}")
+        if left.dtype.kind == "M" or right.dtype.kind == "M":
+            left, right = pd.to_datetime(left), pd.to_datetime(right)
+        unequal = ~((left == right) | (left.isna() & right.isna()))
+        if unequal.any():
+            at = unequal.idxmax()
+            problems.append(f"{name}: {int(unequal.sum())} values differ, e.g. {left[at]!r} != {right[at]!r}")
+    return problems
+
+
+def main() -> None:
+    import __spark_entry__ as entry
+    from paceline.session import local_session
+
+    sf_dir = f"/root/testdata/sf{sys.argv[1]}"
+    chosen = sys.argv[2:] or list(entry.queries())
+    spark = local_session(8)
+    con = connect(sf_dir)
+    bad = 0
+    for name in chosen:
+        start = time.time()
+        try:
+            frame = entry.queries()[name](spark, sf_dir)
+            built = time.time() - start
+            found = frame.toPandas()
+            ran = time.time() - start - built
+            start = time.time()
+            sql = entry.oracle_sql().get(name)
+            if sql is None:
+                print(f"{name:28} rows={len(found)} no check  {built:.2f}+{ran:.2f}s", flush=True)
+                continue
+            problems = differences(found, con.execute(sql).df())
+        except Exception as problem:  # reported, not hidden
+            problems, built, ran, found = [repr(problem)[:600]], 0, 0, []
+        bad += bool(problems)
+        print(
+            f"{name:28} rows={len(found)} {'ok' if not problems else problems}"
+            f"  {built:.2f}+{ran:.2f}s check {time.time() - start:.2f}s",
+            flush=True,
+        )
+    print("failed:", bad)
+
+
+if __name__ == "__main__":
+    main()
