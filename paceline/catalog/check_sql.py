@@ -21,16 +21,16 @@ PROP = """prop AS (
 LINES = """lines AS (
   SELECT l_orderkey AS o_orderkey, count(*) AS n_lines,
          sum(cast(l_quantity AS bigint)) AS qty,
-         sum(cast(round(l_discount * 100) AS bigint)) AS disc,
-         sum(cast(round(l_discount * 100) AS bigint) * cast(round(l_discount * 100) AS bigint)) AS disc_sq,
-         sum(cast(round(l_tax * 100) AS bigint)) AS tax,
-         sum(cast(round(l_extendedprice * 100) AS bigint)) AS price,
+         sum(cast(floor(l_discount * 100 + 0.5) AS bigint)) AS disc,
+         sum(cast(floor(l_discount * 100 + 0.5) AS bigint) * cast(floor(l_discount * 100 + 0.5) AS bigint)) AS disc_sq,
+         sum(cast(floor(l_tax * 100 + 0.5) AS bigint)) AS tax,
+         sum(cast(floor(l_extendedprice * 100 + 0.5) AS bigint)) AS price,
          sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS returned
   FROM lineitem GROUP BY l_orderkey)"""
 
 FEAT = f"""feat0 AS (
   SELECT date, product, count(*) AS n_orders,
-         sum(cast(round(o_totalprice * 100) AS bigint)) AS total,
+         sum(cast(floor(o_totalprice * 100 + 0.5) AS bigint)) AS total,
          sum(n_lines) AS n_lines, sum(qty) AS qty, sum(disc) AS disc, sum(tax) AS tax,
          sum(price) AS price, sum(returned) AS returned
   FROM prop LEFT JOIN lines USING (o_orderkey) GROUP BY date, product),

@@ -229,7 +229,7 @@ def in_sample_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LONG = """amounts AS (SELECT l_orderkey AS key, l_suppkey AS ticker,
-    cast(sum(cast(round(l_extendedprice * 100) AS bigint)) AS bigint) AS amount FROM lineitem GROUP BY 1, 2),
+    cast(sum(cast(floor(l_extendedprice * 100 + 0.5) AS bigint)) AS bigint) AS amount FROM lineitem GROUP BY 1, 2),
 wts AS (SELECT key, ticker, amount, cast(amount AS double) / cast(sum(amount) OVER (PARTITION BY key) AS double) AS w FROM amounts)"""
 
 

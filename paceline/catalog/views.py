@@ -38,8 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def hundredths(name: str) -> Column:
-    """Two-decimal amounts as integers: their sums are exact in any order."""
-    return F.round(F.col(name) * 100).cast("bigint")
+    """Two-decimal amounts as integers: their sums are exact in any order.
+
+    `floor(x + 0.5)` stays in generated code; `round` goes through BigDecimal.
+    """
+    return F.floor(F.col(name) * 100 + 0.5)
 
 
 def short_digest(column: Column) -> Column:

@@ -30,26 +30,27 @@ SIGMA_SQ = 0.16
 JITTER = 1e-6
 
 PAIRS = linalg.upper(K)
+MEANS = [f"mean_{i}" for i in range(K)]
+STDS = [f"std_{i}" for i in range(K)]
 
-
-def _sums(centred: str = "d") -> list[Column]:
-    """The 44 sums of a moment row over condensed rows with centred features d_i."""
-    d = [f"{centred}_{i}" for i in range(K)]
-    return [
-        F.expr("sum(n)").alias("n"),
-        F.expr("sum(score_sum)").alias("score_sum"),
-        *[F.expr(f"sum(n * {d[i]})").alias(f"s_{i}") for i in range(K)],
-        *[F.expr(f"sum(score_sum * {d[i]})").alias(f"t_{i}") for i in range(K)],
-        *[F.expr(f"sum(n * {d[i]} * {d[j]})").alias(f"c_{i}_{j}") for i, j in PAIRS],
-    ]
+# Name and expression of the 44 sums of a moment row, over condensed rows with
+# centred features d_i. Wide lists are written as expression text: one call
+# into the JVM instead of one per operator.
+SUMS = {
+    "n": "sum(n)",
+    "score_sum": "sum(score_sum)",
+    **{f"s_{i}": f"sum(n * d_{i})" for i in range(K)},
+    **{f"t_{i}": f"sum(score_sum * d_{i})" for i in range(K)},
+    **{f"c_{i}_{j}": f"sum(n * d_{i} * d_{j})" for i, j in PAIRS},
+}
+MOMENTS = list(SUMS)
 
 
-MOMENTS = (
-    ["n", "score_sum"]
-    + [f"s_{i}" for i in range(K)]
-    + [f"t_{i}" for i in range(K)]
-    + [f"c_{i}_{j}" for i, j in PAIRS]
-)
+def sum_by(rows: DataFrame, keys: Sequence[str | Column], sums: dict[str, str]) -> DataFrame:
+    """Grouped aggregation of many named expressions."""
+    packed = ", ".join(f"{expression} AS {name}" for name, expression in sums.items())
+    names = [k for k in keys if isinstance(k, str)]
+    return rows.groupBy(*keys).agg(F.expr(f"struct({packed})").alias("sums")).select(*names, "sums.*")
 
 
 def centre(rows: DataFrame) -> DataFrame:
@@ -58,86 +59,54 @@ def centre(rows: DataFrame) -> DataFrame:
     Centring before squaring keeps the digits that sums of raw squares lose. The
     window holds one product's calendar: days × families × evaluation lags.
     """
-    product = Window.partitionBy("product")
-    means = [
-        (F.sum(F.col("n") * F.col(f)).over(product) / F.sum("n").over(product)).alias(f"mean_{i}")
-        for i, f in enumerate(FEATURES)
-    ]
-    with_means = rows.select("*", *means)
-    return with_means.select(
-        "*", *[(F.col(f) - F.col(f"mean_{i}")).alias(f"d_{i}") for i, f in enumerate(FEATURES)]
-    )
+    own = "OVER (PARTITION BY product)"
+    means = [f"sum(n * `{f}`) {own} / sum(n) {own} AS mean_{i}" for i, f in enumerate(FEATURES)]
+    return _subtract_means(rows.selectExpr("*", *means))
 
 
-def scaler(rows: DataFrame) -> DataFrame:
-    """Mean and population deviation per product; a constant feature gets deviation 1."""
-    return (
-        centre(rows)
-        .groupBy("product")
-        .agg(
-            F.sum("n").alias("n_rows"),
-            *[F.first(f"mean_{i}").alias(f"mean_{i}") for i in range(K)],
-            *[
-                F.sqrt(F.expr(f"sum(n * d_{i} * d_{i}) / sum(n)")).alias(f"raw_{i}")
-                for i in range(K)
-            ],
-        )
-        .select(
-            "product",
-            "n_rows",
-            *[f"mean_{i}" for i in range(K)],
-            *[_guarded(F.col(f"raw_{i}")).alias(f"std_{i}") for i in range(K)],
-        )
-    )
+def _subtract_means(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr("*", *[f"`{f}` - mean_{i} AS d_{i}" for i, f in enumerate(FEATURES)])
+
 
+def guarded_std(std: str) -> str:
+    """A deviation that counts as zero becomes 1, so that constant features stay at zero."""
+    return f"if({std} < {NEAR_ZERO!r}D, 1D, {std})"
 
-def _guarded(std: Column) -> Column:
-    return F.when(std < NEAR_ZERO, F.lit(1.0)).otherwise(std)
+
+def scaler(rows: DataFrame) -> DataFrame:
+    """Mean and population deviation per product; a constant feature gets deviation 1."""
+    sums = {"n_rows": "sum(n)", **{m: f"first({m})" for m in MEANS}}
+    for i in range(K):
+        sums[f"std_{i}"] = guarded_std(f"sqrt(sum(n * d_{i} * d_{i}) / sum(n))")
+    return sum_by(centre(rows), ["product"], sums)
 
 
 def moments(rows: DataFrame) -> DataFrame:
     """Moment rows per (product, family) with the product's own scaler."""
-    per_arm = (
-        centre(rows)
-        .groupBy("product", "family")
-        .agg(*_sums(), *[F.first(f"mean_{i}").alias(f"mean_{i}") for i in range(K)])
-    )
-    arms = Window.partitionBy("product")  # one row per family
-    return per_arm.select(
-        "*",
-        *[
-            _guarded(F.sqrt(F.sum(f"c_{i}_{i}").over(arms) / F.sum("n").over(arms))).alias(f"std_{i}")
-            for i in range(K)
-        ],
+    per_arm = sum_by(
+        centre(rows), ["product", "family"], {**SUMS, **{m: f"first({m})" for m in MEANS}}
     )
+    own = "OVER (PARTITION BY product)"  # one row per family
+    spread = [guarded_std(f"sqrt(sum(c_{i}_{i}) {own} / sum(n) {own})") for i in range(K)]
+    return per_arm.selectExpr("*", *[f"{e} AS std_{i}" for i, e in enumerate(spread)])
 
 
 def moments_with_scaler(rows: DataFrame, scalers: DataFrame) -> DataFrame:
     """Moment rows under a given scaler: product, mean_i, std_i; one row per product."""
-    given = scalers.select(
-        "product",
-        *[f"mean_{i}" for i in range(K)],
-        *[_guarded(F.col(f"std_{i}")).alias(f"std_{i}") for i in range(K)],
+    given = scalers.selectExpr(
+        "product", *MEANS, *[f"{guarded_std(s)} AS {s}" for s in STDS]
     )
-    shifted = rows.join(given, "product").select(
-        "*", *[(F.col(f) - F.col(f"mean_{i}")).alias(f"d_{i}") for i, f in enumerate(FEATURES)]
-    )
-    return shifted.groupBy("product", "family").agg(
-        *_sums(),
-        *[F.first(f"mean_{i}").alias(f"mean_{i}") for i in range(K)],
-        *[F.first(f"std_{i}").alias(f"std_{i}") for i in range(K)],
+    firsts = {c: f"first({c})" for c in MEANS + STDS}
+    return sum_by(
+        _subtract_means(rows.join(given, "product")), ["product", "family"], {**SUMS, **firsts}
     )
 
 
 def standardised_rows(rows: DataFrame, scalers: DataFrame) -> DataFrame:
     """Feature columns as (x - mean) / std after an intercept column z_0 = 1."""
-    return rows.join(scalers, "product").select(
-        *rows.columns,
-        F.lit(1.0).alias("z_0"),
-        *[
-            ((F.col(f) - F.col(f"mean_{i}")) / F.col(f"std_{i}")).alias(f"z_{i + 1}")
-            for i, f in enumerate(FEATURES)
-        ],
+    scaled = [f"(`{f}` - mean_{i}) / std_{i} AS z_{i + 1}" for i, f in enumerate(FEATURES)]
+    return rows.join(scalers, "product").selectExpr(
+        *[f"`{c}`" for c in rows.columns], "1D AS z_0", *scaled
     )
 
 
@@ -161,15 +130,13 @@ def with_prior_arms(
 
     Arms without rows have zero moments and still use the scaler of their product.
     """
-    arms = contexts.withColumn("family", F.explode(F.array(*[F.lit(f) for f in families])))
+    arms = contexts.withColumn("family", F.explode(F.lit(list(families))))
     known = moment_rows.where(F.col("family").isin(list(families)))
-    joined = arms.join(known, ["product", "family"], "left")
-    own = Window.partitionBy("date", "product")  # one row per family
-    scalers = [f"mean_{i}" for i in range(K)] + [f"std_{i}" for i in range(K)]
-    return joined.select(
-        *arms.columns,
-        *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in MOMENTS],
-        *[F.max(c).over(own).alias(c) for c in scalers],
+    own = "OVER (PARTITION BY date, product)"  # one row per family
+    return arms.join(known, ["product", "family"], "left").selectExpr(
+        *[f"`{c}`" for c in arms.columns],
+        *[f"coalesce({c}, 0) AS {c}" for c in MOMENTS],
+        *[f"max({c}) {own} AS {c}" for c in MEANS + STDS],
     )
 
 
@@ -244,11 +211,8 @@ def predict(
     A product without history has no scaler; today's values then stand in as
     mean with deviation 1, which leaves the intercept alone.
     """
-    context = [F.lit(1.0)] + [
-        F.coalesce((F.col(f) - F.col(f"mean_{i}")) / F.col(f"std_{i}"), F.lit(0.0))
-        for i, f in enumerate(FEATURES)
-    ]
-    placed = arms.withColumn("x", F.array(*context))
+    scaled = [f"coalesce((`{f}` - mean_{i}) / std_{i}, 0D)" for i, f in enumerate(FEATURES)]
+    placed = arms.withColumn("x", F.expr(f"array(1D, {', '.join(scaled)})"))
     solved = _solved(placed, [*keys, "x"], alpha, sigma_sq, ["x[{}]"])
     mean = dot(F.col("x"), linalg.side(F.col("solved"), DIM, 0))
     variance = dot(F.col("x"), linalg.side(F.col("solved"), DIM, 1))

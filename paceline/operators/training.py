@@ -127,8 +127,9 @@ def condense(training: DataFrame) -> DataFrame:
 
 
 def usable_features(features: DataFrame, *more: str) -> DataFrame:
-    """Key and features of the rows without a null or NaN feature."""
-    complete = F.lit(True)
-    for name in FEATURES:
-        complete = complete & F.col(name).isNotNull() & ~F.isnan(name)
+    """Key and features of the rows without a null key or a null or NaN feature."""
+    complete = " AND ".join(
+        [f"{k} IS NOT NULL" for k in DAY_KEY]
+        + [f"`{f}` IS NOT NULL AND NOT isnan(`{f}`)" for f in FEATURES]
+    )
     return features.where(complete).select(*DAY_KEY, *FEATURES, *more)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paceline.functions.score import NEAR_ZERO
@@ -14,11 +14,12 @@ from paceline.operators.arms import (
     MOMENTS,
     PAIRS,
     SIGMA_SQ,
-    _sums,
+    SUMS,
     centre,
     draw,
     predict,
     select_slots,
+    sum_by,
 )
 from paceline.operators.training import arm_days, usable_features
 from paceline.schemas import FAMILIES, FEATURES
@@ -35,46 +36,45 @@ def running_moments(rows: DataFrame, contexts: DataFrame, families: Sequence[str
     sums are centred on one fixed shift per product; it cancels exactly, so no
     later day leaks into an earlier one.
     """
-    shifts = [f"shift_{i}" for i in range(K)]
-    daily = (
-        centre(rows.where(F.col("family").isin(list(families))))
-        .groupBy("product", "family", F.col("eval_date").alias("date"))
-        .agg(*_sums(), *[F.max(f"mean_{i}").alias(f"shift_{i}") for i in range(K)])
+    shifts = {f"shift_{i}": f"max(mean_{i})" for i in range(K)}
+    centred = centre(rows.where(F.col("family").isin(list(families))))
+    daily = sum_by(
+        centred.withColumn("date", F.col("eval_date")),
+        ["product", "family", "date"],
+        {**SUMS, **shifts},
     )
     spine = contexts.select(
         "product",
-        F.explode(F.array(*[F.lit(f) for f in families])).alias("family"),
+        F.explode(F.lit(list(families))).alias("family"),
         "date",
         *FEATURES,
         F.lit(True).alias("decides"),
     )
     sofar = (
-        Window.partitionBy("product", "family")
-        .orderBy("date")
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        "OVER (PARTITION BY product, family ORDER BY date "
+        "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     )
-    stacked = spine.unionByName(daily, allowMissingColumns=True)
-    running = stacked.select(
+    running = spine.unionByName(daily, allowMissingColumns=True).selectExpr(
         "date",
         "product",
         "family",
         "decides",
         *FEATURES,
-        *[F.coalesce(F.sum(c).over(sofar), F.lit(0)).alias(c) for c in MOMENTS],
-        *[F.max(c).over(sofar).alias(c) for c in shifts],
-    ).where("decides")
-    return _rescale(running.drop("decides"))
+        *[f"coalesce(sum({c}) {sofar}, 0) AS {c}" for c in MOMENTS],
+        *[f"max({c}) {sofar} AS {c}" for c in shifts],
+    )
+    return _rescale(running.where("decides"))
 
 
 def _rescale(running: DataFrame) -> DataFrame:
     """Move the centre from the shift to each date's own product mean, and add its deviation."""
-    arms = Window.partitionBy("date", "product")  # one row per family
-    total = F.sum("n").over(arms)
-    with_means = running.select(
+    own = "OVER (PARTITION BY date, product)"  # one row per family
+    total = f"nullif(sum(n) {own}, 0)"
+    with_means = running.selectExpr(
         "*",
-        *[(F.sum(f"s_{i}").over(arms) / _or_null(total)).alias(f"m_{i}") for i in range(K)],
-        *[(F.sum(f"c_{i}_{i}").over(arms) / _or_null(total)).alias(f"q_{i}") for i in range(K)],
-        *[F.max(f"shift_{i}").over(arms).alias(f"base_{i}") for i in range(K)],
+        *[f"sum(s_{i}) {own} / {total} AS m_{i}" for i in range(K)],
+        *[f"sum(c_{i}_{i}) {own} / {total} AS q_{i}" for i in range(K)],
+        *[f"max(shift_{i}) {own} AS base_{i}" for i in range(K)],
     )
     cells = ["n", "score_sum"]
     cells += [f"s_{i} - n * coalesce(m_{i}, 0D) AS s_{i}" for i in range(K)]
@@ -89,12 +89,7 @@ def _rescale(running: DataFrame) -> DataFrame:
         variance = f"(q_{i} - m_{i} * m_{i})"
         tiny = f"{variance} <= {RELATIVE_ZERO!r}D * q_{i} OR {variance} < {NEAR_ZERO**2!r}D"
         scale.append(f"if({tiny}, 1D, sqrt({variance})) AS std_{i}")
-    quoted = [f"`{f}`" for f in FEATURES]
-    return with_means.selectExpr("date", "product", "family", *quoted, *cells, *scale)
-
-
-def _or_null(total: Column) -> Column:
-    return F.when(total > 0, total)
+    return with_means.selectExpr("date", "product", "family", *FEATURES, *cells, *scale)
 
 
 def predictions(
