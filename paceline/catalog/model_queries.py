@@ -46,6 +46,11 @@ def placed_arms(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _entries(array: str, names: list[str]) -> list[str]:
+    """Array entries as rounded columns."""
+    return [f"round({array}[{i}], 6) + 0D AS {name}" for i, name in enumerate(names)]
+
+
 VIEWS = [C.PROP, C.LINES, C.FEAT, C.OUTC]
 TRAIN = [*VIEWS, C.training(AS_OF)]
 FIT = [*TRAIN, C.scaler(), C.standardised(), C.gram()]
@@ -70,7 +75,12 @@ def arm_counts(spark: SparkSession, sf: str) -> DataFrame:
     + f"SELECT product, n_rows, {', '.join(sql_rounded(c, c, 7) for c in SIDES)} FROM scal"
 )
 def scaler_stats(spark: SparkSession, sf: str) -> DataFrame:
-    stats = arms.scaler(history(spark, sf))
+    stats = arms.scaler(history(spark, sf)).selectExpr(
+        "product",
+        "n_rows",
+        *[f"means[{i + 1}] AS mean_{i}" for i in range(K)],
+        *[f"stds[{i + 1}] AS std_{i}" for i in range(K)],
+    )
     return stats.select("product", "n_rows", *[rounded(c, 7) for c in SIDES])
 
 
@@ -85,22 +95,21 @@ Z = [f"z_{i}" for i in range(DIM)]
 def standardized_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = history(spark, sf)
     scaled = arms.standardised_rows(rows, arms.scaler(rows))
-    return scaled.select(*ARM, "date", "n", *[rounded(c) for c in Z])
+    return scaled.selectExpr(*ARM, "date", "n", *_entries("z", Z))
 
 
-GRAM = [f"g_{i}_{j}" for i, j in linalg.upper(DIM)] + [f"h_{i}" for i in range(DIM)]
+GRAM = [f"g_{i}_{j}" for i, j in linalg.upper(DIM)]
+CROSS = [f"h_{i}" for i in range(DIM)]
 
 
-@query(C.with_(*FIT) + f"SELECT product, family, n, {', '.join(sql_rounded(c, c) for c in GRAM)} FROM gram")
+@query(C.with_(*FIT) + f"SELECT product, family, n, {', '.join(sql_rounded(c, c) for c in GRAM + CROSS)} FROM gram")
 def gram_stats(spark: SparkSession, sf: str) -> DataFrame:
-    cells = arms.gram(arms.moments(history(spark, sf)))
-    return cells.select(*ARM, "n", *[rounded(c) for c in GRAM])
+    cells = arms.standardised_moments(arms.moments(history(spark, sf)))
+    return cells.selectExpr(*ARM, "n", *_entries("gram", GRAM), *_entries("cross", CROSS))
 
 
 def _mu(solved: DataFrame) -> DataFrame:
-    return solved.select(
-        *ARM, "n", *[(F.round(F.col("mu")[i], 6) + F.lit(0.0)).alias(f"mu_{i}") for i in range(DIM)]
-    )
+    return solved.selectExpr(*ARM, "n", *_entries("mu", [f"mu_{i}" for i in range(DIM)]))
 
 
 MU = ", ".join(sql_rounded(f"m_{i}_{DIM}", f"mu_{i}") for i in range(DIM))
@@ -153,10 +162,10 @@ def posterior_given_scaler(spark: SparkSession, sf: str) -> DataFrame:
     """One scaler for all products, taken from every feature row."""
     features = views.features(spark, sf)
     pooled = features.agg(
-        *[F.avg(f).alias(f"mean_{i}") for i, f in enumerate(FEATURES)],
-        *[F.stddev_pop(f).alias(f"std_{i}") for i, f in enumerate(FEATURES)],
+        F.array(F.lit(0.0), *[F.avg(f) for f in FEATURES]).alias("means"),
+        F.array(F.lit(1.0), *[F.stddev_pop(f) for f in FEATURES]).alias("stds"),
     )
-    scalers = pooled.withColumn("product", F.explode(F.array(*[F.lit(s) for s in views.STATUSES])))
+    scalers = pooled.withColumn("product", F.explode(F.lit(views.STATUSES)))
     fitted = arms.moments_with_scaler(history(spark, sf), scalers)
     return _mu(arms.posterior(arms.with_prior_arms(today(spark, sf), fitted, views.PRIORITIES)))
 

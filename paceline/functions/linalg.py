@@ -1,61 +1,101 @@
-"""Small linear systems, one per row, as one array expression.
+"""Symmetric matrices and small linear systems in array columns, as expression text.
 
-A system is an array of rows; each row holds the matrix entries followed by any
-number of right-hand sides. Gauss-Jordan elimination without pivoting is enough
-for the positive definite matrices of a regression with a prior.
+A symmetric matrix is the array of its upper triangle, row by row. A system is
+an array of rows; each row holds the matrix entries followed by any number of
+right-hand sides. Element-wise work is written out as plain arithmetic, which
+Spark compiles; only the elimination itself is a higher-order function.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+# Stands for the unit vectors as right-hand sides.
+IDENTITY = "identity"
 
 
 def upper(dim: int) -> list[tuple[int, int]]:
-    """Index pairs of an upper triangle."""
+    """Index pairs of an upper triangle, in storage order."""
     return [(i, j) for i in range(dim) for j in range(i, dim)]
 
 
-def system(cell: str, dim: int, sides: Sequence[str]) -> Column:
-    """Array of rows from columns: `cell` names entry (i, j), i <= j; sides name entry i."""
+def diagonal_positions(dim: int) -> list[int]:
+    pairs = upper(dim)
+    return [pairs.index((i, i)) for i in range(dim)]
+
+
+def array(cells: Sequence[str]) -> str:
+    return f"array({', '.join(cells)})"
+
+
+def each(dim: int, body: str) -> str:
+    """An array of `body` for every index {i}."""
+    return array([body.format(i=i) for i in range(dim)])
+
+
+def each_pair(dim: int, body: str) -> str:
+    """A triangle of `body` for every index pair {i}, {j} at storage position {k}."""
+    return array([body.format(i=i, j=j, k=k) for k, (i, j) in enumerate(upper(dim))])
+
+
+def system(dim: int, triangle: str, sides: Sequence[str]) -> str:
+    """Rows of the full matrix with right-hand sides, each an array column or IDENTITY."""
+    pairs = upper(dim)
     rows = []
     for i in range(dim):
-        entries = [cell.format(min(i, j), max(i, j)) for j in range(dim)]
-        entries += [side.format(i) for side in sides]
-        rows.append(f"array({', '.join(entries)})")
-    return F.expr(f"array({', '.join(rows)})")
+        cells = [f"{triangle}[{pairs.index((min(i, j), max(i, j)))}]" for j in range(dim)]
+        for side in sides:
+            if side == IDENTITY:
+                cells += [f"{float(i == k)}D" for k in range(dim)]
+            else:
+                cells.append(f"{side}[{i}]")
+        rows.append(array(cells))
+    return array(rows)
 
 
-def unit_sides(dim: int) -> list[str]:
-    """Side patterns of the identity matrix, for use with `system`."""
-    return [f"double({{0}} = {k})" for k in range(dim)]
+def let(name: str, value: str, body: str) -> str:
+    """`body` with `name` bound to a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def solve(rows: Column, dim: int) -> Column:
-    """The rows after elimination: entry dim + k of row i is solution i of side k."""
+def solve(dim: int, rows: str) -> str:
+    """Gauss-Jordan elimination without pivoting, which positive definite matrices do not need.
 
-    def clear(current: Column, pivot: Column) -> Column:
-        pivot_row = current[pivot]
+    Entry dim + s of row i of the result is solution i of side s.
+    """
+    pivot_row = "transform(r, v -> v / r[p])"
+    other_row = let("f", "r[p] / m[p][p]", "zip_with(r, m[p], (v, w) -> v - f * w)")
+    step = f"transform(m, (r, i) -> if(i = p, {pivot_row}, {other_row}))"
+    return f"aggregate(sequence(0, {dim - 1}), {rows}, (m, p) -> {step})"
 
-        def reduce_row(row: Column, i: Column) -> Column:
-            scaled = F.transform(row, lambda v: v / row[pivot])
-            factor = row[pivot] / pivot_row[pivot]
-            reduced = F.zip_with(row, pivot_row, lambda v, p: v - factor * p)
-            return F.when(i == pivot, scaled).otherwise(reduced)
 
-        return F.transform(current, reduce_row)
+def forms(dim: int, rows: str) -> str:
+    """[x' A^-1 b, x' A^-1 x] of a system with sides b and x, in this order.
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(dim - 1)), rows, clear)
+    Elimination below the diagonal only: step by step the first row and column
+    fall away, and each pivot row adds its b * x / pivot and x * x / pivot. A
+    third of the work of `solve`.
+    """
+    pivot = "s.m[0][0]"
+    b, x = "element_at(s.m[0], -2)", "element_at(s.m[0], -1)"
+    reduced = let("f", "r[0] / q[0]", f"zip_with(slice(r, 2, {dim + 1}), t, (v, w) -> v - f * w)")
+    rest = f"transform(slice(s.m, 2, {dim}), r -> {reduced})"
+    rest = let("q", "s.m[0]", let("t", f"slice(q, 2, {dim + 1})", rest))
+    start = f"named_struct('m', {rows}, 'xb', 0D, 'xx', 0D)"
+    step = f"named_struct('m', {rest}, 'xb', s.xb + {x} * {b} / {pivot}, 'xx', s.xx + {x} * {x} / {pivot})"
+    return f"aggregate(sequence(1, {dim}), {start}, (s, p) -> {step}, s -> array(s.xb, s.xx))"
 
 
-def side(solved: Column, dim: int, k: int) -> Column:
-    """Solution vector of side k."""
-    return F.transform(solved, lambda row: row[dim + k])
+def side(dim: int, solved: str, s: int) -> str:
+    """Solution vector of side s, `solved` being a column."""
+    return array([f"{solved}[{i}][{dim + s}]" for i in range(dim)])
 
 
-def trace(solved: Column, dim: int, first: int) -> Column:
+def trace(dim: int, solved: str, first: int) -> str:
     """Trace of the inverse when sides first … first + dim - 1 are the identity."""
-    diagonal = F.transform(solved, lambda row, i: row[F.lit(dim + first) + i])
-    return F.aggregate(diagonal, F.lit(0.0), lambda total, v: total + v)
+    return " + ".join(f"{solved}[{i}][{dim + first + i}]" for i in range(dim))
+
+
+def dot(dim: int, left: str, right: str) -> str:
+    """Dot product of two array columns."""
+    return " + ".join(f"{left}[{i}] * {right}[{i}]" for i in range(dim))

@@ -4,68 +4,70 @@ All functions work on every product (and every date, where there is one) at
 once. History enters as condensed rows (`training.arm_days`), so everything
 here is bounded by calendar days × products × families, not by proposals.
 
-Columns of a moment row, per (product, family): `n`; s_i = sum of centred
-feature i; c_i_j = sum of products of centred features; `score_sum`; t_i = sum
-of centred feature × score; mean_i and std_i of the product's scaler.
+With d_0 = 1 and d_1 … d_7 the features less their mean, a moment row per
+(product, family) holds
+
+  n       number of scores
+  gram    upper triangle of sum d_i d_j   (36 entries, n first)
+  cross   sum d_i × score                 (8 entries)
+  means   0 and the seven feature means of the product
+  stds    1 and their seven deviations
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.functions import linalg
 from paceline.functions.draws import draw_key, keyed_normal
 from paceline.functions.score import NEAR_ZERO
-from paceline.functions.vectors import dot
 from paceline.schemas import FAMILIES, FEATURES
 
 K = len(FEATURES)
-DIM = K + 1  # an intercept comes first
+DIM = K + 1  # the intercept comes first
 # Prior strength, noise variance, and the ridge added to fitted arms.
 ALPHA = 1.0
 SIGMA_SQ = 0.16
 JITTER = 1e-6
 
-PAIRS = linalg.upper(K)
-MEANS = [f"mean_{i}" for i in range(K)]
-STDS = [f"std_{i}" for i in range(K)]
-
-# Name and expression of the 44 sums of a moment row, over condensed rows with
-# centred features d_i. Wide lists are written as expression text: one call
-# into the JVM instead of one per operator.
-SUMS = {
-    "n": "sum(n)",
-    "score_sum": "sum(score_sum)",
-    **{f"s_{i}": f"sum(n * d_{i})" for i in range(K)},
-    **{f"t_{i}": f"sum(score_sum * d_{i})" for i in range(K)},
-    **{f"c_{i}_{j}": f"sum(n * d_{i} * d_{j})" for i, j in PAIRS},
+PAIRS = linalg.upper(DIM)
+DIAGONAL = linalg.diagonal_positions(DIM)
+FEATURE_CELLS = ["1D", *[f"`{f}`" for f in FEATURES]]
+# Means that put a row's own features at zero.
+OWN_MEANS = linalg.array(["0D", *FEATURE_CELLS[1:]])
+
+GRAM = linalg.each_pair(DIM, "sum(n * d_{i} * d_{j})")
+CROSS = linalg.each(DIM, "sum(score_sum * d_{i})")
+# The sums of a moment row over condensed rows that carry means and d_i.
+SUMS = {"n": "sum(n)", "gram": GRAM, "cross": CROSS, "means": "first(means)"}
+NO_SUMS = {
+    "n": "0",
+    "gram": f"array_repeat(0D, {len(PAIRS)})",
+    "cross": f"array_repeat(0D, {DIM})",
 }
-MOMENTS = list(SUMS)
 
 
-def sum_by(rows: DataFrame, keys: Sequence[str | Column], sums: dict[str, str]) -> DataFrame:
-    """Grouped aggregation of many named expressions."""
-    packed = ", ".join(f"{expression} AS {name}" for name, expression in sums.items())
-    names = [k for k in keys if isinstance(k, str)]
-    return rows.groupBy(*keys).agg(F.expr(f"struct({packed})").alias("sums")).select(*names, "sums.*")
+def sum_by(rows: DataFrame, keys: Sequence[str], sums: dict[str, str]) -> DataFrame:
+    """Grouped aggregation of named expression texts."""
+    return rows.groupBy(*keys).agg(*[F.expr(e).alias(name) for name, e in sums.items()])
 
 
 def centre(rows: DataFrame) -> DataFrame:
-    """Add mean_i per product and d_i = feature_i - mean_i.
+    """Add the product's feature means, and d_i.
 
     Centring before squaring keeps the digits that sums of raw squares lose. The
     window holds one product's calendar: days × families × evaluation lags.
     """
     own = "OVER (PARTITION BY product)"
-    means = [f"sum(n * `{f}`) {own} / sum(n) {own} AS mean_{i}" for i, f in enumerate(FEATURES)]
-    return _subtract_means(rows.selectExpr("*", *means))
+    cells = [f"sum(n * `{f}`) {own} / sum(n) {own}" for f in FEATURES]
+    return _less_means(rows.selectExpr("*", f"{linalg.array(['0D', *cells])} AS means"))
 
 
-def _subtract_means(rows: DataFrame) -> DataFrame:
-    return rows.selectExpr("*", *[f"`{f}` - mean_{i} AS d_{i}" for i, f in enumerate(FEATURES)])
+def _less_means(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr("*", *[f"{x} - means[{i}] AS d_{i}" for i, x in enumerate(FEATURE_CELLS)])
 
 
 def guarded_std(std: str) -> str:
@@ -74,53 +76,55 @@ def guarded_std(std: str) -> str:
 
 
 def scaler(rows: DataFrame) -> DataFrame:
-    """Mean and population deviation per product; a constant feature gets deviation 1."""
-    sums = {"n_rows": "sum(n)", **{m: f"first({m})" for m in MEANS}}
-    for i in range(K):
-        sums[f"std_{i}"] = guarded_std(f"sqrt(sum(n * d_{i} * d_{i}) / sum(n))")
+    """Means and population deviations per product; a constant feature gets deviation 1."""
+    cells = [guarded_std(f"sqrt(sum(n * d_{i} * d_{i}) / sum(n))") for i in range(1, DIM)]
+    sums = {"n_rows": "sum(n)", "means": "first(means)", "stds": linalg.array(["1D", *cells])}
     return sum_by(centre(rows), ["product"], sums)
 
 
 def moments(rows: DataFrame) -> DataFrame:
     """Moment rows per (product, family) with the product's own scaler."""
-    per_arm = sum_by(
-        centre(rows), ["product", "family"], {**SUMS, **{m: f"first({m})" for m in MEANS}}
-    )
     own = "OVER (PARTITION BY product)"  # one row per family
-    spread = [guarded_std(f"sqrt(sum(c_{i}_{i}) {own} / sum(n) {own})") for i in range(K)]
-    return per_arm.selectExpr("*", *[f"{e} AS std_{i}" for i, e in enumerate(spread)])
+    cells = [guarded_std(f"sqrt(sum(gram[{k}]) {own} / sum(n) {own})") for k in DIAGONAL[1:]]
+    per_arm = sum_by(centre(rows), ["product", "family"], SUMS)
+    return per_arm.selectExpr("*", f"{linalg.array(['1D', *cells])} AS stds")
 
 
 def moments_with_scaler(rows: DataFrame, scalers: DataFrame) -> DataFrame:
-    """Moment rows under a given scaler: product, mean_i, std_i; one row per product."""
+    """Moment rows under a given scaler: product, means, stds; one row per product."""
     given = scalers.selectExpr(
-        "product", *MEANS, *[f"{guarded_std(s)} AS {s}" for s in STDS]
+        "product", "means", f"transform(stds, s -> {guarded_std('s')}) AS stds"
     )
-    firsts = {c: f"first({c})" for c in MEANS + STDS}
     return sum_by(
-        _subtract_means(rows.join(given, "product")), ["product", "family"], {**SUMS, **firsts}
+        _less_means(rows.join(given, "product")),
+        ["product", "family"],
+        {**SUMS, "stds": "first(stds)"},
     )
 
 
+# The row's feature array, less means, over stds; the intercept stays 1.
+STANDARDISED = linalg.array([f"({x} - means[{i}]) / stds[{i}]" for i, x in enumerate(FEATURE_CELLS)])
+
+
 def standardised_rows(rows: DataFrame, scalers: DataFrame) -> DataFrame:
-    """Feature columns as (x - mean) / std after an intercept column z_0 = 1."""
-    scaled = [f"(`{f}` - mean_{i}) / std_{i} AS z_{i + 1}" for i, f in enumerate(FEATURES)]
-    return rows.join(scalers, "product").selectExpr(
-        *[f"`{c}`" for c in rows.columns], "1D AS z_0", *scaled
+    """Condensed rows with their standardised features as array `z`."""
+    return rows.join(scalers.select("product", "means", "stds"), "product").selectExpr(
+        "*", f"{STANDARDISED} AS z"
     )
 
 
-def _gram_cells() -> list[str]:
-    """Standardised Gram matrix g_i_j and moment vector h_i of a moment row, intercept first."""
-    cells = ["cast(n as double) AS g_0_0", "score_sum AS h_0"]
-    cells += [f"s_{i} / std_{i} AS g_0_{i + 1}" for i in range(K)]
-    cells += [f"c_{i}_{j} / (std_{i} * std_{j}) AS g_{i + 1}_{j + 1}" for i, j in PAIRS]
-    cells += [f"t_{i} / std_{i} AS h_{i + 1}" for i in range(K)]
-    return cells
+GRAM_CELL = "gram[{k}] / (stds[{i}] * stds[{j}])"
+CROSS_CELL = "cross[{i}] / stds[{i}]"
 
 
-def gram(moment_rows: DataFrame, keys: Sequence[str] = ("product", "family")) -> DataFrame:
-    return moment_rows.selectExpr(*keys, "n", *_gram_cells())
+def standardised_moments(moment_rows: DataFrame) -> DataFrame:
+    """Gram matrix (upper triangle) and moment vector of the standardised features."""
+    return moment_rows.withColumns(
+        {
+            "gram": F.expr(linalg.each_pair(DIM, GRAM_CELL)),
+            "cross": F.expr(linalg.each(DIM, CROSS_CELL)),
+        }
+    )
 
 
 def with_prior_arms(
@@ -128,48 +132,49 @@ def with_prior_arms(
 ) -> DataFrame:
     """Every family for every context row (date, product, features).
 
-    Arms without rows have zero moments and still use the scaler of their product.
+    Arms without rows have zero moments and still use the scaler of their
+    product; a product without any history has none, so today's features stand
+    in as means with deviation 1.
     """
     arms = contexts.withColumn("family", F.explode(F.lit(list(families))))
     known = moment_rows.where(F.col("family").isin(list(families)))
     own = "OVER (PARTITION BY date, product)"  # one row per family
     return arms.join(known, ["product", "family"], "left").selectExpr(
         *[f"`{c}`" for c in arms.columns],
-        *[f"coalesce({c}, 0) AS {c}" for c in MOMENTS],
-        *[f"max({c}) {own} AS {c}" for c in MEANS + STDS],
+        *[f"coalesce({c}, {nothing}) AS {c}" for c, nothing in NO_SUMS.items()],
+        f"coalesce(max(means) {own}, {OWN_MEANS}) AS means",
+        f"coalesce(max(stds) {own}, array_repeat(1D, {DIM})) AS stds",
     )
 
 
-def _posterior_cells(alpha: float, sigma_sq: float) -> list[str]:
-    """Posterior precision a_i_j and right-hand side b_i of gram cells."""
+def _system(
+    arms: DataFrame, keep: Sequence[str], alpha: float, sigma_sq: float, sides: Sequence[str]
+) -> tuple[DataFrame, str]:
+    """Posterior precision `lambda` and `b` per arm, and the system of both as text.
+
+    Arms that have seen no row keep the bare prior, without the jitter.
+    """
     noise = f"{float(sigma_sq)!r}D"
-    # Arms that have seen no row keep the bare prior.
     ridge = f"{float(alpha)!r}D + if(n > 0, {JITTER!r}D, 0D)"
-    cells = [
-        f"g_{i}_{j} / {noise}{' + ' + ridge if i == j else ''} AS a_{i}_{j}"
-        for i, j in linalg.upper(DIM)
+    precision = [
+        GRAM_CELL.format(i=i, j=j, k=k) + f" / {noise}" + (f" + {ridge}" if i == j else "")
+        for k, (i, j) in enumerate(PAIRS)
     ]
-    return cells + [f"h_{i} / {noise} AS b_{i}" for i in range(DIM)]
+    scaled = arms.selectExpr(
+        *keep,
+        "n",
+        f"{linalg.array(precision)} AS lambda",
+        f"{linalg.each(DIM, CROSS_CELL + ' / ' + noise)} AS b",
+    )
+    return scaled, linalg.system(DIM, "lambda", ["b", *sides])
 
 
 def _solved(
     arms: DataFrame, keep: Sequence[str], alpha: float, sigma_sq: float, sides: Sequence[str]
 ) -> DataFrame:
-    """Columns keep, n and the solved system; side 0 is the posterior mean.
-
-    A product without any history has no scaler, and its moments are zero.
-    """
-    split = [cell.split(" AS ") for cell in _gram_cells()]
-    gram_cells = [f"coalesce({cell}, 0D) AS {name}" for cell, name in split]
-    return (
-        arms.selectExpr(*keep, "n", *gram_cells)
-        .selectExpr(*keep, "n", *_posterior_cells(alpha, sigma_sq))
-        .select(
-            *keep,
-            "n",
-            linalg.solve(linalg.system("a_{}_{}", DIM, ["b_{}", *sides]), DIM).alias("solved"),
-        )
-    )
+    """Columns keep, n and the solved posterior system; side 0 is the posterior mean."""
+    scaled, rows = _system(arms, keep, alpha, sigma_sq, sides)
+    return scaled.selectExpr(*keep, "n", f"{linalg.solve(DIM, rows)} AS solved")
 
 
 def posterior(
@@ -180,7 +185,7 @@ def posterior(
 ) -> DataFrame:
     """Posterior mean of the weights per arm, intercept first, as array `mu`."""
     solved = _solved(arms, list(keys), alpha, sigma_sq, [])
-    return solved.select(*keys, "n", linalg.side(F.col("solved"), DIM, 0).alias("mu"))
+    return solved.selectExpr(*keys, "n", f"{linalg.side(DIM, 'solved', 0)} AS mu")
 
 
 def diagnostics(
@@ -190,13 +195,13 @@ def diagnostics(
     sigma_sq: float = SIGMA_SQ,
 ) -> DataFrame:
     """Per arm: observations, L2 norm of the posterior mean, trace of the covariance."""
-    solved = _solved(arms, list(keys), alpha, sigma_sq, linalg.unit_sides(DIM))
-    mu = linalg.side(F.col("solved"), DIM, 0)
-    return solved.select(
+    solved = _solved(arms, list(keys), alpha, sigma_sq, [linalg.IDENTITY])
+    with_mu = solved.selectExpr("*", f"{linalg.side(DIM, 'solved', 0)} AS mu")
+    return with_mu.selectExpr(
         *keys,
-        F.col("n").alias("n_obs"),
-        F.sqrt(dot(mu, mu)).alias("posterior_mean_norm"),
-        linalg.trace(F.col("solved"), DIM, 1).alias("posterior_trace"),
+        "n AS n_obs",
+        f"sqrt({linalg.dot(DIM, 'mu', 'mu')}) AS posterior_mean_norm",
+        f"{linalg.trace(DIM, 'solved', 1)} AS posterior_trace",
     )
 
 
@@ -206,21 +211,11 @@ def predict(
     alpha: float = ALPHA,
     sigma_sq: float = SIGMA_SQ,
 ) -> DataFrame:
-    """Predictive mean and deviation of each arm at the row's own feature values.
-
-    A product without history has no scaler; today's values then stand in as
-    mean with deviation 1, which leaves the intercept alone.
-    """
-    scaled = [f"coalesce((`{f}` - mean_{i}) / std_{i}, 0D)" for i, f in enumerate(FEATURES)]
-    placed = arms.withColumn("x", F.expr(f"array(1D, {', '.join(scaled)})"))
-    solved = _solved(placed, [*keys, "x"], alpha, sigma_sq, ["x[{}]"])
-    mean = dot(F.col("x"), linalg.side(F.col("solved"), DIM, 0))
-    variance = dot(F.col("x"), linalg.side(F.col("solved"), DIM, 1))
-    return solved.select(
-        *keys,
-        F.col("n").alias("n_obs"),
-        mean.alias("posterior_mean"),
-        F.sqrt(variance).alias("posterior_std"),
+    """Predictive mean and deviation of each arm at the row's own feature values."""
+    placed = arms.withColumn("x", F.expr(STANDARDISED))
+    scaled, rows = _system(placed, [*keys, "x"], alpha, sigma_sq, ["x"])
+    return scaled.selectExpr(*keys, "n", f"{linalg.forms(DIM, rows)} AS forms").selectExpr(
+        *keys, "n AS n_obs", "forms[0] AS posterior_mean", "sqrt(forms[1]) AS posterior_std"
     )
 
 

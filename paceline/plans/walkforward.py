@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paceline.functions import linalg
 from paceline.functions.score import NEAR_ZERO
 from paceline.operators.arms import (
     ALPHA,
-    K,
-    MOMENTS,
-    PAIRS,
+    DIAGONAL,
+    DIM,
+    OWN_MEANS,
     SIGMA_SQ,
     SUMS,
     centre,
@@ -36,12 +37,9 @@ def running_moments(rows: DataFrame, contexts: DataFrame, families: Sequence[str
     sums are centred on one fixed shift per product; it cancels exactly, so no
     later day leaks into an earlier one.
     """
-    shifts = {f"shift_{i}": f"max(mean_{i})" for i in range(K)}
     centred = centre(rows.where(F.col("family").isin(list(families))))
     daily = sum_by(
-        centred.withColumn("date", F.col("eval_date")),
-        ["product", "family", "date"],
-        {**SUMS, **shifts},
+        centred.withColumn("date", F.col("eval_date")), ["product", "family", "date"], SUMS
     )
     spine = contexts.select(
         "product",
@@ -54,42 +52,59 @@ def running_moments(rows: DataFrame, contexts: DataFrame, families: Sequence[str
         "OVER (PARTITION BY product, family ORDER BY date "
         "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     )
+    gram = linalg.each_pair(DIM, f"coalesce(sum(gram[{{k}}]) {sofar}, 0D)")
+    cross = linalg.each(DIM, f"coalesce(sum(cross[{{i}}]) {sofar}, 0D)")
     running = spine.unionByName(daily, allowMissingColumns=True).selectExpr(
         "date",
         "product",
         "family",
         "decides",
         *FEATURES,
-        *[f"coalesce(sum({c}) {sofar}, 0) AS {c}" for c in MOMENTS],
-        *[f"max({c}) {sofar} AS {c}" for c in shifts],
+        f"coalesce(sum(n) {sofar}, 0) AS n",
+        f"{gram} AS gram",
+        f"{cross} AS cross",
+        f"max(means) {sofar} AS shift",
     )
     return _rescale(running.where("decides"))
 
 
 def _rescale(running: DataFrame) -> DataFrame:
-    """Move the centre from the shift to each date's own product mean, and add its deviation."""
+    """Move the centre from the shift to each date's own product mean, and add its deviation.
+
+    With m the mean relative to the shift (m_0 = 0), sum d_i d_j about the mean is
+    gram_ij - m_i gram_0j - m_j gram_0i + n m_i m_j, for the intercept row as well.
+    Before the first outcome of a product there is no mean: m stays at 0 and the
+    date's own features stand in as means.
+    """
     own = "OVER (PARTITION BY date, product)"  # one row per family
-    total = f"nullif(sum(n) {own}, 0)"
+    share = f"{own} / nullif(sum(n) {own}, 0)"
+    mean = [f"coalesce(sum(gram[{i}]) {share}, 0D)" for i in range(1, DIM)]
+    square = [f"coalesce(sum(gram[{k}]) {share}, 0D)" for k in DIAGONAL[1:]]
     with_means = running.selectExpr(
         "*",
-        *[f"sum(s_{i}) {own} / {total} AS m_{i}" for i in range(K)],
-        *[f"sum(c_{i}_{i}) {own} / {total} AS q_{i}" for i in range(K)],
-        *[f"max(shift_{i}) {own} AS base_{i}" for i in range(K)],
+        f"{linalg.array(['0D', *mean])} AS m",
+        f"{linalg.array(['1D', *square])} AS q",
+        f"max(shift) {own} AS base",
+    )
+    # Row 0 of the triangle holds the sums, entry j at position j.
+    moved = "gram[{k}] - m[{i}] * gram[{j}] - m[{j}] * gram[{i}] + n * m[{i}] * m[{j}]"
+    about_base = linalg.each(DIM, "base[{i}] + m[{i}]")
+    spread = []
+    for i in range(DIM):
+        variance = f"(q[{i}] - m[{i}] * m[{i}])"
+        tiny = f"{variance} <= {RELATIVE_ZERO!r}D * q[{i}] OR {variance} < {NEAR_ZERO**2!r}D"
+        spread.append(f"if({tiny}, 1D, sqrt({variance}))")
+    return with_means.selectExpr(
+        "date",
+        "product",
+        "family",
+        *FEATURES,
+        "n",
+        f"{linalg.each_pair(DIM, moved)} AS gram",
+        f"{linalg.each(DIM, 'cross[{i}] - cross[0] * m[{i}]')} AS cross",
+        f"if(base IS NULL, {OWN_MEANS}, {about_base}) AS means",
+        f"{linalg.array(spread)} AS stds",
     )
-    cells = ["n", "score_sum"]
-    cells += [f"s_{i} - n * coalesce(m_{i}, 0D) AS s_{i}" for i in range(K)]
-    cells += [f"t_{i} - score_sum * coalesce(m_{i}, 0D) AS t_{i}" for i in range(K)]
-    cells += [
-        f"c_{i}_{j} - coalesce(m_{i}, 0D) * s_{j} - coalesce(m_{j}, 0D) * s_{i}"
-        f" + n * coalesce(m_{i} * m_{j}, 0D) AS c_{i}_{j}"
-        for i, j in PAIRS
-    ]
-    scale = [f"base_{i} + m_{i} AS mean_{i}" for i in range(K)]
-    for i in range(K):
-        variance = f"(q_{i} - m_{i} * m_{i})"
-        tiny = f"{variance} <= {RELATIVE_ZERO!r}D * q_{i} OR {variance} < {NEAR_ZERO**2!r}D"
-        scale.append(f"if({tiny}, 1D, sqrt({variance})) AS std_{i}")
-    return with_means.selectExpr("date", "product", "family", *FEATURES, *cells, *scale)
 
 
 def predictions(

@@ -27,6 +27,8 @@ def local_session(cores: int = 8, app: str = "paceline", **extra: str) -> SparkS
     settings = {
         **SETTINGS,
         "spark.driver.memory": "8g",
+        # Column call sites are kept for error messages only and slow plan building.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.shuffle.partitions": str(cores),
         **{key.replace("__", "."): value for key, value in extra.items()},
     }
