@@ -17,7 +17,8 @@ from paceline.operators.keyed import last_per_key, merge_rows
 from paceline.plans.daily import loggable_decisions
 from paceline.schemas import FEATURES, PROPOSAL_KEY
 from paceline.sources.matrices import SHARED, matrix_reference, orphans, width_violations
-from paceline.sources.tables import row_filter, with_month
+from paceline.session import scratch_path
+from paceline.sources.tables import TableStore, row_filter, with_month
 
 CUT = date(2000, 1, 1)
 FEATURE_LIST = ", ".join(FEATURES)
@@ -128,6 +129,38 @@ def upsert_keep_last(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    C.with_(C.PROP, C.LINES, C.FEAT)
+    + f"""SELECT date, product, vix_level + CASE WHEN date >= DATE '1999-05-17' THEN 100 ELSE 0 END AS vix_level,
+      {', '.join(FEATURES[1:])} FROM feat WHERE date >= DATE '1996-03-10'"""
+)
+def stored_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Features written as a table, later days replaced by a second write, read back pruned."""
+    store = TableStore(spark, scratch_path(spark, "stored_upsert"))
+    first = views.features(spark, sf)
+    store.write_features(first)
+    later = first.where(F.col("date") >= F.lit(date(1999, 5, 17)))
+    store.write_features(later.withColumn("vix_level", F.col("vix_level") + 100))
+    return store.read_features(date(1996, 3, 10)).drop(schemas.VERSION_COLUMN)
+
+
+@query(
+    C.with_(C.DEC)
+    + f"""SELECT {DECISION_COLUMNS} FROM (
+      SELECT *, row_number() OVER (PARTITION BY date, product, config_hash ORDER BY decided_at DESC) AS r FROM dec
+      WHERE product <> 'view') WHERE r = 1"""
+)
+def stored_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The decision log appended in two batches, then collapsed to the latest rows."""
+    store = TableStore(spark, scratch_path(spark, "stored_log"))
+    log = views.decisions(spark, sf).drop("event_id", "user_id")
+    early = F.col("date") < F.lit(date(2024, 1, 12))
+    store.append_decisions(log.where(early))
+    store.append_decisions(log.where(~early))
+    kinds = ["signup", "error", "click", "purchase"]
+    return _with_local_time(store.read_decisions_latest(products=kinds))
+
+
 @query(
     """SELECT cast(year(l_shipdate) AS integer) AS year, cast(month(l_shipdate) AS integer) AS month,
       count(*) AS n_rows, min(cast(l_shipdate AS date)) AS first_day, max(cast(l_shipdate AS date)) AS last_day

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from paceline import schemas
 
-SHOWN = 20
-
 
 def outside(column: str, allowed: Sequence[str]) -> Column:
     """True for values outside a domain; null is outside every domain."""
@@ -86,7 +84,7 @@ def require_clean(df: DataFrame, rules: Mapping[str, Column], table: str) -> Non
 
 def unmatched_decisions(decisions: DataFrame, proposals: DataFrame) -> DataFrame:
     """Decisions that name no stored proposal, with the reason."""
-    hashes = proposals.select(*schemas.PROPOSAL_KEY).distinct()
+    hashes = proposals.select(*schemas.PROPOSAL_KEY)
     days = proposals.select(*schemas.DAY_KEY).distinct().withColumn("_day_known", F.lit(True))
     return (
         decisions.join(hashes, schemas.PROPOSAL_KEY, "left_anti")

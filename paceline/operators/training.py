@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.schemas import DAY_KEY, FEATURES, PROPOSAL_KEY, VERSION_COLUMN
@@ -38,52 +38,52 @@ def pending_proposals(proposals: DataFrame, outcomes: DataFrame) -> DataFrame:
     return proposals.join(outcomes.select(*PROPOSAL_KEY), PROPOSAL_KEY, "left_anti")
 
 
-def latest_best(proposals: DataFrame) -> DataFrame:
-    """The newest `best` proposal per product; ties on the day go to the largest hash.
+def best_by_day(proposals: DataFrame) -> DataFrame:
+    """Per (date, product) with proposals, the largest hash among its `best` rows, or null.
 
-    The newest day per product is found on two columns; only rows of that day
-    are then read in full.
+    At most days × products rows.
     """
-    best = proposals.where(F.col("proposal_type") == "best")
-    newest = best.groupBy("product").agg(F.max("date").alias("date"))
-    return (
-        best.join(newest, DAY_KEY, "left_semi")
-        .groupBy(*DAY_KEY)
-        .agg(*_carried(best, F.col("config_hash"), DAY_KEY))
-    )
+    own = F.when(F.col("proposal_type") == "best", F.col("config_hash"))
+    return proposals.groupBy(*DAY_KEY).agg(F.max(own).alias("config_hash"))
 
 
-def _carried(df: DataFrame, order: Column, keys: list[str]) -> list[Column]:
-    return [F.max_by(c, order).alias(c) for c in df.columns if c not in keys]
-
+def latest_best(proposals: DataFrame) -> DataFrame:
+    """The newest `best` proposal per product; ties on the day go to the largest hash.
 
-def best_of_day(proposals: DataFrame, carry: list[str]) -> DataFrame:
-    """One `best` row per (date, product), the largest hash: at most days × products rows."""
-    best = proposals.where(F.col("proposal_type") == "best").select(*PROPOSAL_KEY, *carry)
-    return best.groupBy(*DAY_KEY).agg(*_carried(best, F.col("config_hash"), DAY_KEY))
+    The key is found on narrow columns; one row per product is then read in full.
+    """
+    best = best_by_day(proposals).where(F.col("config_hash").isNotNull())
+    newest = best.groupBy("product").agg(F.max(F.struct("date", "config_hash")).alias("newest"))
+    return proposals.join(newest.select("product", "newest.*"), PROPOSAL_KEY, "left_semi")
 
 
 def previous_best_by_day(proposals: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Per (date, product) with proposals, the best proposal strictly before that date.
 
     The window runs over one row per calendar day and product, never over the
-    proposals themselves.
+    proposals themselves; `carry` names columns to fetch from the earlier row.
     """
-    carry = carry or []
-    days = proposals.select(*DAY_KEY).distinct()
-    own = best_of_day(proposals, carry)
-    payload = F.struct(
+    own = F.struct("date", "config_hash")
+    earlier = Window.partitionBy("product").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    linked = (
+        best_by_day(proposals)
+        .withColumn("own", F.when(F.col("config_hash").isNotNull(), own))
+        .withColumn("previous", F.last("own", ignorenulls=True).over(earlier))
+        .select(
+            *DAY_KEY,
+            F.col("previous.date").alias("prev_date"),
+            F.col("previous.config_hash").alias("prev_config_hash"),
+        )
+    )
+    if not carry:
+        return linked
+    fetched = proposals.where(F.col("proposal_type") == "best").select(
+        "product",
         F.col("date").alias("prev_date"),
         F.col("config_hash").alias("prev_config_hash"),
         *[F.col(c).alias(f"prev_{c}") for c in carry],
     )
-    marked = own.select(*DAY_KEY, payload.alias("best"))
-    earlier = Window.partitionBy("product").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        days.join(marked, DAY_KEY, "left")
-        .withColumn("previous", F.last("best", ignorenulls=True).over(earlier))
-        .select(*DAY_KEY, "previous.*")
-    )
+    return linked.join(fetched, ["product", "prev_date", "prev_config_hash"], "left")
 
 
 def previous_best(proposals: DataFrame, carry: list[str] | None = None) -> DataFrame:

@@ -75,12 +75,9 @@ class MatrixStore:
         months = self.store._touched_months(fresh)
         if not months:
             return
-        kept = self.store.read(TABLE, *_span(months)).join(
-            fresh.select(*schemas.PROPOSAL_KEY).distinct(), schemas.PROPOSAL_KEY, "left_anti"
-        )
-        self.store._write(
-            _of_months(kept, months).unionByName(fresh), TABLE, "overwrite", schemas.KEYS[TABLE]
-        )
+        replaced = fresh.select(*schemas.PROPOSAL_KEY).distinct()
+        kept = self.store.read_months(TABLE, months).join(replaced, schemas.PROPOSAL_KEY, "left_anti")
+        self.store._write(kept.unionByName(fresh), TABLE, "overwrite", schemas.KEYS[TABLE])
 
     def read(self, day: date, product: str, config_hash: str) -> DataFrame:
         """The rows of one proposal's matrix in order of t; empty if there is none."""
@@ -100,9 +97,8 @@ class MatrixStore:
         months = self.store._touched_months(touched)
         if not months:
             return
-        span = _span(months)
-        stored = _of_months(self.store.read(TABLE, *span), months)
-        proposals = _of_months(self.store.read_proposals(*span).select(*schemas.PROPOSAL_KEY), months)
+        stored = self.store.read_months(TABLE, months)
+        proposals = self.store.read_months("proposals", months).select(*schemas.PROPOSAL_KEY)
         dead = orphans(stored, proposals, touched).select(*schemas.PROPOSAL_KEY).distinct()
         if dead.isEmpty():
             return
@@ -110,17 +106,3 @@ class MatrixStore:
             stored.join(dead, schemas.PROPOSAL_KEY, "left_anti"), TABLE, "overwrite", schemas.KEYS[TABLE]
         )
 
-
-def _span(months: list[tuple[int, int]]) -> tuple[date, date]:
-    """First day of the first month to the last day of the last one."""
-    from calendar import monthrange
-
-    (first_year, first_month), (last_year, last_month) = min(months), max(months)
-    return date(first_year, first_month, 1), date(
-        last_year, last_month, monthrange(last_year, last_month)[1]
-    )
-
-
-def _of_months(df: DataFrame, months: list[tuple[int, int]]) -> DataFrame:
-    numbers = [year * 12 + month for year, month in months]
-    return df.where((F.year("date") * 12 + F.month("date")).isin(numbers))

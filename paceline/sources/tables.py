@@ -91,6 +91,15 @@ class TableStore:
             row_filter(start_date, end_date, **members)
         )
 
+    def read_months(self, table: str, months: Sequence[tuple[int, int]]) -> DataFrame:
+        """The rows of some calendar months; no other folder is opened."""
+        stored = self._stored(table)
+        if stored is None:
+            return self.spark.createDataFrame([], schemas.schema(table))
+        numbers = [year * 12 + month for year, month in months]
+        touched = stored.where((F.col("year") * 12 + F.col("month")).isin(numbers))
+        return schemas.check_readable(touched, table)
+
     def read_features(self, start_date=None, end_date=None, products=None) -> DataFrame:
         return self.read("daily_features", start_date, end_date, product=products)
 
@@ -160,16 +169,11 @@ class TableStore:
         names = [f"_arrival_{i}" for i in range(len(sequence))]
         fresh = last_per_key(numbered, keys, names).drop(*names)
         fresh = schemas.conform(fresh, table)
-        months = self._touched_months(typed)
-        if not months:
-            return
-        stored = self._stored(table)
-        if stored is not None:
-            touched = F.lit(False)
-            for year, month in months:
-                touched = touched | ((F.col("year") == year) & (F.col("month") == month))
-            kept = schemas.check_readable(stored.where(touched), table)
-            fresh = merge_rows(kept, fresh, keys)
+        if self._stored(table) is not None:
+            months = self._touched_months(typed)
+            if not months:
+                return
+            fresh = merge_rows(self.read_months(table, months), fresh, keys)
         self._write(fresh, table, "overwrite", keys)
 
     def write_features(self, df: DataFrame, arrival=None) -> None:
