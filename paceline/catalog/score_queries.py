@@ -31,6 +31,22 @@ def config_hash(spark: SparkSession, sf: str) -> DataFrame:
     return parsed.select("event_id", "c.canonical", config_key(F.col("c.canonical")).alias("config_hash"))
 
 
+@query(
+    """SELECT CASE WHEN value > 20 THEN 'invalid JSON' ELSE 'number is not finite' END AS problem, count(*) AS n
+    FROM events WHERE value > 15 GROUP BY 1"""
+)
+def config_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """Planted faults: NaN members above one value, cut-off text above another."""
+    value = F.col("value")
+    planted = (
+        F.when(value > 20, F.expr("rtrim('}', props)"))
+        .when(value > 15, F.replace("props", F.lit("}"), F.lit(', "x": NaN}')))
+        .otherwise(F.col("props"))
+    )
+    parsed = views.table(spark, sf, "events").select(canonical_json(planted).alias("c"))
+    return parsed.where("c.problem IS NOT NULL").groupBy("c.problem").agg(F.count("*").alias("n"))
+
+
 def _sampled(spark: SparkSession, sf: str) -> DataFrame:
     slots = views.named_families(views.proposals(spark, sf)).withColumnRenamed("config_hash", "slot_key")
     return attempts.sample_configs(slots, config_grid(spark), SEED, ["date", "product", "slot_key"])
@@ -238,7 +254,7 @@ wts AS (SELECT key, ticker, amount, cast(amount AS double) / cast(sum(amount) OV
     + f"SELECT key, printf('S%02d', cast(ticker AS bigint)) AS ticker, {sql_rounded('w', 'w', 9)} FROM wts"
 )
 def normalized_weights(spark: SparkSession, sf: str) -> DataFrame:
-    weights = portfolio.normalise(views.long_weights(spark, sf), "key", "amount", "w")
+    weights = views.long_weights(spark, sf)
     return weights.select(
         "key", F.format_string("S%02d", "ticker").alias("ticker"), rounded("w", 9)
     )
@@ -260,11 +276,15 @@ LINKS = [
 
 
 def _turnover(spark: SparkSession, sf: str) -> DataFrame:
-    weights = portfolio.normalise(views.long_weights(spark, sf), "key", "amount", "w")
-    linked = training.previous_best(views.proposals(spark, sf), ["o_orderkey"]).select(
-        F.col("o_orderkey").alias("key"), F.col("prev_o_orderkey").alias("prev_key")
+    proposals = views.proposals(spark, sf)
+    by_day = training.previous_best_by_day(proposals, ["o_orderkey"]).withColumnRenamed(
+        "prev_o_orderkey", "prev_key"
+    )
+    links = proposals.join(by_day, ["date", "product"]).select(
+        F.col("o_orderkey").alias("key"), "prev_key"
     )
-    return portfolio.turnover(weights, linked)
+    earlier = views.long_weights(spark, sf, by_day.select(F.col("prev_key").alias("key")).distinct())
+    return portfolio.turnover(views.long_weights(spark, sf), links, earlier)
 
 
 @query(C.with_(*LINKS) + f"SELECT key, cast(prev_key AS varchar) AS prev_key, {sql_rounded('turnover', 'turnover', 8)} FROM turn")

@@ -11,6 +11,7 @@ from paceline import schemas
 from paceline.catalog import check_sql as C
 from paceline.catalog import views
 from paceline.catalog.registry import query, rounded, sql_rounded
+from paceline.functions.canonical import not_finite
 from paceline.functions.score import rule_violation
 from paceline.operators import quality, training
 from paceline.operators.keyed import last_per_key, merge_rows
@@ -224,6 +225,7 @@ def domain_violations(spark: SparkSession, sf: str) -> DataFrame:
     C.with_(C.PROP, C.LINES, C.OUTC)
     + """SELECT 'family: outside domain' AS rule, (SELECT count(*) FROM prop WHERE family NOT IN ('1-URGENT', '2-HIGH')) AS violations
     UNION ALL SELECT 'meta_score: null', (SELECT count(*) FROM prop LEFT JOIN outc USING (o_orderkey) WHERE meta_score IS NULL)
+    UNION ALL SELECT 'meta_score: not finite', (SELECT count(*) FROM outc WHERE NOT isfinite(meta_score))
     UNION ALL SELECT 'config_hash: null', 0"""
 )
 def rule_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -233,11 +235,27 @@ def rule_report(spark: SparkSession, sf: str) -> DataFrame:
     rules = {
         "family: outside domain": quality.outside("family", views.PRIORITIES[:2]),
         "meta_score: null": F.col("meta_score").isNull(),
+        "meta_score: not finite": not_finite(F.col("meta_score")),
         "config_hash: null": F.col("config_hash").isNull(),
     }
     return quality.rule_report(scored, rules)
 
 
+@query(
+    C.with_(C.PROP, C.LINES, C.FEAT)
+    + """SELECT rule, count(*) - count(f.product) AS violations
+    FROM prop p LEFT JOIN (SELECT * FROM feat WHERE date >= DATE '1996-01-01') f USING (date, product),
+      (VALUES """
+    + ", ".join(f"('{f}: null')" for f in FEATURES)
+    + """) r(rule) GROUP BY 1 UNION ALL VALUES ('date: null', 0), ('product: null', 0)"""
+)
+def null_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns declared as never null, on proposals whose features before 1996 are missing."""
+    late = views.features(spark, sf).where(row_filter(date(1996, 1, 1)))
+    joined = views.proposals(spark, sf).join(late, schemas.DAY_KEY, "left")
+    return quality.rule_report(joined, quality.null_rules("daily_features"))
+
+
 @query(
     """SELECT vec_id, cast(len(embedding) AS integer) AS n_weights, cast(60 + label AS integer) AS n_names
     FROM embeddings WHERE len(embedding) <> 60 + label"""

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from paceline.functions.score import guarded_ratio
 from paceline.functions.vectors import ticker_labels, to_simplex
+from paceline.operators.portfolio import normalise
 from paceline.schemas import FAMILIES, FEATURES
 
 # The order priorities stand in for the option families.
@@ -201,13 +202,17 @@ def risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def long_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(key, ticker, amount) per order and supplier, in hundredths."""
-    return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("key"), F.col("l_suppkey").alias("ticker"))
-        .agg(F.sum(hundredths("l_extendedprice")).alias("amount"))
+def long_weights(spark: SparkSession, sf_dir: str, keys: DataFrame | None = None) -> DataFrame:
+    """(key, ticker, w) per order and supplier, summing to 1 per order; all orders or some."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("key"),
+        F.col("l_suppkey").alias("ticker"),
+        hundredths("l_extendedprice").alias("amount"),
     )
+    if keys is not None:
+        lines = lines.join(keys, "key", "left_semi")
+    amounts = lines.groupBy("key", "ticker").agg(F.sum("amount").alias("amount"))
+    return normalise(amounts, "key", "amount", "w")
 
 
 def named_families(df: DataFrame) -> DataFrame:

@@ -151,21 +151,20 @@ def normalise(rows: DataFrame, key: str, value: str, out: str) -> DataFrame:
     return rows.join(totals, key).withColumn(out, F.col(value) / F.col("_total")).drop("_total")
 
 
-def turnover(weights: DataFrame, links: DataFrame) -> DataFrame:
+def turnover(weights: DataFrame, links: DataFrame, earlier: DataFrame) -> DataFrame:
     """L1 distance of long weights (key, ticker, w) to those of a linked earlier key.
 
-    `links` has one row per key with prev_key, null when there is none. Written
+    `links` has one row per key with prev_key, null when there is none; `earlier`
+    the long weights of the earlier keys, one basket per product and day. Written
     as  sum |w - p| - |p|  over the current tickers  +  sum |p|  over all earlier
     ones, which needs no full outer join and no more rows than `weights`.
     """
-    earlier = weights.join(
-        links.select(F.col("prev_key").alias("key")).distinct(), "key", "left_semi"
-    ).select(F.col("key").alias("prev_key"), "ticker", F.col("w").alias("p"))
-    mass = earlier.groupBy("prev_key").agg(F.sum(F.abs("p")).alias("mass"))
+    held = earlier.select(F.col("key").alias("prev_key"), "ticker", F.col("w").alias("p"))
+    mass = held.groupBy("prev_key").agg(F.sum(F.abs("p")).alias("mass"))
     p = F.coalesce(F.col("p"), F.lit(0.0))
     partial = (
         weights.join(links, "key")
-        .join(earlier, ["prev_key", "ticker"], "left")
+        .join(held, ["prev_key", "ticker"], "left")
         .groupBy("key", "prev_key")
         .agg(F.sum(F.abs(F.col("w") - p) - F.abs(p)).alias("moved"))
     )
