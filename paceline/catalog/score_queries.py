@@ -348,13 +348,13 @@ NAMED_ROWS = f"""rows_ AS (SELECT p.config_hash, {C.family_name('p.family')} AS
 
 @query(
     C.with_(C.PROP, C.LINES, C.FEAT, NAMED_ROWS)
-    + f"SELECT date, product, config_hash, {sql_rounded(EXPECTED, 'expected_score')} FROM rows_"
+    + f"SELECT date, product, config_hash, {EXPECTED} AS expected_score FROM rows_"
 )
 def linear_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Status P stays an unknown product, which takes scale 1 and offset 0."""
     joined = views.proposals(spark, sf).join(views.features(spark, sf), ["date", "product"])
     scored = views.named(joined).withColumn("expected_score", linear.expected_score())
-    return scored.select(*PROPOSAL_KEY, rounded("expected_score"))
+    return scored.select(*PROPOSAL_KEY, "expected_score")
 
 
 NOISE = C.normal(C.key_text(7, "date", "product", "config_hash"))

@@ -69,23 +69,6 @@ def solve(dim: int, rows: str) -> str:
     return f"aggregate(sequence(0, {dim - 1}), {rows}, (m, p) -> {step})"
 
 
-def forms(dim: int, rows: str) -> str:
-    """[x' A^-1 b, x' A^-1 x] of a system with sides b and x, in this order.
-
-    Elimination below the diagonal only: step by step the first row and column
-    fall away, and each pivot row adds its b * x / pivot and x * x / pivot. A
-    third of the work of `solve`.
-    """
-    pivot = "s.m[0][0]"
-    b, x = "element_at(s.m[0], -2)", "element_at(s.m[0], -1)"
-    reduced = let("f", "r[0] / q[0]", f"zip_with(slice(r, 2, {dim + 1}), t, (v, w) -> v - f * w)")
-    rest = f"transform(slice(s.m, 2, {dim}), r -> {reduced})"
-    rest = let("q", "s.m[0]", let("t", f"slice(q, 2, {dim + 1})", rest))
-    start = f"named_struct('m', {rows}, 'xb', 0D, 'xx', 0D)"
-    step = f"named_struct('m', {rest}, 'xb', s.xb + {x} * {b} / {pivot}, 'xx', s.xx + {x} * {x} / {pivot})"
-    return f"aggregate(sequence(1, {dim}), {start}, (s, p) -> {step}, s -> array(s.xb, s.xx))"
-
-
 def side(dim: int, solved: str, s: int) -> str:
     """Solution vector of side s, `solved` being a column."""
     return array([f"{solved}[{i}][{dim + s}]" for i in range(dim)])

@@ -147,10 +147,10 @@ def with_prior_arms(
     )
 
 
-def _system(
+def _solved(
     arms: DataFrame, keep: Sequence[str], alpha: float, sigma_sq: float, sides: Sequence[str]
-) -> tuple[DataFrame, str]:
-    """Posterior precision `lambda` and `b` per arm, and the system of both as text.
+) -> DataFrame:
+    """Columns keep, n and the solved posterior system; side 0 is the posterior mean.
 
     Arms that have seen no row keep the bare prior, without the jitter.
     """
@@ -166,14 +166,7 @@ def _system(
         f"{linalg.array(precision)} AS lambda",
         f"{linalg.each(DIM, CROSS_CELL + ' / ' + noise)} AS b",
     )
-    return scaled, linalg.system(DIM, "lambda", ["b", *sides])
-
-
-def _solved(
-    arms: DataFrame, keep: Sequence[str], alpha: float, sigma_sq: float, sides: Sequence[str]
-) -> DataFrame:
-    """Columns keep, n and the solved posterior system; side 0 is the posterior mean."""
-    scaled, rows = _system(arms, keep, alpha, sigma_sq, sides)
+    rows = linalg.system(DIM, "lambda", ["b", *sides])
     return scaled.selectExpr(*keep, "n", f"{linalg.solve(DIM, rows)} AS solved")
 
 
@@ -213,12 +206,20 @@ def predict(
 ) -> DataFrame:
     """Predictive mean and deviation of each arm at the row's own feature values."""
     placed = arms.withColumn("x", F.expr(STANDARDISED))
-    scaled, rows = _system(placed, [*keys, "x"], alpha, sigma_sq, ["x"])
-    return scaled.selectExpr(*keys, "n", f"{linalg.forms(DIM, rows)} AS forms").selectExpr(
-        *keys, "n AS n_obs", "forms[0] AS posterior_mean", "sqrt(forms[1]) AS posterior_std"
+    solved = _solved(placed, [*keys, "x"], alpha, sigma_sq, ["x"])
+    return solved.selectExpr(
+        *keys,
+        "n AS n_obs",
+        f"{_along_x(0)} AS posterior_mean",
+        f"sqrt({_along_x(1)}) AS posterior_std",
     )
 
 
+def _along_x(s: int) -> str:
+    """x times solution s of the solved system."""
+    return " + ".join(f"x[{i}] * solved[{i}][{DIM + s}]" for i in range(DIM))
+
+
 def draw(predicted: DataFrame, seed: object, keys: Sequence[str]) -> DataFrame:
     """One posterior draw per arm.
 

@@ -28,3 +28,14 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 def merge_rows(kept: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Old rows whose key is not replaced, followed by the new rows."""
     return kept.join(fresh.select(*keys), list(keys), "left_anti").unionByName(fresh)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by the keys over the cores at hand.
+
+    For few rows with much work each: by their size alone they would be put into
+    one task. Windows over the same keys need no further shuffle.
+    """
+    session = df.sparkSession
+    partitions = int(session.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(partitions, session.sparkContext.defaultParallelism), *keys)

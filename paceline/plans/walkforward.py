@@ -22,6 +22,7 @@ from paceline.operators.arms import (
     select_slots,
     sum_by,
 )
+from paceline.operators.keyed import spread
 from paceline.operators.training import arm_days, usable_features
 from paceline.schemas import FAMILIES, FEATURES
 
@@ -65,7 +66,7 @@ def running_moments(rows: DataFrame, contexts: DataFrame, families: Sequence[str
         f"{cross} AS cross",
         f"max(means) {sofar} AS shift",
     )
-    return _rescale(running.where("decides"))
+    return _rescale(spread(running.where("decides"), "date", "product"))
 
 
 def _rescale(running: DataFrame) -> DataFrame:

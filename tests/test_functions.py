@@ -164,15 +164,17 @@ def test_systems_against_numpy(spark):
         inverse = np.linalg.inv(a)
         wanted.append((inverse @ b, np.trace(inverse), x @ inverse @ b, x @ inverse @ x))
     df = spark.createDataFrame(rows, "a array<double>, b array<double>, x array<double>").coalesce(1)
-    full = linalg.system(dim, "a", ["b", linalg.IDENTITY])
+    full = linalg.system(dim, "a", ["b", "x", linalg.IDENTITY])
     solved = df.selectExpr("*", f"{linalg.solve(dim, full)} AS s").selectExpr(
+        "x",
         f"{linalg.side(dim, 's', 0)} AS mu",
-        f"{linalg.trace(dim, 's', 1)} AS t",
-        f"{linalg.forms(dim, linalg.system(dim, 'a', ['b', 'x']))} AS f",
+        f"{linalg.side(dim, 's', 1)} AS v",
+        f"{linalg.trace(dim, 's', 2)} AS t",
     )
-    for got, (mu, t, xb, xx) in zip(solved.collect(), wanted):
+    forms = solved.selectExpr("*", f"{linalg.dot(dim, 'x', 'mu')} AS xb", f"{linalg.dot(dim, 'x', 'v')} AS xx")
+    for got, (mu, t, xb, xx) in zip(forms.collect(), wanted):
         np.testing.assert_allclose(got["mu"], mu, rtol=1e-9)
-        np.testing.assert_allclose([got["t"], *got["f"]], [t, xb, xx], rtol=1e-9)
+        np.testing.assert_allclose([got["t"], got["xb"], got["xx"]], [t, xb, xx], rtol=1e-9)
 
 
 def test_labels_and_simplex(spark):
