@@ -14,7 +14,7 @@ from paceline.functions.score import ScoreRule, score_columns
 from paceline.functions.vectors import dot
 from paceline.operators import arms, attempts, linear, portfolio, training
 from paceline.plans.daily import fan_out
-from paceline.schemas import FAMILIES, FEATURES, PROPOSAL_KEY
+from paceline.schemas import FAMILIES, FEATURES, PRODUCTS, PROPOSAL_KEY
 from paceline.sources.grid import config_grid
 
 NAMED = f"named AS (SELECT * REPLACE ({C.family_name()} AS family, {C.product_name()} AS product) FROM prop)"
@@ -131,16 +131,17 @@ def slot_labels(spark: SparkSession, sf: str) -> DataFrame:
     return labelled.select(*PROPOSAL_KEY, "family", "label")
 
 
+MAXIMA = ", ".join(f"max({f}) AS {f}" for f in FEATURES)
+
+
 @query(
-    C.with_(C.PROP, C.LINES, C.FEAT, "market AS (SELECT * FROM feat WHERE product = 'F')")
+    C.with_(C.PROP, C.LINES, C.FEAT, f"market AS (SELECT date, {MAXIMA} FROM feat GROUP BY date)")
     + f"""SELECT market.date, p.product, {', '.join('market.' + f for f in FEATURES)}
     FROM market, (VALUES ('corridor_var'), ('dngamma'), ('gamma'), ('var'), ('vol')) p(product)"""
 )
 def feature_fanout(spark: SparkSession, sf: str) -> DataFrame:
-    """The F rows serve as one market row per date."""
-    from paceline.schemas import PRODUCTS
-
-    market = views.features(spark, sf).where(F.col("product") == "F").drop("product")
+    """The largest figures of each date serve as its market row."""
+    market = views.features(spark, sf).groupBy("date").agg(*[F.max(f).alias(f) for f in FEATURES])
     return fan_out(market, PRODUCTS).select("date", "product", *FEATURES)
 
 
