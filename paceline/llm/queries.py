@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paceline.llm.binary_records import op6_binary_records
 from paceline.llm.packing import op1_best_fit_packing
+from paceline.llm.simhash import op2_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_simhash_near_dedup,
         op6_binary_records,
     )
 }
