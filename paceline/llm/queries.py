@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paceline.llm.binary_records import op6_binary_records
 from paceline.llm.decontamination import op5_benchmark_decontamination
+from paceline.llm.language_id import op4_language_id
 from paceline.llm.packing import op1_best_fit_packing
 from paceline.llm.simhash import op2_simhash_near_dedup
 
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_best_fit_packing,
         op2_simhash_near_dedup,
+        op4_language_id,
         op5_benchmark_decontamination,
         op6_binary_records,
     )
