@@ -10,16 +10,20 @@ from paceline.llm.binary_records import op6_binary_records
 from paceline.llm.decontamination import op5_benchmark_decontamination
 from paceline.llm.language_id import op4_language_id
 from paceline.llm.packing import op1_best_fit_packing
+from paceline.llm.prefix_hashes import op9_prefix_fingerprints
 from paceline.llm.simhash import op2_simhash_near_dedup
+from paceline.llm.warc import CHECK_OP3, op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
         op2_simhash_near_dedup,
+        op3_warc,
         op4_language_id,
         op5_benchmark_decontamination,
         op6_binary_records,
+        op9_prefix_fingerprints,
     )
 }
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {"op3_warc": CHECK_OP3}
