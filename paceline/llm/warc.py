@@ -188,6 +188,8 @@ def parsed(data: bytes) -> dict:
     if not data.startswith(VERSIONS):
         raise Damaged("no version line")
     head, _, rest = data.partition(END)
+    if any(x in head[len(VERSION) :] + b"\r\n" for x in VERSIONS):
+        raise Damaged("version line inside a header")
     found = headers(head)
     length = found.get("content-length", "")
     if not length.isdigit() or len(rest) != int(length) + len(END) or not rest.endswith(END):
