@@ -87,8 +87,8 @@ class Encoder:
         plain = pa.array(["" if i in odd else x for i, x in enumerate(texts)], pa.large_string())
         cut = pc.split_pattern(plain, " ") if self.keeps_spaces else pc.utf8_split_whitespace(plain)
         coded = cut.values.dictionary_encode()
-        start, place = cut.offsets.to_pylist(), coded.indices.to_pylist()
-        names, ids = coded.dictionary.to_pylist(), []
+        start, place = cut.offsets.to_numpy().tolist(), coded.indices.to_numpy().tolist()
+        names, ids = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), []
         lead = " " if self.keeps_spaces else ""
         for name in names:
             made = self.words.get(name)
