@@ -11,6 +11,7 @@ from paceline.llm.decontamination import op5_benchmark_decontamination
 from paceline.llm.language_id import op4_language_id
 from paceline.llm.packing import op1_best_fit_packing
 from paceline.llm.prefix_hashes import op9_prefix_fingerprints
+from paceline.llm.secret_scan import op7_secret_scan
 from paceline.llm.simhash import op2_simhash_near_dedup
 from paceline.llm.url_filter import op10_url_filter
 from paceline.llm.warc import CHECK_OP3, op3_warc
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_language_id,
         op5_benchmark_decontamination,
         op6_binary_records,
+        op7_secret_scan,
         op9_prefix_fingerprints,
         op10_url_filter,
     )
