@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from paceline.llm.binary_records import op6_binary_records
 from paceline.llm.decontamination import op5_benchmark_decontamination
 from paceline.llm.language_id import op4_language_id
+from paceline.llm.language_model import op8_lm_scoring
 from paceline.llm.packing import op1_best_fit_packing
 from paceline.llm.prefix_hashes import op9_prefix_fingerprints
 from paceline.llm.secret_scan import op7_secret_scan
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_benchmark_decontamination,
         op6_binary_records,
         op7_secret_scan,
+        op8_lm_scoring,
         op9_prefix_fingerprints,
         op10_url_filter,
     )
