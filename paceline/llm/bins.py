@@ -139,7 +139,7 @@ def fillings(counts: dict[int, int], sizes: list[int], room: int, width: int, ke
     return out or [()]
 
 
-def complete(counts: dict[int, int], capacity: int, nodes: int = 1500, width: int = 24, keep: int = 4) -> Packing:
+def complete(counts: dict[int, int], capacity: int, nodes: int = 4000, width: int = 24, keep: int = 4) -> Packing:
     """The best packing found: best fit first, then a search that completes the bin of
     the largest size left with each undominated filling in turn, for as many bins as the
     counts allow. A branch ends when its waste, or its bins and the bound on the rest,

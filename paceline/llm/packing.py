@@ -90,7 +90,7 @@ def ranked(pieces: DataFrame, parts: int) -> DataFrame:
     return rows.join(base, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("within")).drop("salt", "base", "within")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = 1500) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = 4000) -> DataFrame:
     """`sequence_id` and `offset` of every piece; `pieces` must be cheap to read three times."""
     spark = pieces.sparkSession
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
