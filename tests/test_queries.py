@@ -8,8 +8,8 @@ import __spark_entry__ as entry
 from tests.compare import connect, differences
 from tests.conftest import SF_DIR
 
-QUERIES = entry.queries()
-CHECKS = entry.oracle_sql()
+QUERIES = entry.QUERIES
+CHECKS = entry.CHECKS
 
 
 @pytest.fixture(scope="module")
