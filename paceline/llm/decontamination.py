@@ -7,8 +7,9 @@
 3. A randomised SVD of the benchmark's TF-IDF passages, the products A'(A X) spread over
    Spark's tasks, gives the latent space.
 4. Every passage of every document is projected and held against all benchmark passages
-   by cosine. Passages whose benchmark words carry too little of their weight for the
-   least cosine are left out before the projection; that bound is exact.
+   by cosine. For each of GROUPS groups of benchmark passages, the most that a word adds
+   to a product with any of them is known; passages whose words cannot reach the least
+   cosine with any group are left out before the projection, which loses none.
 5. What comes up is verified: the longest common subsequence with the item's words, and
    its answer (column `answer`, or else its last sentence) among them.
 
@@ -43,12 +44,13 @@ OVERSAMPLE = 16
 POWERS = 2
 SEED = 42
 LEAST_WORDS = 8
-LEAST_COSINE = 0.3
+LEAST_COSINE = 0.35
 #: Share of an item's words that occur in order: enough alone, and enough with the answer.
 SURE_SHARE = 0.85
 LEAST_SHARE = 0.6
 LEAST_ANSWER = 0.5
 BLOCK = 4000
+GROUPS = 16
 SPACED = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 SENTENCE = re.compile(r"(?<=[.?!])\s+")
 FILTER_BITS = 20
@@ -223,6 +225,7 @@ class Index:
     other: float
     space: np.ndarray  # words x rank
     vectors: np.ndarray  # rank x passages, each of length one
+    reach: list[np.ndarray]  # for each group of passages, the most that an occurrence of each word adds to a product
     owner: np.ndarray  # item of each passage
     items: list[Item]
 
@@ -239,17 +242,20 @@ def searcher(sent, least_cosine: float):
             known = place >= 0
             energy = np.where(known, index.weights[place] ** 2, index.other**2)
             count = int(step[-1]) + 1
-            inside = np.bincount(step[known], energy[known], count)
             whole = np.bincount(step, energy, count)
             # a window is a step and the next one of the same document
             last = np.zeros(count, bool)
             last[(first + -(-sizes // STEP) - 1)[sizes > 0]] = True
-            follows = np.append(np.flatnonzero(~last) + 1, [])
-            inside[~last] += inside[follows.astype(int)].copy()
-            whole[~last] += whole[follows.astype(int)].copy()
+            follows = np.flatnonzero(~last) + 1
+            whole[~last] += whole[follows]
+            most = np.zeros(count)
+            for reach in index.reach:
+                product_bound = np.bincount(step[known], reach[place[known]], count)
+                product_bound[~last] += product_bound[follows]
+                np.maximum(most, product_bound, out=most)
             bounds, starts = np.cumsum(sizes), np.cumsum(sizes) - sizes
             best: dict[tuple[int, int], tuple] = {}
-            for window in np.flatnonzero(inside >= least_cosine**2 * whole).tolist():
+            for window in np.flatnonzero(most >= 0.999 * least_cosine * np.sqrt(whole)).tolist():
                 doc = int(np.searchsorted(first, window, "right")) - 1
                 while not sizes[doc]:
                     doc -= 1
@@ -259,8 +265,6 @@ def searcher(sent, least_cosine: float):
                 places, weights = bag(own[own >= 0], index.weights)
                 others = np.unique(words[at:end][own < 0], return_counts=True)[1]
                 norm = np.sqrt(weights @ weights + index.other**2 * (others @ others))
-                if not len(places) or weights @ weights < (least_cosine * norm) ** 2:
-                    continue
                 cosines = (weights @ index.space[places]) @ index.vectors / norm
                 near = np.flatnonzero(cosines >= least_cosine)
                 for item in set(index.owner[near].tolist()):
@@ -320,7 +324,9 @@ def contamination(
         vectors = np.stack([w @ space[p] for p, w in bags], axis=1)
         vectors /= np.maximum(np.linalg.norm(vectors, axis=0), 1e-12)
         owner = np.array([k for k, _ in passages])
-        index = Index(hashes, weights, other, space.astype(np.float32), vectors.astype(np.float32), owner, items)
+        parts = np.array_split(np.arange(vectors.shape[1]), min(GROUPS, vectors.shape[1]))
+        reach = [weights * np.abs(space @ vectors[:, part]).max(axis=1) for part in parts]
+        index = Index(hashes, weights, other, space.astype(np.float32), vectors.astype(np.float32), reach, owner, items)
         return words.mapInArrow(searcher(spark.sparkContext.broadcast(index), least_cosine), FOUND)
 
     for row in asked.toLocalIterator():
