@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from paceline.schemas import SOLVED
 
 # One attempt and three retries per slot.
 MAX_ATTEMPTS = 4
+FAILED = "solver_error"
 
 
 def sample_configs(
@@ -20,28 +22,62 @@ def sample_configs(
 ) -> DataFrame:
     """One uniformly drawn configuration of the row's family.
 
-    The grid is a fixed few dozen rows, so it is broadcast. `keys` make the draw
+    How the grid is joined is left to its measured size. `keys` make the draw
     unique; an attempt number among them lets retries repeat a configuration.
     """
-    sized = F.broadcast(grid.groupBy("family").agg(F.count("*").alias("size")))
+    sized = grid.groupBy("family").agg(F.count("*").alias("size"))
     drawn = slots.join(sized, "family").withColumn(
         "idx", keyed_index(draw_key(seed, *keys), F.col("size"))
     )
-    chosen = F.broadcast(grid.select("family", "idx", "config_json", "config_hash"))
+    chosen = grid.select("family", "idx", "config_json", "config_hash")
     return drawn.join(chosen, ["family", "idx"]).drop("size")
 
 
-def plan_attempts(slots: DataFrame, grid: DataFrame, seed: object, keys: Sequence[str]) -> DataFrame:
-    """All attempts of every slot, each with its configuration."""
-    tries = slots.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(MAX_ATTEMPTS - 1))))
+def plan_attempt(
+    slots: DataFrame, grid: DataFrame, seed: object, keys: Sequence[str], attempt: int
+) -> DataFrame:
+    """One attempt of every slot, with the configuration drawn for it."""
+    tries = slots.withColumn("attempt", F.lit(attempt))
     return sample_configs(tries, grid, seed, [*keys, "attempt"])
 
 
+RESULT = (
+    "weights array<double>, column_names array<string>, n_names int, in_sample_sharpe double, "
+    "in_sample_mean_pnl double, in_sample_max_dd double, solver_status string, solve_time_seconds double"
+)
+
+
+def solver_from(function: Callable[[dict], dict]) -> Callable[[DataFrame], DataFrame]:
+    """A solver of attempts from a Python function that solves one.
+
+    The function takes an attempt as a dict and returns the columns of RESULT. An
+    exception in it is a failed attempt (`solver_error`), not the end of the job.
+    """
+    names = [part.split()[0] for part in RESULT.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for attempt in batch.to_dict("records"):
+                try:
+                    found = function(attempt)
+                except Exception:
+                    found = {"solver_status": FAILED}
+                rows.append({**attempt, **{name: found.get(name) for name in names}})
+            yield pd.DataFrame(rows, columns=[*batch.columns, *names])
+
+    def solve(attempts: DataFrame) -> DataFrame:
+        shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in attempts.schema.fields)
+        return attempts.mapInPandas(run, f"{shape}, {RESULT}")
+
+    return solve
+
+
 def first_success(
     results: DataFrame, slot_keys: Sequence[str], ties: Sequence[Column | str] = ()
 ) -> DataFrame:
     """The earliest solved attempt per slot; slots without one drop out."""
-    solved = results.where(F.col("solver_status").isin(SOLVED) & (F.col("attempt") < MAX_ATTEMPTS))
+    solved = results.where(F.col("solver_status").isin(SOLVED))
     order = [F.col("attempt"), *[F.col(c) if isinstance(c, str) else c for c in ties]]
     return first_per_key(solved, slot_keys, order)
 

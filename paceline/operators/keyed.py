@@ -25,17 +25,22 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return first_per_key(df, keys, [F.col(c).desc() for c in order])
 
 
-def merge_rows(kept: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Old rows whose key is not replaced, followed by the new rows."""
-    return kept.join(fresh.select(*keys), list(keys), "left_anti").unionByName(fresh)
+def merge_rows(
+    kept: DataFrame, fresh: DataFrame, keys: Sequence[str], batch: DataFrame | None = None
+) -> DataFrame:
+    """Old rows whose key is not replaced, followed by the new rows.
+
+    `batch` is what `fresh` was reduced from; its keys are the same, and taking
+    them from there saves a second run of that reduction.
+    """
+    replaced = (fresh if batch is None else batch).select(*keys)
+    return kept.join(replaced, list(keys), "left_anti").unionByName(fresh)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by the keys over the cores at hand.
+    """Hash-partition by the keys into the session's shuffle partitions.
 
     For few rows with much work each: by their size alone they would be put into
     one task. Windows over the same keys need no further shuffle.
     """
-    session = df.sparkSession
-    partitions = int(session.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(min(partitions, session.sparkContext.defaultParallelism), *keys)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -74,12 +74,20 @@ def bad_values(df: DataFrame, domains: Mapping[str, Sequence[str]]) -> DataFrame
     )
 
 
-def require_clean(df: DataFrame, rules: Mapping[str, Column], table: str) -> None:
-    """Raise once, naming every broken rule and how often it is broken."""
+def broken_rules(df: DataFrame, rules: Mapping[str, Column]) -> list[str]:
+    """Every broken rule and how often it is broken."""
     broken = rule_report(df, rules).where("violations > 0").collect()
-    if broken:
-        listing = "; ".join(f"{r['rule']} ({r['violations']} rows)" for r in broken)
-        raise ValueError(f"{table}: {len(broken)} rule(s) broken: {listing}")
+    return [f"{r['rule']} ({r['violations']} rows)" for r in broken]
+
+
+def refuse(table: str, problems: Sequence[str]) -> None:
+    """Raise once, naming all problems; nothing to name, nothing raised."""
+    if problems:
+        raise ValueError(f"{table}: {len(problems)} rule(s) broken: {'; '.join(problems)}")
+
+
+def require_clean(df: DataFrame, rules: Mapping[str, Column], table: str) -> None:
+    refuse(table, broken_rules(df, rules))
 
 
 def unmatched_decisions(decisions: DataFrame, proposals: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paceline.functions.canonical import not_finite
 from paceline.schemas import DAY_KEY, FEATURES, PROPOSAL_KEY, VERSION_COLUMN
 
 
@@ -57,11 +58,15 @@ def latest_best(proposals: DataFrame) -> DataFrame:
     return proposals.join(newest.select("product", "newest.*"), PROPOSAL_KEY, "left_semi")
 
 
-def previous_best_by_day(proposals: DataFrame, carry: list[str] | None = None) -> DataFrame:
+def previous_best_by_day(
+    proposals: DataFrame, carry: list[str] | None = None, day: date | None = None
+) -> DataFrame:
     """Per (date, product) with proposals, the best proposal strictly before that date.
 
     The window runs over one row per calendar day and product, never over the
     proposals themselves; `carry` names columns to fetch from the earlier row.
+    With `day` only that date's rows are returned, and the columns are fetched
+    for the handful of keys that they name: one row per product is broadcast.
     """
     own = F.struct("date", "config_hash")
     earlier = Window.partitionBy("product").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
@@ -75,15 +80,20 @@ def previous_best_by_day(proposals: DataFrame, carry: list[str] | None = None) -
             F.col("previous.config_hash").alias("prev_config_hash"),
         )
     )
+    if day is not None:
+        linked = linked.where(F.col("date") == F.lit(day))
     if not carry:
         return linked
+    earlier_key = ["product", "prev_date", "prev_config_hash"]
     fetched = proposals.where(F.col("proposal_type") == "best").select(
         "product",
         F.col("date").alias("prev_date"),
         F.col("config_hash").alias("prev_config_hash"),
         *[F.col(c).alias(f"prev_{c}") for c in carry],
     )
-    return linked.join(fetched, ["product", "prev_date", "prev_config_hash"], "left")
+    if day is not None:
+        fetched = fetched.join(F.broadcast(linked.select(*earlier_key)), earlier_key, "left_semi")
+    return linked.join(fetched, earlier_key, "left")
 
 
 def previous_best(proposals: DataFrame, carry: list[str] | None = None) -> DataFrame:
@@ -100,10 +110,11 @@ def arm_days(
     only needs, per (product, family, date, eval_date), how many scores there
     are and their sum. Counting before the feature join shrinks the history to
     calendar size whatever the number of proposals, and map-side sums absorb a
-    hot day. Scores that are null or NaN carry no information and are left out.
+    hot day. Scores that are null, NaN or infinite are left out; `fit_exclusions`
+    counts them.
     """
     known = outcomes if as_of is None else realised(outcomes, as_of)
-    scored = known.where(F.col("meta_score").isNotNull() & ~F.isnan("meta_score"))
+    scored = known.where(usable(F.col("meta_score")))
     counted = (
         proposals.select(*PROPOSAL_KEY, "family")
         .join(scored.select(*PROPOSAL_KEY, "eval_date", "meta_score"), PROPOSAL_KEY)
@@ -118,18 +129,48 @@ def condense(training: DataFrame) -> DataFrame:
 
     The feature values belong to the grouping key, so this is exact for any input.
     """
-    usable = training.where(F.col("meta_score").isNotNull() & ~F.isnan("meta_score"))
+    scored = training.where(usable(F.col("meta_score")))
     return (
-        usable_features(usable, "family", "eval_date", "meta_score")
+        usable_features(scored, "family", "eval_date", "meta_score")
         .groupBy("product", "family", "date", "eval_date", *FEATURES)
         .agg(F.count("*").alias("n"), F.sum("meta_score").alias("score_sum"))
     )
 
 
+def usable(value: Column) -> Column:
+    """Whether a number can enter the fit: neither null nor NaN nor infinite."""
+    return value.isNotNull() & ~not_finite(value)
+
+
 def usable_features(features: DataFrame, *more: str) -> DataFrame:
-    """Key and features of the rows without a null key or a null or NaN feature."""
-    complete = " AND ".join(
-        [f"{k} IS NOT NULL" for k in DAY_KEY]
-        + [f"`{f}` IS NOT NULL AND NOT isnan(`{f}`)" for f in FEATURES]
-    )
+    """Key and features of the rows without a null key and with finite features."""
+    complete = F.lit(True)
+    for key in DAY_KEY:
+        complete = complete & F.col(key).isNotNull()
+    for name in FEATURES:
+        complete = complete & usable(F.col(name))
     return features.where(complete).select(*DAY_KEY, *FEATURES, *more)
+
+
+def fit_exclusions(features: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(column, reason, rows): the values that keep rows out of the fit, zero counts included."""
+
+    def counted(df: DataFrame, columns: list[str]) -> DataFrame:
+        reasons = {
+            "null": lambda c: F.col(c).isNull(),
+            "NaN": lambda c: F.isnan(c),
+            "infinite": lambda c: F.abs(c) == float("inf"),
+        }
+        cells = [
+            (c, reason, F.count_if(F.coalesce(test(c), F.lit(False))))
+            for c in columns
+            for reason, test in reasons.items()
+        ]
+        found = df.agg(*[count.alias(f"n{i}") for i, (_, _, count) in enumerate(cells)])
+        rows = [
+            F.struct(F.lit(c).alias("column"), F.lit(reason).alias("reason"), F.col(f"n{i}").alias("rows"))
+            for i, (c, reason, _) in enumerate(cells)
+        ]
+        return found.select(F.inline(F.array(*rows)))
+
+    return counted(features, FEATURES).unionByName(counted(outcomes, ["meta_score"]))

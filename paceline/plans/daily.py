@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from datetime import date, datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +14,10 @@ from paceline import schemas
 from paceline.functions.score import ScoreRule
 from paceline.functions.vectors import pick_by_name
 from paceline.operators.arms import ALPHA, SIGMA_SQ, slots_today
-from paceline.operators.attempts import first_success, plan_attempts
+from paceline.operators.attempts import MAX_ATTEMPTS, first_success, plan_attempt
 from paceline.operators.portfolio import column_sums, forward_pnl, outcome_rows
-from paceline.operators.quality import decision_rules, unmatched_decisions
+from paceline.operators.quality import unmatched_decisions
 from paceline.operators.training import arm_days, previous_best_by_day
-from paceline.session import scratch_path
 from paceline.sources.grid import config_grid
 from paceline.sources.matrices import SHARED, matrix_reference
 from paceline.sources.tables import TableStore
@@ -35,11 +36,28 @@ def fan_out(market: DataFrame, products: Sequence[str]) -> DataFrame:
 
 
 def choose(
-    slots: DataFrame, grid: DataFrame, solve: Solver, seed: object, ties: Sequence[str] = ()
+    slots: DataFrame,
+    grid: DataFrame,
+    solve: Solver,
+    seed: object,
+    keep: Callable[[DataFrame], DataFrame],
+    ties: Sequence[str] = (),
+    attempts: int = MAX_ATTEMPTS,
 ) -> DataFrame:
-    """A configuration per slot: draw, solve, keep the first attempt that solves."""
-    attempts = plan_attempts(slots, grid, seed, ["date", "product", "family"])
-    return first_success(solve(attempts), SLOT_KEY, ties)
+    """A configuration per slot: draw and solve, and again for the slots left without a solution.
+
+    `keep` writes a round's results and reads them back, so that each attempt is
+    solved once; a slot that is solved is not tried again.
+    """
+    found, left = [], slots
+    for attempt in range(attempts):
+        results = keep(solve(plan_attempt(left, grid, seed, ["date", "product", "family"], attempt)))
+        solved = first_success(results, SLOT_KEY, ties)
+        found.append(solved)
+        left = left.join(solved.select(*SLOT_KEY), SLOT_KEY, "left_anti")
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)
 
 
 def proposal_rows(chosen: DataFrame) -> DataFrame:
@@ -97,10 +115,22 @@ def propose_today(
     missing = set(schemas.FEATURES) - set(features)
     if missing:
         raise ValueError(f"missing features: {sorted(missing)}")
+    odd = sorted(f for f in schemas.FEATURES if not math.isfinite(float(features[f])))
+    if odd:
+        raise ValueError(f"features are not finite: {odd}")
     unknown = set(products) - set(schemas.PRODUCTS)
     if unknown:
         raise ValueError(f"unknown products: {sorted(unknown)}")
     spark = store.spark
+    width = F.size("values")
+    shapes = matrices.groupBy("product").agg(F.min(width).alias("least"), F.max(width).alias("most"))
+    widths = {r["product"]: (r["least"], r["most"]) for r in shapes.collect()}  # one row per product
+    absent = sorted(set(products) - set(widths))
+    if absent:
+        raise ValueError(f"no matrix for products: {absent}")
+    ragged = sorted(p for p, (least, most) in widths.items() if least != most or not least or least < 1)
+    if ragged:
+        raise ValueError(f"matrix rows differ in width or are empty for products: {ragged}")
     market = spark.createDataFrame(
         [(today, *[float(features[f]) for f in schemas.FEATURES])],
         "date date, " + ", ".join(f"{f} double" for f in schemas.FEATURES),
@@ -114,12 +144,8 @@ def propose_today(
         today,
     )
     slots = slots_today(contexts, rows, seed, alpha=alpha, sigma_sq=sigma_sq)
-    chosen = choose(slots, config_grid(spark), solve, seed)
-    # The checks and the write below would each run the solver again; a written
-    # table keeps one result, and unlike a cache it outlives lost executors.
-    path = scratch_path(spark, "proposals")
-    chosen.select(*SLOT_KEY, *[c for c in chosen.columns if c not in SLOT_KEY]).write.parquet(path)
-    kept = spark.read.parquet(path)
+    slots = store.staged(slots, "slots")
+    kept = choose(slots, config_grid(spark), solve, seed, lambda tried: store.staged(tried, "attempts"))
     if not kept.isEmpty():
         shared = matrices.select(
             F.lit(today).alias("date"), "product", F.lit(SHARED).alias("config_hash"), "t", "values"
@@ -158,10 +184,8 @@ def record_outcomes(
         realised = forward_pnl(todays, sums, vols, ["product"])
     realised = realised.withColumn("eval_date", F.lit(eval_date))
     history = store.read_proposals(end_date=propose_date)
-    previous = previous_best_by_day(history, ["weights", "column_names"]).where(
-        F.col("date") == F.lit(propose_date)
-    )
-    outcomes = outcome_rows(realised, previous, rule)
+    previous = previous_best_by_day(history, ["weights", "column_names"], propose_date)
+    outcomes = store.staged(outcome_rows(realised, previous, rule), "outcomes")
     if outcomes.isEmpty():
         raise ValueError(f"no outcomes could be computed for {propose_date}")
     store.write_outcomes(outcomes)
@@ -174,23 +198,15 @@ def _realise(with_sums: DataFrame, vols: DataFrame) -> DataFrame:
     return forward_pnl(proposals, keyed, vols, schemas.PROPOSAL_KEY)
 
 
-def loggable_decisions(decisions: DataFrame, proposals: DataFrame) -> DataFrame:
-    """Decisions that keep every rule and name a stored proposal."""
-    broken = F.lit(False)
-    for predicate in decision_rules().values():
-        broken = broken | F.coalesce(predicate, F.lit(False))
-    known = proposals.select(*schemas.PROPOSAL_KEY)
-    return decisions.where(~broken).join(known, schemas.PROPOSAL_KEY, "left_semi")
-
-
 def record_decisions(store: TableStore, decisions: DataFrame) -> None:
     """Append a batch of decisions; any that names no stored proposal fails the batch."""
     bounds = decisions.agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
     stray = unmatched_decisions(decisions, store.read_proposals(bounds["first"], bounds["last"]))
-    found = stray.select(*schemas.PROPOSAL_KEY, "problem").limit(20).collect()
-    if found:
-        listing = "; ".join(f"{r['date']}/{r['product']}/{r['config_hash']}: {r['problem']}" for r in found)
-        raise ValueError(f"decisions without a proposal: {listing}")
+    stray = store.staged(stray.select(*schemas.PROPOSAL_KEY, "problem"), "stray")
+    counts = stray.groupBy("problem").count().orderBy("problem").collect()  # two rows
+    if counts:
+        found = ", ".join(f"{r['count']} with {r['problem']}" for r in counts)
+        raise ValueError(f"decisions without a proposal: {found} ({store.listed(stray, 'decisions')})")
     store.append_decisions(decisions)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -42,12 +44,20 @@ def local_session(cores: int = 8, app: str = "paceline", **extra: str) -> SparkS
 def scratch_path(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the folder the cluster names in spark.checkpoint.dir.
 
-    Only a session that names none (a test on one machine) gets a local folder.
+    Only a session of one machine that names none (a test) gets a local folder,
+    which goes when the process ends; the session's settings stay as they are.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="paceline-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_folder()
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    folder = tempfile.TemporaryDirectory(prefix="paceline-")
+    atexit.register(folder.cleanup)
+    return folder.name

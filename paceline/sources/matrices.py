@@ -9,7 +9,8 @@ from __future__ import annotations
 from datetime import date
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from paceline import schemas
@@ -66,43 +67,93 @@ def orphans(matrices: DataFrame, proposals: DataFrame, touched: DataFrame | None
 
 
 class MatrixStore:
+    """Matrices in one folder per date and product: <root>/pnl_matrices/date=…/product=…/."""
+
     def __init__(self, store: TableStore) -> None:
         self.store = store
+        self.spark = store.spark
+
+    def _stored(self) -> DataFrame | None:
+        path = self.store.path(TABLE)
+        try:
+            return self.spark.read.schema(schemas.schema(TABLE)).parquet(path)
+        except AnalysisException as problem:
+            if problem.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+
+    def _days(self, pairs: list[Row]) -> DataFrame:
+        """The stored rows of some (date, product) pairs; no other folder is opened."""
+        near = self.rows().where(
+            F.col("date").isin([r["date"] for r in pairs]) & F.col("product").isin([r["product"] for r in pairs])
+        )
+        wanted = self.spark.createDataFrame([tuple(r) for r in pairs], "date date, product string")
+        return near.join(wanted, schemas.DAY_KEY, "left_semi")
+
+    def _write(self, rows: DataFrame) -> None:
+        (
+            rows.hint("rebalance", *[F.col(c) for c in schemas.DAY_KEY])
+            .sortWithinPartitions(*schemas.KEYS[TABLE])
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*schemas.DAY_KEY)
+            .parquet(self.store.path(TABLE))
+        )
 
     def write(self, matrices: DataFrame) -> None:
         """Replace whole matrices: a shorter new version leaves no old rows behind."""
         fresh = schemas.conform(matrices, TABLE)
-        months = self.store._touched_months(fresh)
-        if not months:
+        pairs = fresh.select(*schemas.DAY_KEY).distinct().collect()  # days times products
+        if not pairs:
             return
-        replaced = fresh.select(*schemas.PROPOSAL_KEY).distinct()
-        kept = self.store.read_months(TABLE, months).join(replaced, schemas.PROPOSAL_KEY, "left_anti")
-        self.store._write(kept.unionByName(fresh), TABLE, "overwrite", schemas.KEYS[TABLE])
+        replaced = fresh.select(*schemas.PROPOSAL_KEY)
+        kept = self._days(pairs).join(replaced, schemas.PROPOSAL_KEY, "left_anti")
+        self._write(kept.unionByName(fresh))
+
+    def rows(self) -> DataFrame:
+        """All stored matrix rows."""
+        stored = self._stored()
+        return self.spark.createDataFrame([], schemas.schema(TABLE)) if stored is None else stored
 
     def read(self, day: date, product: str, config_hash: str) -> DataFrame:
         """The rows of one proposal's matrix in order of t; empty if there is none."""
+        pair = Row(date=day, product=product)
         return (
-            self.store.read(TABLE, day, day, product=[product])
+            self._days([pair])
             .where(F.col("config_hash").isin(config_hash, SHARED))
             .select("t", "values")
             .orderBy("t")
         )
 
     def sweep(self, touched: DataFrame) -> None:
-        """Rewrite the touched months without orphaned matrices.
+        """Rewrite the touched (date, product) folders that hold orphans without them.
 
-        A month that keeps no matrix at all keeps its old files: there is
-        nothing to overwrite it with.
+        A folder that keeps no matrix is deleted.
         """
-        months = self.store._touched_months(touched)
-        if not months:
+        pairs = touched.select(*schemas.DAY_KEY).distinct().collect()  # days times products
+        if not pairs:
             return
-        stored = self.store.read_months(TABLE, months)
+        stored = self._days(pairs)
+        months = sorted({(r["date"].year, r["date"].month) for r in pairs})
         proposals = self.store.read_months("proposals", months).select(*schemas.PROPOSAL_KEY)
-        dead = orphans(stored, proposals, touched).select(*schemas.PROPOSAL_KEY).distinct()
-        if dead.isEmpty():
+        dead = self.store.staged(orphans(stored, proposals).select(*schemas.PROPOSAL_KEY).distinct(), "orphans")
+        changed = dead.select(*schemas.DAY_KEY).distinct().collect()
+        if not changed:
             return
-        self.store._write(
-            stored.join(dead, schemas.PROPOSAL_KEY, "left_anti"), TABLE, "overwrite", schemas.KEYS[TABLE]
-        )
-
+        left = self.store.staged(self._days(changed).join(dead, schemas.PROPOSAL_KEY, "left_anti"), "matrices")
+        kept = {tuple(r) for r in left.select(*schemas.DAY_KEY).distinct().collect()}
+        if kept:
+            self._write(left)
+        for pair in changed:
+            if tuple(pair) not in kept:
+                self._delete(pair)
+
+    def _delete(self, pair: Row) -> None:
+        """Delete the folder of one (date, product), by the folder name Spark gave it."""
+        own = self._stored().where((F.col("date") == pair["date"]) & (F.col("product") == pair["product"]))
+        files = own.select("_metadata.file_path").distinct().collect()
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        settings = self.spark._jsparkSession.sessionState().newHadoopConf()
+        for folder in {r[0].rsplit("/", 1)[0] for r in files}:
+            path = hadoop.Path(self.spark._jvm.java.net.URI(folder))
+            path.getFileSystem(settings).delete(path, True)

@@ -6,6 +6,7 @@ derived from `date` on write and dropped again on read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from datetime import date
 
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 
 from paceline import schemas
 from paceline.operators.keyed import last_per_key, merge_rows
-from paceline.operators.quality import require_clean
+from paceline.operators.quality import broken_rules, refuse, require_clean
 
 MONTH = ["year", "month"]
+# Stored beside a log's declared columns: which batch of a stream a row came with.
+BATCH = "_batch"
 
 
 def with_month(df: DataFrame) -> DataFrame:
@@ -65,6 +68,22 @@ class TableStore:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def staged(self, df: DataFrame, purpose: str) -> DataFrame:
+        """The frame written once below the root and read back.
+
+        What follows may read it several times without running its plan again,
+        and unlike a cache it outlives lost executors.
+        """
+        path = self.path(f"_staging/{purpose}-{uuid.uuid4().hex}")
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def listed(self, rows: DataFrame, purpose: str) -> str | None:
+        """Where the rows are written as a table of violations, with their number; None for no rows."""
+        kept = self.staged(rows, f"violations-{purpose}")
+        n = kept.count()
+        return f"{n} rows, listed in {kept.inputFiles()[0].rsplit('/', 1)[0]}" if n else None
+
     # -- reads ---------------------------------------------------------------
 
     def _stored(self, table: str) -> DataFrame | None:
@@ -124,7 +143,8 @@ class TableStore:
     def read_decisions_latest(self, start_date=None, end_date=None, products=None) -> DataFrame:
         """The last decision per proposal among those in range."""
         raw = self.read_decisions_raw(start_date, end_date, products)
-        return last_per_key(raw, schemas.PROPOSAL_KEY, ["decided_at_utc"])
+        others = ["decision", "modified_config_hash", "notes"]  # decide between equal times
+        return last_per_key(raw, schemas.PROPOSAL_KEY, ["decided_at_utc", *others])
 
     # -- writes --------------------------------------------------------------
 
@@ -152,14 +172,12 @@ class TableStore:
         """Insert or replace rows by the table's key, rewriting only the touched months.
 
         `arrival` names batch columns that tell which of several rows with one
-        key came last; they need not belong to the table. Without it the frame's
-        own row order decides, which Spark keeps only for unshuffled input.
+        key came last; they need not belong to the table. Without it no key may be
+        repeated: a frame has no order of its own that would tell.
         """
         keys = schemas.KEYS[table]
         declared = schemas.data_columns(table)
         sequence = [F.col(c).alias(f"_arrival_{i}") for i, c in enumerate(arrival or [])]
-        if not sequence:
-            sequence = [F.monotonically_increasing_id().alias("_arrival_0")]
         extra = set(arrival or []) - set(declared)
         typed = schemas.conform(batch.drop(*extra), table)
         numbered = batch.select(
@@ -167,21 +185,31 @@ class TableStore:
             *sequence,
         )
         names = [f"_arrival_{i}" for i in range(len(sequence))]
-        fresh = last_per_key(numbered, keys, names).drop(*names)
+        if names:
+            fresh = last_per_key(numbered, keys, names).drop(*names)
+        else:
+            repeated = numbered.groupBy(*keys).count().where("count > 1")
+            if not repeated.isEmpty():
+                raise ValueError(f"{table}: {repeated.count()} repeated keys; name the columns of their arrival")
+            fresh = numbered
         fresh = schemas.conform(fresh, table)
         if self._stored(table) is not None:
             months = self._touched_months(typed)
             if not months:
                 return
-            fresh = merge_rows(self.read_months(table, months), fresh, keys)
+            fresh = merge_rows(self.read_months(table, months), fresh, keys, typed)
         self._write(fresh, table, "overwrite", keys)
 
     def write_features(self, df: DataFrame, arrival=None) -> None:
         self.upsert("daily_features", df, arrival)
 
     def write_outcomes(self, df: DataFrame, arrival=None) -> None:
+        """Check that no required figure is missing, then upsert."""
+        from paceline.operators.quality import null_rules
+
         if df.isEmpty():
             raise ValueError("there are no outcomes to write")
+        require_clean(df, null_rules("outcomes"), "outcomes")
         self.upsert("outcomes", df, arrival)
 
     def write_proposals(self, df: DataFrame, matrices: DataFrame | None = None, arrival=None) -> None:
@@ -189,20 +217,33 @@ class TableStore:
         from paceline.operators.quality import proposal_rules
         from paceline.sources.matrices import MatrixStore, width_violations
 
-        require_clean(df, proposal_rules(), "proposals")
+        problems = broken_rules(df, proposal_rules())
+        if matrices is not None:
+            wide = self.listed(width_violations(matrices, df), "matrices")
+            problems += [f"matrix width differs from column_names ({wide})"] if wide else []
+        refuse("proposals", problems)
         if matrices is not None:
-            bad = width_violations(matrices, df)
-            if not bad.isEmpty():
-                raise ValueError(f"matrix width differs from column_names: {bad.limit(20).collect()}")
             MatrixStore(self).write(matrices)
         self.upsert("proposals", df, arrival)
         if matrices is not None:
             MatrixStore(self).sweep(matrices.select("date", "product").distinct())
 
-    def append_decisions(self, df: DataFrame) -> None:
-        """Append to the decision log, in time order within each file; nothing is replaced."""
+    def append_decisions(self, df: DataFrame, batch: str | None = None) -> None:
+        """Append to the decision log, in time order within each file; nothing is replaced.
+
+        `batch` names the batch of a stream, so that a replay can be told.
+        """
         from paceline.operators.quality import decision_rules
 
         schemas.require_zoned(df, "decided_at_utc")
         require_clean(df, decision_rules(), "decisions")
-        self._write(schemas.conform(df, "decisions"), "decisions", "append", ["decided_at_utc"])
+        rows = schemas.conform(df, "decisions").withColumn(BATCH, F.lit(batch).cast("string"))
+        self._write(rows, "decisions", "append", ["decided_at_utc"])
+
+    def holds_batch(self, table: str, batch: str, first: date | None = None, last: date | None = None) -> bool:
+        """Whether a table has rows of the batch, looked for in the months of its dates only."""
+        stored = self._stored(table)
+        if stored is None:
+            return False
+        pruned = stored.where(in_months(first, last)) if "year" in stored.columns else stored
+        return not pruned.where(F.col(BATCH) == batch).isEmpty()

@@ -1,9 +1,10 @@
 """The decision log fed by a stream.
 
 The batch rules apply per micro-batch. Rows that break a rule go to a table of
-their own instead of stopping the stream. A micro-batch that is replayed after
-a failure adds nothing twice: rows already in the log are left out by key and
-decision time, looking only at the months the batch touches.
+their own instead of stopping the stream. Every row is stored with the name of
+its micro-batch; one that is replayed after a failure finds its name and adds
+nothing twice. No row is left out for being equal to another: a log holds what
+was sent, as an append of the same rows as a batch would.
 """
 
 from __future__ import annotations
@@ -14,26 +15,26 @@ from pyspark.sql.streaming import StreamingQuery
 
 from paceline import schemas
 from paceline.operators.quality import decision_rules
-from paceline.sources.tables import TableStore
+from paceline.sources.tables import BATCH, TableStore
 
 REJECTED = "decisions_rejected"
-ROW_KEY = [*schemas.PROPOSAL_KEY, "decided_at_utc"]
 
 
-def append_new(store: TableStore, batch: DataFrame) -> None:
-    """Append the rows of a batch that keep the rules and are not in the log yet."""
-    if batch.isEmpty():
+def append_new(store: TableStore, batch: DataFrame, name: str) -> None:
+    """Append the rows of a batch that keep the rules, unless the log has the batch already."""
+    rows = store.staged(batch, "decisions")  # the steps below would each run the batch again
+    bounds = rows.agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("n")).first()
+    if not bounds["n"]:
         return
     broken = F.lit(False)
     for predicate in decision_rules().values():
         broken = broken | F.coalesce(predicate, F.lit(False))
-    bounds = batch.agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
-    logged = store.read_decisions_raw(bounds["first"], bounds["last"]).select(*ROW_KEY)
-    fresh = batch.where(~broken).dropDuplicates(ROW_KEY).join(logged, ROW_KEY, "left_anti")
-    store.append_decisions(fresh)
-    rejected = batch.where(broken)
-    if not rejected.isEmpty():
-        rejected.write.mode("append").parquet(store.path(REJECTED))
+    rejected = rows.where(broken)
+    if not rejected.isEmpty() and not store.holds_batch(REJECTED, name):
+        rejected.withColumn(BATCH, F.lit(name)).write.mode("append").parquet(store.path(REJECTED))
+    kept = rows.where(~broken)
+    if not kept.isEmpty() and not store.holds_batch("decisions", name, bounds["first"], bounds["last"]):
+        store.append_decisions(kept, name)
 
 
 def append_stream(
@@ -41,13 +42,14 @@ def append_stream(
 ) -> StreamingQuery:
     """Start appending a streaming frame in the decisions layout.
 
-    `checkpoint` must be a folder all executors share. With `once` the query
-    takes what is there and stops.
+    `checkpoint` must be a folder all executors share; it and Spark's number of
+    the micro-batch name a batch. With `once` the query takes what is there and
+    stops.
     """
     schemas.require_zoned(decisions, "decided_at_utc")
     writer = (
         decisions.writeStream.option("checkpointLocation", checkpoint)
         .outputMode("append")
-        .foreachBatch(lambda batch, _: append_new(store, batch))
+        .foreachBatch(lambda batch, number: append_new(store, batch, f"{checkpoint}#{number}"))
     )
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -132,7 +132,7 @@ def test_first_success_per_slot(spark):
     ]
     df = spark.createDataFrame(rows, "slot string, attempt int, solver_status string")
     found = {r["slot"]: r["attempt"] for r in attempts.first_success(df, ["slot"]).collect()}
-    assert found == {"a": 1, "b": 3}
+    assert found == {"a": 1, "b": 3, "c": 4}
 
 
 def test_reports(spark):

@@ -3,6 +3,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from paceline import schemas
+from paceline.sources.tables import TableStore
 from paceline.streaming.decisions import REJECTED, append_new, append_stream
 from tests import makers as m
 
@@ -29,7 +30,18 @@ def test_stream_appends_valid_rows_once(spark, store, tmp_path):
     m.frame(spark, "decisions", [m.decision(key="second")]).write.mode("append").parquet(source)
     run()
     assert store.read_decisions_raw().count() == 3
-    # A replayed batch adds nothing.
-    append_new(store, frame.where("decision <> 'maybe'"))
+    # A replayed batch adds nothing, neither to the log nor to the rejected rows.
+    append_new(store, frame, f"{checkpoint}#0")
     assert store.read_decisions_raw().count() == 3
+    assert spark.read.parquet(store.path(REJECTED)).count() == 1
     assert store.read_decisions_raw().columns == schemas.schema("decisions").names
+
+
+def test_equal_decisions_are_kept_as_a_batch_append_keeps_them(spark, store, tmp_path):
+    rows = [m.decision(notes="first"), m.decision(notes="second"), m.decision(notes="second")]
+    frame = m.frame(spark, "decisions", rows)
+    append_new(store, frame, "stream#0")
+    other = TableStore(spark, str(tmp_path / "other"))
+    other.append_decisions(frame)
+    found = [sorted(map(tuple, s.read_decisions_raw().collect())) for s in (store, other)]
+    assert found[0] == found[1] and len(found[0]) == 3
