@@ -1,9 +1,8 @@
 """Canonical text and key of a configuration.
 
-Declared configurations are structs and stay in the JVM: `to_json` leaves null
-members out, and the struct lists its fields in alphabetical order. Free-form
-JSON text needs recursion over unknown members, so it takes one Arrow-batched
-helper.
+There is one canonical form, written by one Arrow-batched helper: it takes
+free-form JSON text, which needs recursion over unknown members, and structs by
+way of `to_json`, so that a configuration has the same key in either shape.
 """
 
 from __future__ import annotations
@@ -27,11 +26,6 @@ def config_key(canonical: Column) -> Column:
     return F.substring(F.sha2(canonical, 256), 1, KEY_LENGTH)
 
 
-def canonical_struct(config: Column) -> Column:
-    """Canonical text of a struct whose fields are declared in alphabetical order."""
-    return F.to_json(F.struct(F.lit(PAYLOAD_VERSION).alias("_v"), config.alias("config")))
-
-
 def canonical_double(value: Column) -> Column:
     return F.round(value, FLOAT_DIGITS)
 
@@ -84,3 +78,14 @@ def canonical_json(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(
             [_canonical_or_problem(text) for text in batch], columns=["canonical", "problem"]
         )
+
+
+def canonical_struct(config: Column) -> Column:
+    """Canonical text of a struct; an error for a number that is not finite.
+
+    `to_json` leaves null members out and writes such numbers as the texts
+    tested here, which are therefore refused as texts, too.
+    """
+    text = F.to_json(config)
+    finite = F.when(text.rlike('[:,\\[]"(NaN|-?Infinity)"'), F.raise_error(F.lit("number is not finite"))).otherwise(text)
+    return canonical_json(finite.cast("string"))["canonical"]

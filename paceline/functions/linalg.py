@@ -58,13 +58,19 @@ def let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def solve(dim: int, rows: str) -> str:
+def solve(dim: int, rows: str, least: str | None = None) -> str:
     """Gauss-Jordan elimination without pivoting, which positive definite matrices do not need.
 
-    Entry dim + s of row i of the result is solution i of side s.
+    Entry dim + s of row i of the result is solution i of side s. A matrix that
+    may be singular needs `least`, the smallest pivot that counts: a row with a
+    smaller one becomes zeros, so entry i of row i tells whether it was solved.
     """
     pivot_row = "transform(r, v -> v / r[p])"
-    other_row = let("f", "r[p] / m[p][p]", "zip_with(r, m[p], (v, w) -> v - f * w)")
+    factor = "r[p] / m[p][p]"
+    if least is not None:
+        pivot_row = f"if(abs(r[p]) > {least}, {pivot_row}, transform(r, v -> 0D))"
+        factor = f"if(abs(m[p][p]) > {least}, {factor}, 0D)"
+    other_row = let("f", factor, "zip_with(r, m[p], (v, w) -> v - f * w)")
     step = f"transform(m, (r, i) -> if(i = p, {pivot_row}, {other_row}))"
     return f"aggregate(sequence(0, {dim - 1}), {rows}, (m, p) -> {step})"
 

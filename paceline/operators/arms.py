@@ -59,11 +59,12 @@ def centre(rows: DataFrame) -> DataFrame:
     """Add the product's feature means, and d_i.
 
     Centring before squaring keeps the digits that sums of raw squares lose. The
-    window holds one product's calendar: days × families × evaluation lags.
+    means are an aggregate of their own, one row per product, so no task has to
+    hold a product's whole calendar.
     """
-    own = "OVER (PARTITION BY product)"
-    cells = [f"sum(n * `{f}`) {own} / sum(n) {own}" for f in FEATURES]
-    return _less_means(rows.selectExpr("*", f"{linalg.array(['0D', *cells])} AS means"))
+    cells = [f"sum(n * `{f}`) / sum(n)" for f in FEATURES]
+    means = sum_by(rows, ["product"], {"means": linalg.array(["0D", *cells])})
+    return _less_means(rows.join(means, "product"))
 
 
 def _less_means(rows: DataFrame) -> DataFrame:

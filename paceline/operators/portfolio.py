@@ -101,7 +101,8 @@ def in_sample_stats(daily: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     The running sum is taken inside buckets of consecutive t and the buckets
     are then chained, so one long series is spread over tasks. t is unique per
-    key; the peak starts at the first value.
+    key; the peak starts at the first value. The deviation is Spark's own, so a
+    constant series has none and its ratio is 0.
     """
     bucketed = daily.withColumn("bucket", F.floor(F.col("t") / F.lit(BUCKET)))
     inside = Window.partitionBy(*keys, "bucket").orderBy("t")
@@ -109,9 +110,7 @@ def in_sample_stats(daily: DataFrame, keys: Sequence[str]) -> DataFrame:
         "drop", F.col("run") - F.max("run").over(inside)
     )
     buckets = local.groupBy(*keys, "bucket").agg(
-        F.count("*").alias("days"),
         F.sum("pnl").alias("gain"),
-        F.sum(F.col("pnl") * F.col("pnl")).alias("squares"),
         F.max("run").alias("high"),
         F.min("run").alias("low"),
         F.min("drop").alias("drop"),
@@ -124,20 +123,15 @@ def in_sample_stats(daily: DataFrame, keys: Sequence[str]) -> DataFrame:
         .withColumn("peak", F.max(F.col("start") + F.col("high")).over(earlier))
         .withColumn("worst", F.least("drop", F.col("start") + F.col("low") - F.col("peak")))
     )
-    whole = chained.groupBy(*keys).agg(
-        F.sum("days").alias("n_days"),
-        F.sum("gain").alias("gain"),
-        F.sum("squares").alias("squares"),
-        F.min("worst").alias("in_sample_max_dd"),
-    )
-    mean = F.col("gain") / F.col("n_days")
-    spread = F.sqrt(F.greatest(F.col("squares") / F.col("n_days") - mean * mean, F.lit(0.0)))
-    return whole.select(
-        *keys,
-        "n_days",
-        mean.alias("in_sample_mean_pnl"),
-        guarded_ratio(mean, spread).alias("in_sample_sharpe"),
-        "in_sample_max_dd",
+    worst = chained.groupBy(*keys).agg(F.min("worst").alias("in_sample_max_dd"))
+    figures = daily.groupBy(*keys).agg(
+        F.count("*").alias("n_days"),
+        F.avg("pnl").alias("in_sample_mean_pnl"),
+        F.stddev_pop("pnl").alias("spread"),
+    )
+    ratio = guarded_ratio(F.col("in_sample_mean_pnl"), F.col("spread"))
+    return figures.join(worst, list(keys)).select(
+        *keys, "n_days", "in_sample_mean_pnl", ratio.alias("in_sample_sharpe"), "in_sample_max_dd"
     )
 
 

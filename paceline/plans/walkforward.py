@@ -26,7 +26,10 @@ from paceline.operators.keyed import spread
 from paceline.operators.training import arm_days, usable_features
 from paceline.schemas import FAMILIES, FEATURES
 
-# A variance smaller than this share of the mean square is rounding noise.
+# Stands for all families that are not asked for.
+OTHER = "*"
+# A variance smaller than this share of the mean square is rounding noise: the
+# running sums lose that many digits, so the daily fit's absolute test is too fine here.
 RELATIVE_ZERO = 1e-12
 
 
@@ -36,15 +39,19 @@ def running_moments(rows: DataFrame, contexts: DataFrame, families: Sequence[str
     History is summed per evaluation day first; the running windows see one row
     per arm and day (twice: history and decision dates), never proposals. All
     sums are centred on one fixed shift per product; it cancels exactly, so no
-    later day leaks into an earlier one.
+    later day leaks into an earlier one. Rows of other families are summed as one
+    more arm: they take part in each date's scaler, as in the daily fit, and the
+    arm is dropped afterwards.
     """
-    centred = centre(rows.where(F.col("family").isin(list(families))))
+    listed = F.when(F.col("family").isin(list(families)), F.col("family")).otherwise(OTHER)
     daily = sum_by(
-        centred.withColumn("date", F.col("eval_date")), ["product", "family", "date"], SUMS
+        centre(rows.withColumn("family", listed)).withColumn("date", F.col("eval_date")),
+        ["product", "family", "date"],
+        SUMS,
     )
     spine = contexts.select(
         "product",
-        F.explode(F.lit(list(families))).alias("family"),
+        F.explode(F.lit([*families, OTHER])).alias("family"),
         "date",
         *FEATURES,
         F.lit(True).alias("decides"),
@@ -66,7 +73,8 @@ def running_moments(rows: DataFrame, contexts: DataFrame, families: Sequence[str
         f"{cross} AS cross",
         f"max(means) {sofar} AS shift",
     )
-    return _rescale(spread(running.where("decides"), "date", "product"))
+    rescaled = _rescale(spread(running.where("decides"), "date", "product"))
+    return rescaled.where(F.col("family") != OTHER)
 
 
 def _rescale(running: DataFrame) -> DataFrame:
