@@ -15,9 +15,10 @@ from paceline.operators import arms, training
 from paceline.operators.keyed import last_per_key
 from paceline.plans import walkforward
 from paceline.plans.daily import choose, summary, totals
-from paceline.functions.draws import draw_key, keyed_uniform
 from paceline.schemas import FEATURES
+from paceline.session import scratch_path
 from paceline.sources.grid import config_grid
+from paceline.sources.tables import TableStore
 
 AS_OF = "2000-01-01"
 CUT = date(2000, 1, 1)
@@ -252,9 +253,14 @@ COLD = [
 ]
 
 
+HISTORY = "date date, product string, family string, eval_date date, n long, score_sum double, " + ", ".join(
+    f"{f} double" for f in FEATURES
+)
+
+
 def _cold_slots(spark: SparkSession, sf: str) -> DataFrame:
     """Slots for every (date, product) before any outcome is known."""
-    nothing_known = history(spark, sf, date(1900, 1, 1))
+    nothing_known = spark.createDataFrame([], HISTORY)
     return arms.slots_today(views.features(spark, sf), nothing_known, SEED, views.PRIORITIES)
 
 
@@ -318,12 +324,12 @@ def walk_forward(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def planted_solver(attempts: DataFrame) -> DataFrame:
-    """A keyed draw decides how the solver ended: solved, solved inexactly, or not."""
-    u = keyed_uniform(draw_key("solver", "date", "product", "family", "attempt"))
+def digit_solver(attempts: DataFrame) -> DataFrame:
+    """The drawn configuration's key decides: solved, solved inexactly, or not."""
+    digit = F.substring("config_hash", 1, 1)
     return attempts.withColumn(
         "solver_status",
-        F.when(u < 0.3, "optimal").when(u < 0.5, "optimal_inaccurate").otherwise("infeasible"),
+        F.when(digit < "5", "optimal").when(digit < "8", "optimal_inaccurate").otherwise("infeasible"),
     )
 
 
@@ -351,16 +357,14 @@ def grid_sql() -> str:
     return f"grid AS (SELECT *, substr(sha256(config_json), 1, 16) AS config_hash FROM ({body}))"
 
 
-SOLVER_U = C.uniform(C.key_text("solver", "date", "product", "family", "attempt"))
 DRAW_U = C.uniform(C.key_text(SEED, "date", "product", "family", "attempt"))
 CYCLE = [
     grid_sql(),
     f"named_slots AS (SELECT * REPLACE ({C.family_name()} AS family) FROM slots)",
-    """tries AS (SELECT *, {u} AS u, {s} AS su FROM named_slots, (VALUES (0), (1), (2), (3)) a(attempt))""".format(
-        u=DRAW_U, s=SOLVER_U
-    ),
+    f"tries AS (SELECT *, {DRAW_U} AS u FROM named_slots, (VALUES (0), (1), (2), (3)) a(attempt))",
     """tried AS (SELECT tries.*, grid.idx, grid.config_json, grid.config_hash,
-      CASE WHEN su < 0.3 THEN 'optimal' WHEN su < 0.5 THEN 'optimal_inaccurate' ELSE 'infeasible' END AS solver_status
+      CASE WHEN grid.config_hash[1] < '5' THEN 'optimal' WHEN grid.config_hash[1] < '8' THEN 'optimal_inaccurate'
+           ELSE 'infeasible' END AS solver_status
       FROM tries JOIN grid ON grid.family = tries.family AND grid.idx = cast(floor(u * grid.grid_size) AS integer))""",
 ]
 
@@ -377,7 +381,10 @@ def propose_cycle(spark: SparkSession, sf: str) -> DataFrame:
     slots = views.named_families(
         arms.slots_today(today(spark, sf), history(spark, sf), SEED, views.PRIORITIES)
     )
-    chosen = choose(slots, config_grid(spark), planted_solver, SEED)
+    store = TableStore(spark, scratch_path(spark, "propose_cycle"))
+    chosen = choose(
+        store.staged(slots, "slots"), config_grid(spark), digit_solver, SEED, lambda tried: store.staged(tried, "attempts")
+    )
     return chosen.select(
         *SLOT,
         "proposal_type",

@@ -98,7 +98,7 @@ def grid_usage(spark: SparkSession, sf: str) -> DataFrame:
           ORDER BY attempt, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS r
       FROM (SELECT *, l_linenumber - 1 AS attempt, CASE l_returnflag WHEN 'A' THEN 'optimal'
                    WHEN 'R' THEN 'optimal_inaccurate' ELSE 'infeasible' END AS solver_status FROM lineitem)
-      WHERE attempt < 4 AND solver_status <> 'infeasible') WHERE r = 1"""
+      WHERE solver_status <> 'infeasible') WHERE r = 1"""
 )
 def first_success(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of an order as attempts, the return flag as the solver's verdict."""
@@ -330,88 +330,85 @@ def meta_score_continuous(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(outcomes, ScoreRule("continuous", 0.3), F.col("turnover"))
 
 
-def _case(table: dict[str, float], column: str, default: float) -> str:
-    cases = " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in table.items())
-    return f"(CASE {column} {cases} ELSE {default!r} END)"
-
-
+# Written out again, so that a wrong coefficient in the library shows.
+CHECK_COEFFICIENTS = """coef(family, c0, c1, c2, c3, c4, c5, c6) AS (VALUES
+  ('max_sharpe', -0.8::double, -0.2::double, 1.5::double, 0.3::double, 0.1::double, 0.1::double, -0.7::double),
+  ('max_mean', 0.1, 0.0, 0.2, 1.8, 0.1, 0.0, -0.1),
+  ('max_min', -0.3, -0.1, 0.9, 1.0, 0.2, 0.1, -0.4),
+  ('min_drawdown', 1.2, 0.9, -1.0, 0.1, 0.2, 0.1, -0.3),
+  ('composite', 0.1, 0.0, 0.2, 0.3, 1.5, 1.3, 0.0)),
+prod(product, scale, shift) AS (VALUES ('corridor_var', 1.0::double, 0.0::double), ('vol', 0.8, 0.1),
+  ('gamma', 1.1, -0.05), ('dngamma', 0.9, 0.15), ('var', 0.95, 0.05))"""
 EXPECTED = (
     "(("
-    + " + ".join(
-        _case({f: linear.COEFFICIENTS[f][i] for f in FAMILIES}, "family", 0.0) + f" * {name}"
-        for i, name in enumerate(FEATURES)
-    )
-    + f") * {_case(linear.PRODUCT_SCALES, 'product', 1.0)} + {_case(linear.PRODUCT_OFFSETS, 'product', 0.0)})"
+    + " + ".join(f"c{i} * {name}" for i, name in enumerate(FEATURES))
+    + ") * coalesce(scale, 1.0::double) + coalesce(shift, 0.0::double))"
 )
 NAMED_ROWS = f"""rows_ AS (SELECT p.config_hash, {C.family_name('p.family')} AS family, f.* REPLACE ({C.product_name('p.product')} AS product)
   FROM prop p JOIN feat f ON f.date = p.date AND f.product = p.product)"""
 
 
 @query(
-    C.with_(C.PROP, C.LINES, C.FEAT, NAMED_ROWS)
-    + f"SELECT date, product, config_hash, {EXPECTED} AS expected_score FROM rows_"
+    C.with_(C.PROP, C.LINES, C.FEAT, NAMED_ROWS, CHECK_COEFFICIENTS)
+    + f"""SELECT date, rows_.product, config_hash, {sql_rounded(EXPECTED, 'expected_score', 9)}
+    FROM rows_ JOIN coef USING (family) LEFT JOIN prod ON prod.product = rows_.product"""
 )
 def linear_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Status P stays an unknown product, which takes scale 1 and offset 0."""
     joined = views.proposals(spark, sf).join(views.features(spark, sf), ["date", "product"])
     scored = views.named(joined).withColumn("expected_score", linear.expected_score())
-    return scored.select(*PROPOSAL_KEY, "expected_score")
+    return scored.select(*PROPOSAL_KEY, rounded("expected_score", 9))
 
 
-NOISE = C.normal(C.key_text(7, "date", "product", "config_hash"))
-VOL_Z = C.normal(C.key_text(7, "'vol'", "date", "product", "config_hash"))
+HELD = FEATURES.index("skew_steepness")
 
 
-@query(
-    C.with_(
-        C.PROP, C.LINES, C.FEAT, NAMED_ROWS,
-        f"""scored AS (SELECT date, product, config_hash, {EXPECTED} + cast(0.4 AS double) * {NOISE} AS score,
-          abs(cast(0.15 AS double) + cast(0.03 AS double) * {VOL_Z}) AS vol FROM rows_)""",
-    )
-    + f"""SELECT date, product, config_hash, cast(date + 7 AS date) AS eval_date, cast(5 AS integer) AS forward_window_days,
-      {sql_rounded('score * vol * 5', 'forward_5d_pnl')}, {sql_rounded('score * vol', 'forward_5d_mean_return')},
-      {sql_rounded('vol', 'forward_realized_vol_21d')}, {sql_rounded('score', 'meta_score')} FROM scored"""
-)
-def scored_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = linear.scored_outcomes(
-        views.named(views.proposals(spark, sf)),
-        views.named_products(views.features(spark, sf)),
-        linear.expected_score(),
-        7,
-    )
-    doubles = ["forward_5d_pnl", "forward_5d_mean_return", "forward_realized_vol_21d", "meta_score"]
-    return rows.select(
-        *PROPOSAL_KEY, "eval_date", "forward_window_days", *[rounded(c) for c in doubles]
-    )
+def ols_estimate(i: int) -> str:
+    """A feature held constant for one product has no estimate there."""
+    value = f"m_{i + 1}_{C.DIM} / std_{i}"
+    return sql_rounded(f"CASE WHEN product = 'gamma' THEN NULL ELSE {value} END" if i == HELD else value, "estimate", 5)
 
 
-OLS_Y = f"{EXPECTED} + cast(0.4 AS double) * {NOISE}"
+def held_row(i: int, j: int) -> str:
+    """The held feature's own equation becomes x = 0, which is how it drops out."""
+    cell = f"g_{min(i, j)}_{max(i, j)}" if j < C.DIM else f"h_{i}"
+    return f"{cell} + CASE WHEN product = 'gamma' THEN 1 ELSE 0 END AS m_{i}_{j}" if i == j == HELD + 1 else f"{cell} AS m_{i}_{j}"
 
 
 @query(
     C.with_(
-        C.PROP, C.LINES, C.FEAT, NAMED_ROWS,
-        f"train AS (SELECT rows_.*, {OLS_Y} AS meta_score FROM rows_)",
+        C.PROP, C.LINES, C.FEAT, C.OUTC, NAMED_ROWS,
+        """train AS (SELECT rows_.* REPLACE (CASE WHEN rows_.product = 'gamma' THEN 0.1::double ELSE rows_.skew_steepness END AS skew_steepness),
+          outc.meta_score FROM rows_ JOIN outc USING (config_hash))""",
         C.scaler(),
         C.standardised(),
         C.gram(),
         "m0 AS (SELECT product, family, n, "
         + ", ".join(
-            [f"g_{min(i, j)}_{max(i, j)} AS m_{i}_{j}" for i in range(C.DIM) for j in range(C.DIM)]
-            + [f"h_{i} AS m_{i}_{C.DIM}" for i in range(C.DIM)]
+            held_row(i, j) for i in range(C.DIM) for j in range(C.DIM + 1)
         )
         + " FROM gram)",
         C.eliminate("product, family", C.DIM + 1),
     )
     + "\nUNION ALL ".join(
-        f"SELECT product, family, cast(n AS bigint) AS n, '{f}' AS feature, {sql_rounded(f'm_{i + 1}_{C.DIM} / std_{i}', 'estimate', 5)} FROM m{C.DIM} JOIN scal USING (product)"
+        f"SELECT product, family, cast(n AS bigint) AS n, '{f}' AS feature, {ols_estimate(i)} FROM m{C.DIM} JOIN scal USING (product)"
         for i, f in enumerate(FEATURES)
     )
 )
 def ols_recovery(spark: SparkSession, sf: str) -> DataFrame:
-    """Least squares on noisy linear scores, per product and family, in feature units."""
-    proposals = views.named(views.proposals(spark, sf))
+    """Least squares on the realised scores, per product and family, in feature units.
+
+    One feature of one product is held constant: it has no estimate, the others keep theirs.
+    """
     features = views.named_products(views.features(spark, sf))
-    outcomes = linear.scored_outcomes(proposals, features, linear.expected_score(), 7)
-    fitted = linear.recover_coefficients(arms.moments(training.arm_days(proposals, features, outcomes)))
+    held = F.when(F.col("product") == "gamma", 0.1).otherwise(F.col("skew_steepness"))
+    fitted = linear.recover_coefficients(
+        arms.moments(
+            training.arm_days(
+                views.named(views.proposals(spark, sf)),
+                features.withColumn("skew_steepness", held),
+                views.named_products(views.outcomes(spark, sf)),
+            )
+        )
+    )
     return fitted.select("product", "family", "n", "feature", rounded("estimate", 5))

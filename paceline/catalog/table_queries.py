@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline import schemas
@@ -15,9 +15,9 @@ from paceline.functions.canonical import not_finite
 from paceline.functions.score import rule_violation
 from paceline.operators import quality, training
 from paceline.operators.keyed import last_per_key, merge_rows
-from paceline.plans.daily import loggable_decisions
+from paceline.plans.daily import record_decisions
 from paceline.schemas import FEATURES, PROPOSAL_KEY
-from paceline.sources.matrices import SHARED, matrix_reference, orphans, width_violations
+from paceline.sources.matrices import SHARED, MatrixStore, matrix_reference, orphans, width_violations
 from paceline.session import scratch_path
 from paceline.sources.tables import TableStore, row_filter, with_month
 
@@ -121,7 +121,7 @@ def upsert_keep_last(spark: SparkSession, sf: str) -> DataFrame:
     later = F.col("l_shipdate") >= F.lit(CUT)
     stored = last_per_key(lines.where(~later), UPSERT_KEY, UPSERT_ORDER)
     batch = last_per_key(lines.where(later), UPSERT_KEY, UPSERT_ORDER)
-    return merge_rows(stored, batch, UPSERT_KEY).select(
+    return merge_rows(stored, batch, UPSERT_KEY, lines.where(later)).select(
         *UPSERT_KEY,
         F.to_date("l_shipdate").alias("ship_date"),
         "l_partkey",
@@ -193,7 +193,7 @@ def conform_cast(spark: SparkSession, sf: str) -> DataFrame:
         F.col("product"),
         F.col("date").cast("string").alias("date"),
     )
-    return schemas.conform(loose.drop(schemas.VERSION_COLUMN), "daily_features")
+    return schemas.conform(loose, "daily_features")
 
 
 @query(
@@ -337,6 +337,25 @@ def _proposed(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _in_layout(keys: DataFrame) -> DataFrame:
+    """Proposal rows of the keys, other columns filled with fixed values."""
+    return keys.select(
+        *PROPOSAL_KEY,
+        F.lit("{}").alias("config_json"),
+        F.lit(1).alias("config_schema_version"),
+        F.lit(schemas.FAMILIES[0]).alias("family"),
+        F.lit(schemas.PROPOSAL_TYPES[0]).alias("proposal_type"),
+        *[F.lit(None).cast("double").alias(c) for c in ("thompson_sample_value", "posterior_mean", "posterior_std")],
+        F.array(F.lit(1.0)).alias("weights"),
+        F.array(F.lit("S00")).alias("column_names"),
+        F.lit(1).alias("n_names"),
+        *[F.lit(0.0).alias(c) for c in ("in_sample_sharpe", "in_sample_mean_pnl", "in_sample_max_dd")],
+        F.lit("optimal").alias("solver_status"),
+        F.lit(0.0).alias("solve_time_seconds"),
+        F.lit(None).cast("string").alias("pnl_matrix_path"),
+    )
+
+
 PROPOSED = """proposed AS (
   SELECT DISTINCT date, product, config_hash FROM dec WHERE notes IS NOT NULL AND date <= DATE '2024-01-20')"""
 
@@ -360,12 +379,111 @@ def decision_reference_check(spark: SparkSession, sf: str) -> DataFrame:
     WHERE (decision = 'modified') = (modified_config_hash IS NOT NULL) GROUP BY 1, 2, 3"""
 )
 def decisions_recorded(spark: SparkSession, sf: str) -> DataFrame:
-    logged = loggable_decisions(views.decisions(spark, sf), _proposed(spark, sf))
-    return logged.groupBy("date", "product", "decision").agg(
+    """Decisions on planted proposals, recorded in a store and read back from its log."""
+    store = TableStore(spark, scratch_path(spark, "decisions_recorded"))
+    known = _proposed(spark, sf).distinct()
+    store.write_proposals(_in_layout(known))
+    valid = views.decisions(spark, sf).join(known, PROPOSAL_KEY, "left_semi").drop("event_id", "user_id")
+    record_decisions(store, valid)
+    return store.read_decisions_raw().groupBy("date", "product", "decision").agg(
         F.count("*").alias("n"), F.count_distinct("config_hash").alias("n_keys")
     )
 
 
+STORED_MATRIX = """cells0 AS (SELECT cast(DATE '2024-01-01' + cast(vec_id % 2 AS integer) AS date) AS date, cast(label AS varchar) AS product,
+  substr(sha256(cast(vec_id % 5 AS varchar)), 1, 16) AS config_hash, vec_id, vec_id % 5 AS kind, cast(embedding[1] AS double) AS first
+  FROM embeddings)"""
+
+
+def _stored_matrices(spark: SparkSession, sf: str) -> DataFrame:
+    """Up to five matrices per product on each of two days."""
+    return views.matrix_rows(spark, sf).select(
+        F.date_add(F.lit(MATRIX_DAY), (F.col("t") % 2).cast("int")).alias("date"),
+        "product",
+        views.short_digest(F.col("t") % 5).alias("config_hash"),
+        F.col("t").cast("int").alias("t"),
+        "values",
+    )
+
+
+def _matrix_sums(rows: DataFrame) -> DataFrame:
+    sums = rows.groupBy(*PROPOSAL_KEY).agg(F.count("*").alias("n_rows"), F.sum(F.col("values")[0]).alias("first"))
+    return sums.select(*PROPOSAL_KEY, "n_rows", rounded("first", 8))
+
+
+@query(
+    C.with_(STORED_MATRIX)
+    + f"""SELECT date, product, config_hash, count(*) AS n_rows,
+      {sql_rounded('sum(CASE WHEN kind = 0 THEN -first ELSE first END)', 'first', 8)}
+    FROM cells0 WHERE kind <> 0 OR vec_id % 3 = 0 GROUP BY 1, 2, 3"""
+)
+def matrices_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """All matrices written, one in five replaced by a shorter, negated version, all read back."""
+    store = MatrixStore(TableStore(spark, scratch_path(spark, "matrices_stored")))
+    rows = _stored_matrices(spark, sf)
+    store.write(rows)
+    again = rows.where((F.col("t") % 5 == 0) & (F.col("t") % 3 == 0))
+    gone = rows.where((F.col("t") % 5 == 0)).select(*PROPOSAL_KEY).distinct()
+    store.write(again.withColumn("values", F.transform("values", lambda v: -v)))
+    unreplaced = gone.join(again.select(*PROPOSAL_KEY), PROPOSAL_KEY, "left_anti")
+    return _matrix_sums(store.rows().join(unreplaced, PROPOSAL_KEY, "left_anti"))
+
+
+@query(
+    C.with_(STORED_MATRIX)
+    + f"""SELECT date, product, config_hash, count(*) AS n_rows, {sql_rounded('sum(first)', 'first', 8)}
+    FROM cells0 WHERE kind IN (1, 2, 3) AND product <> '4' GROUP BY 1, 2, 3"""
+)
+def orphans_swept(spark: SparkSession, sf: str) -> DataFrame:
+    """Matrices of which some have a proposal; product 4 has none, so its folders go."""
+    store = TableStore(spark, scratch_path(spark, "orphans_swept"))
+    rows = _stored_matrices(spark, sf)
+    MatrixStore(store).write(rows)
+    kept = rows.where((F.col("t") % 5).isin(1, 2, 3) & (F.col("product") != "4"))
+    store.write_proposals(_in_layout(kept.select(*PROPOSAL_KEY).distinct()))
+    MatrixStore(store).sweep(rows)
+    return _matrix_sums(MatrixStore(store).rows())
+
+
+PLANTED = {1: "NULL", 2: "'NaN'::double", 3: "'Infinity'::double", 4: "'-Infinity'::double"}
+ODD_FEATURE = "CASE day(date) " + " ".join(f"WHEN {k} THEN {v}" for k, v in PLANTED.items()) + f" ELSE {FEATURES[1]} END"
+ODD_SCORE = "CASE config_hash[1] " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in PLANTED.items()) + " ELSE meta_score END"
+
+
+def _exclusion_rows(column: str, source: str) -> list[str]:
+    tests = {"null": f"{column} IS NULL", "NaN": f"isnan({column})", "infinite": f"isinf({column})"}
+    return [
+        f"SELECT '{column}' AS \"column\", '{reason}' AS reason, count(*) FILTER ({test}) AS rows FROM {source}"
+        for reason, test in tests.items()
+    ]
+
+
+@query(
+    C.with_(
+        C.PROP, C.LINES, C.FEAT, C.OUTC,
+        f"feat1 AS (SELECT * REPLACE ({ODD_FEATURE} AS {FEATURES[1]}) FROM feat)",
+        f"outc1 AS (SELECT * REPLACE ({ODD_SCORE} AS meta_score) FROM outc)",
+    )
+    + "\nUNION ALL ".join([x for f in FEATURES for x in _exclusion_rows(f, "feat1")] + _exclusion_rows("meta_score", "outc1"))
+)
+def fit_exclusions(spark: SparkSession, sf: str) -> DataFrame:
+    """Values planted by day and by key that keep rows out of the fit, counted by reason."""
+
+    def planted(key: Column, kinds: list, value: str) -> Column:
+        odd = [None, float("nan"), float("inf"), float("-inf")]
+        case = F.col(value)
+        for kind, bad in zip(kinds, odd):
+            case = F.when(key == kind, F.lit(bad).cast("double")).otherwise(case)
+        return case
+
+    features = views.features(spark, sf)
+    features = features.withColumn(FEATURES[1], planted(F.day("date"), list(PLANTED), FEATURES[1]))
+    first = F.substring("config_hash", 1, 1)
+    outcomes = views.outcomes(spark, sf)
+    outcomes = outcomes.withColumn("meta_score", planted(first, [str(k) for k in PLANTED], "meta_score"))
+    return training.fit_exclusions(features, outcomes)
+
+
 @query(C.with_(C.CELLS) + "SELECT product, t, idx, value FROM cells")
 def matrix_read(spark: SparkSession, sf: str) -> DataFrame:
     cells = views.matrix_rows(spark, sf).select(
