@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paceline.llm.binary_records import batches
 from paceline.llm.common import shared_folder, stored, table
 
 STEP = 16
@@ -51,6 +52,7 @@ LEAST_SHARE = 0.6
 LEAST_ANSWER = 0.5
 BLOCK = 4000
 GROUPS = 16
+RUN_WORDS = 300_000
 SPACED = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 SENTENCE = re.compile(r"(?<=[.?!])\s+")
 FILTER_BITS = 20
@@ -62,11 +64,10 @@ def word_hashes(text: str | None) -> np.ndarray:
 
 
 def hashed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
-        for at in range(0, len(batch), 1000):
-            part = batch.slice(at, 1000)
-            words = [word_hashes(x).tobytes() for x in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.binary())], ["doc_id", "words"])
+    for run in batches(rows):
+        words = [word_hashes(text).tobytes() for _, text in run]
+        ids = pa.array([doc_id for doc_id, _ in run], pa.int64())
+        yield pa.RecordBatch.from_arrays([ids, pa.array(words, pa.binary())], ["doc_id", "words"])
 
 
 @dataclass
@@ -113,12 +114,23 @@ class Vocabulary:
 
 
 def documents_of(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """Runs of documents: ids, all words one after the other, number of words of each."""
+    """Runs of documents: ids, all words one after the other, number of words of each.
+
+    A run has at most RUN_WORDS words, or one document.
+    """
+    ids: list = []
+    words: list[np.ndarray] = []
+    held = 0
     for batch in rows:
-        for at in range(0, len(batch), 500):
-            part = batch.slice(at, 500)
-            words = [np.frombuffer(x, np.uint32) for x in part.column(1).to_pylist()]
-            yield part.column(0).to_pylist(), np.concatenate(words), np.fromiter(map(len, words), np.int64, len(words))
+        for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids.append(doc_id)
+            words.append(np.frombuffer(data.as_buffer(), np.uint32))
+            held += len(words[-1])
+            if held >= RUN_WORDS:
+                yield ids, np.concatenate(words), np.fromiter(map(len, words), np.int64, len(words))
+                ids, words, held = [], [], 0
+    if ids:
+        yield ids, np.concatenate(words), np.fromiter(map(len, words), np.int64, len(words))
 
 
 def steps_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paceline.llm.binary_records import batches
 from paceline.llm.common import shared_folder, stored, table
 
 SHINGLE = 3
@@ -75,13 +76,12 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def fingerprinter(shingle: int):
     def fingerprint(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
-                hashes = [np.array(shingle_hashes(x or "", shingle), np.uint64) for x in part.column(1).to_pylist()]
-                counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
-                made = majority(np.concatenate(hashes), counts).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made)], ["doc_id", "simhash"])
+        for run in batches(rows):
+            hashes = [np.array(shingle_hashes(text, shingle), np.uint64) for _, text in run]
+            counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
+            made = majority(np.concatenate(hashes), counts).view(np.int64)
+            ids = pa.array([doc_id for doc_id, _ in run], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(made)], ["doc_id", "simhash"])
 
     return fingerprint
 
