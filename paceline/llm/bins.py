@@ -14,6 +14,7 @@ import numpy as np
 
 Filling = tuple[int, ...]  # sizes in falling order
 Packing = list[tuple[Filling, int]]
+FEW = 5
 
 
 def bins_of(packing: Packing) -> int:
@@ -102,8 +103,9 @@ def dominates(better: Filling, worse: Filling) -> bool:
 def fillings(counts: dict[int, int], sizes: list[int], room: int, width: int, keep: int) -> list[Filling]:
     """Undominated sets of the sizes (rising) that fit the room, least waste first.
 
-    Sets of up to three sizes begin with one of the `width` largest that fit; each is
-    then filled up with the largest that fit. The best `keep` are returned.
+    Sets begin with one or two of the `width` largest sizes that fit; each is then
+    filled up with the largest that fit. The best `keep` are returned. Dominance is
+    tested among sets of few sizes, where one fits into another.
     """
     if counts.get(room):
         return [(room,)]  # an exact fit by one size dominates every other set
@@ -132,7 +134,7 @@ def fillings(counts: dict[int, int], sizes: list[int], room: int, width: int, ke
                     break
     out: list[Filling] = []
     for filling in sorted(found - {()}, key=lambda x: (room - sum(x), [-s for s in x])):
-        if not any(dominates(x, filling) for x in out):
+        if len(filling) > FEW or not any(len(x) <= FEW and dominates(x, filling) for x in out):
             out.append(filling)
             if len(out) == keep:
                 break
@@ -179,14 +181,16 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = 4000, width: in
             elif sign < 0 and not before:
                 insort(sizes, s)
 
+    fewest = bins_of(best)
+
     def hopeless() -> bool:
-        allowed = (bins_of(best) - 1) * capacity - total
-        return waste > allowed or bins + lower_bound({s: now[s] for s in sizes}, capacity) >= bins_of(best)
+        allowed = (fewest - 1) * capacity - total
+        return waste > allowed or bins + lower_bound({s: now[s] for s in sizes}, capacity) >= fewest
 
-    while left > 0 and bins_of(best) > bound and len(stack) < depth_limit:
+    while left > 0 and fewest > bound and len(stack) < depth_limit:
         left -= 1
-        if not sizes and bins < bins_of(best):
-            best = list(used)
+        if not sizes and bins < fewest:
+            best, fewest = list(used), bins
         if not sizes or hopeless():
             while stack and not stack[-1]:
                 stack.pop()
@@ -200,6 +204,4 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = 4000, width: in
             choice = stack[-1].pop(0)
         used.append(choice)
         apply(*choice, 1)
-    if not sizes and bins < bins_of(best):
-        best = list(used)
-    return best
+    return list(used) if not sizes and bins < fewest else best
