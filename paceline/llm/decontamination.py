@@ -45,7 +45,7 @@ OVERSAMPLE = 16
 POWERS = 2
 SEED = 42
 LEAST_WORDS = 8
-LEAST_COSINE = 0.35
+LEAST_COSINE = 0.25
 #: Share of an item's words that occur in order: enough alone, and enough with the answer.
 SURE_SHARE = 0.85
 LEAST_SHARE = 0.6
@@ -332,6 +332,8 @@ def contamination(
         hashes = np.unique(np.concatenate([x.words for x in items]))
         weights, other = weights_of(words, hashes)
         bags = [bag(np.searchsorted(hashes, x), weights) for _, x in passages]
+        # of length one, or the space would leave out short items first
+        bags = [(p, w / np.linalg.norm(w)) for p, w in bags]
         space = latent_space(spark, bags, len(hashes), rank)
         vectors = np.stack([w @ space[p] for p, w in bags], axis=1)
         vectors /= np.maximum(np.linalg.norm(vectors, axis=0), 1e-12)
