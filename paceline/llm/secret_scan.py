@@ -32,6 +32,8 @@ TRAILING = "\"'`)]}>.,;:!?=*#$%&~^|+-_/\\»”’…"
 DELIMITERS = "=:\"'`([{<,;|&"
 CREDENTIAL = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer)\W*$"
 PLACEHOLDER = r"(?i)(example|changeme|placeholder|dummy|sample|your[_-]|xxxx|0000000|1234567|<|\$\{)"
+#: Words that are no comment on the candidate beside them.
+ADDRESS = r"\S*[@./]\S*"
 #: Public key formats.
 FORMAT = r"^(A(KI|SI)A[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)$"
 UUID = r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
@@ -117,7 +119,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             "covered": share(lower, "|".join(DICTIONARY)),
             "credential": flag(context.rlike(CREDENTIAL)),
             "assigned": flag(context.rlike(r"[=:]\W*$")),
-            "placeholder": flag(F.concat_ws(" ", "before", "word", "after").rlike(PLACEHOLDER)),
+            "placeholder": flag(F.concat_ws(" ", F.regexp_replace("before", ADDRESS, ""), value).rlike(PLACEHOLDER)),
             "dots": share(value, "[.]"),
             "test_path": flag(F.col("path").rlike(TEST_PATH)),
             "path_depth": (F.size(F.split("path", "/")) - 1).cast("double"),

@@ -1,0 +1,108 @@
+from __future__ import annotations
+
+import gzip
+import hashlib
+import io
+
+import duckdb
+import pyarrow as pa
+import pytest
+
+from paceline.llm import warc
+from paceline.llm.common import shared_folder, store_of, table
+from tests.conftest import SF_DIR
+
+
+def test_query_against_check_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF_DIR}/pages.parquet'")
+    wanted = sorted(map(str, con.execute(warc.CHECK_OP3).fetchall()))
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert sorted(str(tuple(r)) for r in warc.op3_warc(spark, SF_DIR).select(*columns).collect()) == wanted
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    big, small, long = "é" * 600, "x" * 999, "<p>long</p>" * 100_000
+    rows = [(k, f"http://a/{k}", big) for k in range(30)] + [(100 + k, None, small) for k in range(5)]
+    rows += [(200, "http://b/ c\r\nX: y", None), (201, "", ""), (202, "u", long), (203, "u", "y" * 1000)]
+    rows += [(29, "again", big), (None, "no id", big), (None, "no id", "alone")]
+    return spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, digest int, bytes string").repartition(4)
+
+
+def expected(rows):
+    out = []
+    last = {}
+    for page_id, html in rows:
+        if page_id is not None:
+            last[html] = max(last.get(html, page_id), page_id)
+    for page_id, html in rows:
+        data = (html or "").encode()
+        newest = last.get(html) if len(data) >= 1000 else None
+        revisit = newest is not None and (page_id is None or page_id < newest)
+        out.append((page_id, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", newest if revisit else None))
+    return sorted(out, key=str)
+
+
+def test_round_trip(spark, pages):
+    address = shared_folder(spark, "test")
+    files = warc.write_archives(pages, address)
+    entries = warc.read_archives(spark, address, files).collect()
+    assert not [e for e in entries if e.gap]
+    found = [(e.page_id, e.payload_bytes, e.payload_digest, e.record_type, e.refers_to) for e in entries]
+    source = pages.select("page_id", "html").collect()
+    assert sorted(found, key=str) == expected([tuple(r) for r in source])
+    texts = {(r.page_id, r.html or "") for r in source}
+    assert {(e.page_id, e.payload.decode()) for e in entries if e.record_type == "response"} <= texts
+    store, folder = store_of(address)
+    data = store.open_input_stream(f"{folder}/{files[0]}", compression=None).read()
+    assert gzip.decompress(data).startswith(b"WARC/1.1\r\n")  # a chain of gzip members
+
+
+def test_empty_table(spark, pages):
+    address = shared_folder(spark, "test")
+    assert warc.write_archives(pages.limit(0), address) == []
+    assert warc.read_archives(spark, address, []).count() == 0
+
+
+def page(k):
+    html = b"page %d " % k * 40
+    return warc.record({"page_id": k, "url": "http://a", "html": html, "digest": hashlib.sha1(html).hexdigest(), "bytes": len(html), "refers_to": None, "revisit": False})
+
+
+def read(data):
+    return [(e["start"], e["end"], e["gap"], e.get("page_id")) for e in warc.salvaged(pa.PythonFile(io.BytesIO(data), mode="r"))]
+
+
+def test_damaged_members_cost_only_themselves():
+    members = [gzip.compress(page(k)) for k in range(6)]
+    at = [sum(map(len, members[:k])) for k in range(7)]
+    data = bytearray(b"".join(members))
+    data[at[1] + 40] ^= 0x55
+    found = read(bytes(data[:-9]))
+    assert [f[3] for f in found if f[2] is None] == [0, 2, 3, 4]
+    assert [(f[0], f[1]) for f in found if f[2]] == [(at[1], at[2]), (at[5], at[6] - 9)]
+
+
+def test_garbage_cuts_and_plain_records():
+    first, cut, third, member, last = page(0), page(1)[:200], page(2), gzip.compress(page(3)), page(4)
+    junk = b"junk" + warc.GZIP + b"zz"
+    found = read(first + junk + cut + third + member + last)
+    n = len(first)
+    assert found == [
+        (0, n, None, 0),
+        (n, n + len(junk) + 200, "neither a member nor a version line", None),
+        (n + len(junk) + 200, n + len(junk) + 200 + len(third), None, 2),
+        (found[3][0], found[3][0] + len(member), None, 3),
+        (found[4][0], found[4][0] + len(last), None, 4),
+    ]
+
+
+def test_a_wrong_digest_and_a_wrong_length_are_gaps():
+    good = page(7)
+    changed = good.replace(b"page 7 page", b"page 8 page", 1)
+    longer = good.replace(b"Content-Length: ", b"Content-Length: 1", 2)
+    for bad, reason in ((changed, "digest"), (longer, "")):
+        found = read(bad + good)
+        assert [f[3] for f in found if f[2] is None] == [7] and reason in [f[2] for f in found if f[2]][0]
+    assert read(b"") == [] and read(b"nothing at all")[0][2]
