@@ -54,26 +54,15 @@ def named_l1_distance(
     current: Column, current_names: Column, previous: Column, previous_names: Column
 ) -> Column:
     """L1 distance of two weight arrays matched by ticker; an absent ticker weighs 0."""
-    held = F.map_from_arrays(previous_names, previous)
-    on_current = F.aggregate(
-        F.zip_with(
-            current, current_names, lambda w, n: F.abs(w - F.coalesce(F.element_at(held, n), F.lit(0.0)))
-        ),
-        F.lit(0.0),
-        lambda total, d: total + d,
-    )
-    dropped = F.aggregate(
-        F.filter(
-            F.arrays_zip(previous.alias("w"), previous_names.alias("n")),
-            lambda p: ~F.array_contains(current_names, p["n"]),
-        ),
-        F.lit(0.0),
-        lambda total, p: total + F.abs(p["w"]),
+    apart = F.map_zip_with(
+        F.map_from_arrays(current_names, current),
+        F.map_from_arrays(previous_names, previous),
+        lambda _, a, b: F.abs(F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0))),
     )
     return (
         F.when(previous.isNull(), l1_distance(current, previous))
         .when(current_names == previous_names, l1_distance(current, previous))
-        .otherwise(on_current + dropped)
+        .otherwise(F.aggregate(F.map_values(apart), F.lit(0.0), lambda total, d: total + d))
     )
 
 
