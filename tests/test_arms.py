@@ -14,7 +14,7 @@ from paceline.operators import arms, linear, training
 from paceline.plans import walkforward
 from paceline.schemas import FAMILIES, FEATURES
 
-START = date(2024, 1, 2)
+START = date(2031, 1, 2)
 
 
 def random_history(days=60, products=("vol", "var"), per_family=2, seed=5, constant=None):
@@ -85,7 +85,7 @@ def frames(spark):
     return [df.cache() for df in to_spark(spark, HISTORY)]
 
 
-def context(spark, x, products, day=date(2024, 6, 1)):
+def context(spark, x, products, day=date(2031, 6, 1)):
     rows = [(day, p, *[float(v) for v in x]) for p in products]
     numbers = ", ".join(f"{n} double" for n in FEATURES)
     return spark.createDataFrame(rows, f"date date, product string, {numbers}")

@@ -134,28 +134,28 @@ def test_recording_needs_proposals_and_returns(spark, store):
     vols = spark.createDataFrame([("vol", 0.02)], "product string, vol double")
     returns = matrices(spark, ["vol"], width=3)
     with pytest.raises(ValueError, match="no proposals"):
-        daily.record_outcomes(store, m.DAY, date(2024, 1, 9), returns, vols)
+        daily.record_outcomes(store, m.DAY, date(2031, 1, 9), returns, vols)
     rows = [m.proposal(), m.proposal(product="var"), m.proposal(product="gamma")]
     store.write_proposals(m.frame(spark, "proposals", rows))
     with pytest.raises(ValueError, match="no outcomes"):
-        daily.record_outcomes(store, m.DAY, date(2024, 1, 9), returns.where("false"), vols)
+        daily.record_outcomes(store, m.DAY, date(2031, 1, 9), returns.where("false"), vols)
     both = matrices(spark, ["vol", "var"], width=3)
-    assert daily.record_outcomes(store, m.DAY, date(2024, 1, 9), both, vols).count() == 1
+    assert daily.record_outcomes(store, m.DAY, date(2031, 1, 9), both, vols).count() == 1
 
 
 def test_turnover_is_charged_against_the_earlier_best(spark, store):
-    before, day = date(2024, 1, 1), m.DAY
+    before, day = date(2031, 1, 1), m.DAY
     rows = [
         m.proposal(before, key="old", weights=[0.2, 0.3, 0.5]),
         m.proposal(day, key="new", weights=[0.5, 0.3, 0.2]),
         m.proposal(day, key="alt", weights=[0.2, 0.3, 0.5], proposal_type="alt"),
-        m.proposal(date(2024, 1, 3), key="late", weights=[1.0, 0.0, 0.0]),
+        m.proposal(date(2031, 1, 3), key="late", weights=[1.0, 0.0, 0.0]),
     ]
     store.write_proposals(m.frame(spark, "proposals", rows))
     vols = spark.createDataFrame([("vol", 0.1)], "product string, vol double")
     returns = spark.createDataFrame([("vol", 0, [0.01, 0.02, 0.03])], "product string, t int, values array<double>")
     rule = ScoreRule("continuous", 0.3)
-    found = daily.record_outcomes(store, day, date(2024, 1, 9), returns, vols, rule=rule).collect()
+    found = daily.record_outcomes(store, day, date(2031, 1, 9), returns, vols, rule=rule).collect()
     moved = {r["config_hash"]: r["turnover_vs_prev_best"] for r in found}
     assert moved == {"new": pytest.approx(0.6), "alt": pytest.approx(0.0)}
     new = next(r for r in found if r["config_hash"] == "new")
@@ -166,8 +166,8 @@ def test_returns_by_ticker(spark, store):
     store.write_proposals(m.frame(spark, "proposals", [m.proposal()]))
     vols = spark.createDataFrame([("vol", 0.1)], "product string, vol double")
     returns = spark.createDataFrame([("vol", 0, [0.03, 0.01, 0.02])], "product string, t int, values array<double>")
-    row = daily.record_outcomes(store, m.DAY, date(2024, 1, 9), returns, vols, ["C", "A", "B"]).first()
-    assert row["forward_5d_pnl"] == pytest.approx(0.5 * 0.01 + 0.3 * 0.02 + 0.2 * 0.03)
+    row = daily.record_outcomes(store, m.DAY, date(2031, 1, 9), returns, vols, ["Z", "X", "Y"]).first()
+    assert row["forward_5d_pnl"] == pytest.approx(0.25 * 0.01 + 0.6 * 0.02 + 0.15 * 0.03)
 
 
 def test_decisions_are_checked_and_logged(spark, store):
@@ -178,9 +178,9 @@ def test_decisions_are_checked_and_logged(spark, store):
         daily.record_decision(store, m.DAY, "xyz", "vol", "accepted")
     with pytest.raises(ValueError, match="rule"):
         daily.record_decision(store, m.DAY, "abc", "vol", "modified")
-    at = datetime(2024, 1, 2, 9, tzinfo=timezone.utc)
+    at = datetime(2031, 1, 2, 9, tzinfo=timezone.utc)
     daily.record_decision(store, m.DAY, "abc", "vol", "rejected", "too wide", decided_at=at)
-    daily.record_decision(store, m.DAY, "abc", "vol", "modified", None, "newcfg1234567890")
+    daily.record_decision(store, m.DAY, "abc", "vol", "modified", None, "5eed0f0a51ce0002")
     assert store.read_decisions_raw().count() == 2
     latest = store.read_decisions_latest().collect()
-    assert [(r["decision"], r["modified_config_hash"]) for r in latest] == [("modified", "newcfg1234567890")]
+    assert [(r["decision"], r["modified_config_hash"]) for r in latest] == [("modified", "5eed0f0a51ce0002")]

@@ -96,13 +96,13 @@ def test_full_and_pending(spark):
     outcomes = m.frame(spark, "outcomes", [m.outcome(key="a")])
     features = m.frame(spark, "daily_features", [m.feature()])
     full = {r["config_hash"]: r for r in training.full_table(proposals, features, outcomes).collect()}
-    assert full["a"]["meta_score"] == 0.0667 and full["b"]["meta_score"] is None
-    assert full["b"]["vix_level"] == 20.0
+    assert full["a"]["meta_score"] == 0.25 and full["b"]["meta_score"] is None
+    assert full["b"]["vix_level"] == 17.5
     assert [r["config_hash"] for r in training.pending_proposals(proposals, outcomes).collect()] == ["b"]
-    on_day = training.training_table(proposals, features, outcomes, date(2024, 1, 9))
+    on_day = training.training_table(proposals, features, outcomes, date(2031, 1, 10))
     assert [r["config_hash"] for r in on_day.collect()] == ["a"]
     assert len(on_day.columns) == 19 + 7 + 10
-    assert training.training_table(proposals, features, outcomes, date(2024, 1, 8)).isEmpty()
+    assert training.training_table(proposals, features, outcomes, date(2031, 1, 9)).isEmpty()
 
 
 def test_keep_last_and_merge_with_a_hot_key(spark):

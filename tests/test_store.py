@@ -16,14 +16,14 @@ def test_missing_table_is_empty(store):
 
 
 def test_upsert_over_months_and_dates(spark, store):
-    days = [date(2024, 1, 2), date(2024, 1, 3), date(2024, 2, 1), date(2023, 12, 31)]
+    days = [date(2031, 1, 2), date(2031, 1, 3), date(2031, 2, 1), date(2030, 12, 31)]
     store.write_features(m.frame(spark, "daily_features", [m.feature(d) for d in days]))
-    again = [m.feature(date(2024, 1, 3), vix_level=30.0), m.feature(date(2024, 1, 4))]
+    again = [m.feature(date(2031, 1, 3), vix_level=30.0), m.feature(date(2031, 1, 4))]
     store.write_features(m.frame(spark, "daily_features", again))
     store.write_features(m.frame(spark, "daily_features", again))
     levels = {r["date"]: r["vix_level"] for r in store.read_features().collect()}
     assert levels == {
-        days[0]: 20.0, days[1]: 30.0, days[2]: 20.0, days[3]: 20.0, date(2024, 1, 4): 20.0,
+        days[0]: 17.5, days[1]: 30.0, days[2]: 17.5, days[3]: 17.5, date(2031, 1, 4): 17.5,
     }
     assert store.read_features().count() == 5
     assert "year" not in store.read_features().columns
@@ -39,10 +39,10 @@ def test_upsert_keeps_last_of_a_batch(spark, store):
 
 
 def test_reads_filter_and_prune(spark, store):
-    days = [date(2023, 11, 5), date(2024, 1, 2), date(2024, 1, 20), date(2024, 3, 1)]
+    days = [date(2030, 11, 5), date(2031, 1, 2), date(2031, 1, 20), date(2031, 3, 1)]
     rows = [m.feature(d, p) for d in days for p in ("vol", "var")]
     store.write_features(m.frame(spark, "daily_features", rows))
-    part = store.read_features(date(2024, 1, 2), date(2024, 1, 20), ["vol"])
+    part = store.read_features(date(2031, 1, 2), date(2031, 1, 20), ["vol"])
     assert sorted(r["date"] for r in part.collect()) == days[1:3]
     assert store.read_features(products=[]).isEmpty()
     plan = part._jdf.queryExecution().executedPlan().toString()
@@ -131,7 +131,7 @@ def test_matrix_of_wrong_width_is_refused(spark, store):
 
 
 def test_orphans_of_touched_days_are_swept(spark, store):
-    other = date(2024, 1, 9)
+    other = date(2031, 1, 9)
     MatrixStore(store).write(
         matrix(spark, [(m.DAY, "vol", "gone", [[1.0] * 3]), (other, "vol", "kept", [[1.0] * 3])])
     )
@@ -145,7 +145,7 @@ def test_orphans_of_touched_days_are_swept(spark, store):
 
 
 def test_log_appends_each_row_once(spark, store):
-    days = [date(2024, 1, d) for d in (2, 3, 4)]
+    days = [date(2031, 1, d) for d in (2, 3, 4)]
     store.append_decisions(m.frame(spark, "decisions", [m.decision(d) for d in days]))
     assert store.read_decisions_raw().count() == 3
     store.append_decisions(m.frame(spark, "decisions", [m.decision()]))
@@ -153,16 +153,16 @@ def test_log_appends_each_row_once(spark, store):
 
 
 def test_latest_decision_wins(spark, store):
-    at = lambda h: datetime(2024, 1, 2, h, tzinfo=timezone.utc)
+    at = lambda h: datetime(2031, 1, 2, h, tzinfo=timezone.utc)
     rows = [
         m.decision(decided_at_utc=at(10)),
-        m.decision(decision="rejected", decided_at_utc=at(12), notes="changed my mind"),
+        m.decision(decision="rejected", decided_at_utc=at(12), notes="second look"),
         m.decision(decided_at_utc=at(11)),
         m.decision(key="other"),
     ]
     store.append_decisions(m.frame(spark, "decisions", rows))
     latest = {r["config_hash"]: r["decision"] for r in store.read_decisions_latest().collect()}
-    assert latest == {"abc123def456789a": "rejected", "other": "accepted"}
+    assert latest == {"5eed0f0a51ce0001": "rejected", "other": "accepted"}
 
 
 @pytest.mark.parametrize(
@@ -171,7 +171,7 @@ def test_latest_decision_wins(spark, store):
         {"decision": "maybe"},
         {"decision": None},
         {"decision": "modified"},
-        {"modified_config_hash": "newcfg1234567890"},
+        {"modified_config_hash": "5eed0f0a51ce0002"},
     ],
 )
 def test_bad_decisions_are_refused(spark, store, change):

@@ -12,7 +12,7 @@ def test_stream_appends_valid_rows_once(spark, store, tmp_path):
     source, checkpoint = str(tmp_path / "in"), str(tmp_path / "checkpoint")
     rows = [
         m.decision(),
-        m.decision(decision="rejected", decided_at_utc=datetime(2024, 1, 3, tzinfo=timezone.utc)),
+        m.decision(decision="rejected", decided_at_utc=datetime(2031, 1, 3, tzinfo=timezone.utc)),
         m.decision(decision="maybe"),
     ]
     frame = m.frame(spark, "decisions", rows)
