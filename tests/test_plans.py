@@ -9,7 +9,7 @@ from tests.conftest import SF_DIR
 
 
 # Queries that aggregate a whole table into one row, combined map-side.
-GLOBAL_ROW = ("rule_report", "null_report", "conditional_null_violations", "posterior_given_scaler")
+GLOBAL_ROW = ("rule_report", "null_report", "conditional_null_violations", "posterior_given_scaler", "fit_exclusions")
 
 
 @pytest.fixture(autouse=True)
@@ -19,7 +19,7 @@ def whole_metadata(spark):
 
 
 def plan(spark, name):
-    return entry.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    return entry.QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("name", ["decisions_latest", "upsert_keep_last", "first_success", "slot_labels"])
@@ -29,7 +29,7 @@ def test_top_rows_are_cut_before_the_shuffle(spark, name):
     assert "Partial" in below_exchange.split("WindowGroupLimit", 1)[1].splitlines()[0]
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_no_product_joins_or_single_partitions(spark, name):
     text = plan(spark, name)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
