@@ -212,11 +212,11 @@ def test_slots(spark):
 def test_learns_the_regime(spark):
     """High volatility should favour the family whose rule rewards it."""
     frames = to_spark(spark, random_history(days=300, products=("corridor_var",)))
-    high = placed(spark, frames, ("corridor_var",), [35, 5, 0.2, 0, 0, 0, 0.1], date(2025, 1, 1))
+    high = placed(spark, frames, ("corridor_var",), [35, 5, 0.2, 0, 0, 0, 0.1], date(2032, 1, 1))
     predicted = {r["family"]: r["posterior_mean"] for r in arms.predict(high, ["date", "product", "family"]).collect()}
     assert max(predicted, key=predicted.get) == "min_drawdown"
-    low_corr = placed(spark, frames, ("corridor_var",), [20, 0, 0.1, 0, 0, 0, 0.1], date(2025, 1, 1))
-    high_corr = placed(spark, frames, ("corridor_var",), [20, 0, 0.8, 0, 0, 0, 0.1], date(2025, 1, 1))
+    low_corr = placed(spark, frames, ("corridor_var",), [20, 0, 0.1, 0, 0, 0, 0.1], date(2032, 1, 1))
+    high_corr = placed(spark, frames, ("corridor_var",), [20, 0, 0.8, 0, 0, 0, 0.1], date(2032, 1, 1))
     mean = lambda df: {r["family"]: r["posterior_mean"] for r in arms.predict(df, ["date", "product", "family"]).collect()}
     low, high = mean(low_corr), mean(high_corr)
     assert high["max_sharpe"] > low["max_sharpe"] and high["min_drawdown"] < low["min_drawdown"]
