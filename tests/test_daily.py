@@ -178,7 +178,7 @@ def test_decisions_are_checked_and_logged(spark, store):
         daily.record_decision(store, m.DAY, "xyz", "vol", "accepted")
     with pytest.raises(ValueError, match="rule"):
         daily.record_decision(store, m.DAY, "abc", "vol", "modified")
-    at = datetime(2031, 1, 2, 9, tzinfo=timezone.utc)
+    at = datetime(2021, 1, 2, 9, tzinfo=timezone.utc)
     daily.record_decision(store, m.DAY, "abc", "vol", "rejected", "too wide", decided_at=at)
     daily.record_decision(store, m.DAY, "abc", "vol", "modified", None, "5eed0f0a51ce0002")
     assert store.read_decisions_raw().count() == 2
