@@ -42,7 +42,7 @@ SEED = 42
 UNDETERMINED = "und"
 #: Characters whose features are made together, and characters labelled together.
 CHUNK_CHARS = 1_000_000
-RUN_CHARS = 6_000_000
+RUN_CHARS = 3_000_000
 #: Odd multipliers of the hashes, and the inverse of BASE modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)

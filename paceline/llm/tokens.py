@@ -20,7 +20,7 @@ import regex
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 #: Distinct words that a worker remembers; beyond it the memory starts anew.
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 300_000
 #: A space inside a run of white space: there a cut before each space would part one token.
 INNER_SPACE = regex.compile(r"\s \s")
 LAST_OF_RUN = regex.compile(r"(?<=\S)(?= )")
