@@ -4,12 +4,15 @@
 2. Passages are windows of 32 words, 16 apart. The vocabulary is the benchmark's; how
    many passages of all documents hold each word is counted, and gives its weight. All
    other words weigh as one that no passage had.
-3. A randomised SVD of the benchmark's TF-IDF passages, the products A'(A X) spread over
-   Spark's tasks, gives the latent space.
-4. Every passage of every document is projected and held against all benchmark passages
-   by cosine. For each of GROUPS groups of benchmark passages, the most that a word adds
-   to a product with any of them is known; passages whose words cannot reach the least
-   cosine with any group are left out before the projection, which loses none.
+3. The benchmark's TF-IDF passages are taken in parts of at most `rank`, and a randomised
+   SVD of each part, the products A'(A X) spread over Spark's tasks, gives its latent
+   space. A space so has room for all passages of its part, and a copy of any of them
+   keeps its cosine however many passages the benchmark has.
+4. Every passage of every document is projected into each part's space and held against
+   its benchmark passages by cosine. For each of some groups of a part's passages (GROUPS
+   in all, or one for each part), the most that a word adds to a product with any of them
+   is known; passages whose words cannot reach the least cosine with any group of a part
+   are left out before the projection into its space, which loses none.
 5. What comes up is verified: the longest common subsequence with the item's words, and
    its answer (column `answer`, or else its last sentence) among them.
 
@@ -201,7 +204,8 @@ def latent_space(spark: SparkSession, rows: list[tuple[np.ndarray, np.ndarray]],
     frame = frame.repartition(max(1, len(rows) // 500))
     width = min(rank + OVERSAMPLE, len(rows), words)
     basis = np.random.default_rng(SEED).standard_normal((words, width))
-    for _ in range(POWERS):
+    # where the basis is as wide as there are passages, the first product spans them all
+    for _ in range(POWERS if width < len(rows) else 1):
         basis = np.linalg.qr(product(frame, basis))[0]
     values, turn = np.linalg.eigh(basis.T @ product(frame, basis))
     kept = np.argsort(values)[::-1][:rank]
@@ -228,17 +232,43 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
+@dataclass
+class Part:
+    """The latent space of at most `rank` passages."""
+
+    own: np.ndarray  # row of the space of each word of the block, -1 for words of other parts
+    space: np.ndarray  # words of the part x rank
+    vectors: np.ndarray  # rank x passages, each of length one
+    reach: list[np.ndarray]  # for each group of passages, the most that an occurrence of each word of the block adds to a product
+    owner: np.ndarray  # item of each passage
+
+    @classmethod
+    def of(
+        cls, spark: SparkSession, bags: list[tuple[np.ndarray, np.ndarray]], owner: np.ndarray, weights: np.ndarray, rank: int, groups: int
+    ) -> Part:
+        found = np.unique(np.concatenate([p for p, _ in bags]))
+        own = np.full(len(weights), -1, np.int32)
+        own[found] = np.arange(len(found))
+        bags = [(own[p], w) for p, w in bags]
+        space = latent_space(spark, bags, len(found), rank)
+        vectors = np.stack([w @ space[p] for p, w in bags], axis=1)
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=0), 1e-12)
+        reach = []
+        for some in np.array_split(np.arange(len(bags)), min(groups, len(bags))):
+            most = np.zeros(len(weights))
+            most[found] = weights[found] * np.abs(space @ vectors[:, some]).max(axis=1)
+            reach.append(most)
+        return cls(own, space.astype(np.float32), vectors.astype(np.float32), reach, owner)
+
+
 @dataclass
 class Index:
-    """What a task needs to search for one block of benchmark passages."""
+    """What a task needs to search for one block of benchmark items."""
 
     hashes: np.ndarray
     weights: np.ndarray
     other: float
-    space: np.ndarray  # words x rank
-    vectors: np.ndarray  # rank x passages, each of length one
-    reach: list[np.ndarray]  # for each group of passages, the most that an occurrence of each word adds to a product
-    owner: np.ndarray  # item of each passage
+    parts: list[Part]
     items: list[Item]
 
 
@@ -260,14 +290,17 @@ def searcher(sent, least_cosine: float):
             last[(first + -(-sizes // STEP) - 1)[sizes > 0]] = True
             follows = np.flatnonzero(~last) + 1
             whole[~last] += whole[follows]
-            most = np.zeros(count)
-            for reach in index.reach:
-                product_bound = np.bincount(step[known], reach[place[known]], count)
-                product_bound[~last] += product_bound[follows]
-                np.maximum(most, product_bound, out=most)
+            least = 0.999 * least_cosine * np.sqrt(whole)
+            near_part = np.zeros((len(index.parts), count), bool)
+            known_step, known_place = step[known], place[known]
+            for part, windows in zip(index.parts, near_part, strict=True):
+                for reach in part.reach:
+                    product_bound = np.bincount(known_step, reach[known_place], count)
+                    product_bound[~last] += product_bound[follows]
+                    windows |= product_bound >= least
             bounds, starts = np.cumsum(sizes), np.cumsum(sizes) - sizes
             best: dict[tuple[int, int], tuple] = {}
-            for window in np.flatnonzero(most >= 0.999 * least_cosine * np.sqrt(whole)).tolist():
+            for window in np.flatnonzero(near_part.any(axis=0)).tolist():
                 doc = int(np.searchsorted(first, window, "right")) - 1
                 while not sizes[doc]:
                     doc -= 1
@@ -277,12 +310,17 @@ def searcher(sent, least_cosine: float):
                 places, weights = bag(own[own >= 0], index.weights)
                 others = np.unique(words[at:end][own < 0], return_counts=True)[1]
                 norm = np.sqrt(weights @ weights + index.other**2 * (others @ others))
-                cosines = (weights @ index.space[places]) @ index.vectors / norm
-                near = np.flatnonzero(cosines >= least_cosine)
-                for item in set(index.owner[near].tolist()):
+                cosine_of: dict[int, float] = {}  # an item's passages may be in two parts
+                for part in map(index.parts.__getitem__, np.flatnonzero(near_part[:, window])):
+                    at_part = part.own[places]
+                    inside = at_part >= 0
+                    cosines = (weights[inside] @ part.space[at_part[inside]]) @ part.vectors / norm
+                    for passage in np.flatnonzero(cosines >= least_cosine):
+                        item = int(part.owner[passage])
+                        cosine_of[item] = max(cosine_of.get(item, 0.0), float(cosines[passage]))
+                for item, cosine in cosine_of.items():
                     verdict = verified(index.items[item], words[int(starts[doc]) : int(bounds[doc])], at - int(starts[doc]))
                     if verdict:
-                        cosine = float(cosines[near][index.owner[near] == item].max())
                         row = (verdict[0], verdict[1], cosine, at - int(starts[doc]))
                         best[doc, item] = max(best.get((doc, item), row), row)
             if best:
@@ -334,13 +372,12 @@ def contamination(
         bags = [bag(np.searchsorted(hashes, x), weights) for _, x in passages]
         # of length one, or the space would leave out short items first
         bags = [(p, w / np.linalg.norm(w)) for p, w in bags]
-        space = latent_space(spark, bags, len(hashes), rank)
-        vectors = np.stack([w @ space[p] for p, w in bags], axis=1)
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=0), 1e-12)
         owner = np.array([k for k, _ in passages])
-        parts = np.array_split(np.arange(vectors.shape[1]), min(GROUPS, vectors.shape[1]))
-        reach = [weights * np.abs(space @ vectors[:, part]).max(axis=1) for part in parts]
-        index = Index(hashes, weights, other, space.astype(np.float32), vectors.astype(np.float32), reach, owner, items)
+        groups = max(1, GROUPS * rank // len(bags))  # of each part
+        parts = [
+            Part.of(spark, bags[at : at + rank], owner[at : at + rank], weights, rank, groups) for at in range(0, len(bags), rank)
+        ]
+        index = Index(hashes, weights, other, parts, items)
         return words.mapInArrow(searcher(spark.sparkContext.broadcast(index), least_cosine), FOUND)
 
     for row in asked.toLocalIterator():

@@ -84,6 +84,17 @@ def test_a_wrong_answer_clears_a_weak_match(spark, documents):
         assert {r.doc_id for r in deco.contamination(docs, benchmark).collect()} == ids
 
 
+def test_whole_copies_are_found_among_thousands_of_items(spark, documents):
+    """Far more passages than the rank of a latent space."""
+    rng = random.Random(4)
+    items = [words(rng, rng.randint(15, 59)) for _ in range(1500)]
+    leaks = rng.sample(range(len(items)), 150)
+    docs = documents([(k, f"{words(rng, 40)} {items[k]} {words(rng, 40)}", "en") for k in leaks])
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in deco.contamination(docs, benchmark).collect()}
+    assert found == {(k, k) for k in leaks}
+
+
 def test_nulls_repeats_and_empty_tables(spark, odd, none):
     one = spark.createDataFrame([(1, "The same text again and again, with 1234 numbers")], "item_id long, text string")
     found = deco.contamination(odd, one).collect()
