@@ -1,7 +1,8 @@
 """Secrets in texts: word candidates, and a random forest that removes false positives.
 
-Candidates are words that hold a digit and a long value, or a shorter value assigned to
-a credential's name. The forest sees the value's length, entropy, character transitions,
+Candidates are words that hold a digit and a long value or a known key format, and all
+values of 8 characters or more assigned to a credential's name, in the same word or in
+one before. The forest sees the value's length, entropy, character transitions,
 shares of digits, capitals and vowels, how much of it common words cover, the path of
 the document (column `path`, or else `source`) and the words around it. It learns from
 labelled findings: those given, or else the candidates whose kind is beyond doubt (known
@@ -30,12 +31,20 @@ REDACTED = "[SECRET]"
 SPACE = r"[\x09-\x0D\x20]+"
 TRAILING = "\"'`)]}>.,;:!?=*#$%&~^|+-_/\\»”’…"
 DELIMITERS = "=:\"'`([{<,;|&"
-CREDENTIAL = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer)\W*$"
+NAME = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer)"
+CREDENTIAL = rf"(?i){NAME}\W*$"
+SEPARATOR = r"(?:=>|:=|=|:)"
+#: A word after which a credential's value comes.
+ANNOUNCES = rf"(?i)({NAME}[\"'`)\]]*{SEPARATOR}|\bbearer)$"
+#: A value behind its name: up to the closing quote, or to the next name of a list or query.
+WITHIN = rf"(?i)(?:{NAME}|key)[\"'`]?{SEPARATOR}(?:\"([^\"]+)|'([^']+)|([^\"'].*?)(?=[;,&|][\"']?\w+[\"']?[=:]|$))"
 PLACEHOLDER = r"(?i)(example|changeme|placeholder|dummy|sample|your[_-]|xxxx|0000000|1234567|<|\$\{)"
 #: Words that are no comment on the candidate beside them.
 ADDRESS = r"\S*[@./]\S*"
 #: Public key formats.
-FORMAT = r"^(A(KI|SI)A[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)$"
+FORMATS = r"(?:A(?:KI|SI)A[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)"
+FORMAT = f"^{FORMATS}$"
+FORMAT_WITHIN = f"(?<![A-Za-z0-9]){FORMATS}(?![A-Za-z0-9])"
 UUID = r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
 #: Parts of common words.
 DICTIONARY = ["tion", "ing", "ment", "able", "the", "and", "ent", "ion", "user", "name", "test", "file", "page", "data", "http", "html", "version", "release", "node", "com", "www", "index", "item", "ver", "ung", "eau", "ado"]
@@ -64,13 +73,19 @@ def around(text: Column) -> Column:
     def wanted(words: Column, i: Column) -> Column:
         word = F.get(words, i)
         long = (F.length(word) >= 12) & word.rlike(r"[0-9]") & word.rlike(r"[A-Za-z0-9+/_-]{12}|[0-9.]{7}")
-        named = (F.length(word) >= 12) & word.rlike(r"(?i)(password|passwd|pwd|secret|token|key)[\"']?[=:]")
-        follows = (F.length(word) >= 8) & F.coalesce(F.get(words, i - 1).rlike(r"^(=|:|=>|:=)$"), F.lit(False))
-        return long | named | (follows & F.coalesce(F.get(words, i - 2).rlike(CREDENTIAL), F.lit(False)))
+        named = (F.length(word) >= 12) & word.rlike(WITHIN)
+        return long | named | announced(words, i) | ((F.length(word) >= 12) & word.rlike(FORMAT_WITHIN))
+
+    def announced(words: Column, i: Column) -> Column:
+        before = F.get(words, i - 1)
+        apart = before.rlike(f"^{SEPARATOR}$") & F.get(words, i - 2).rlike(CREDENTIAL)
+        return (F.length(F.get(words, i)) >= 8) & F.coalesce(before.rlike(ANNOUNCES) | apart, F.lit(False))
 
     def entry(words: Column, i: Column) -> Column:
         before = F.concat_ws(" ", F.get(words, i - 2), F.get(words, i - 1))
-        return F.struct(i.alias("place"), F.get(words, i).alias("word"), before.alias("before"), F.get(words, i + 1).alias("after"))
+        return F.struct(
+            i.alias("place"), F.get(words, i).alias("word"), before.alias("before"), F.get(words, i + 1).alias("after"), announced(words, i).alias("announced")
+        )
 
     def of(words: Column) -> Column:
         places = F.sequence(F.lit(0), F.size(words) - 1)
@@ -92,16 +107,27 @@ def entropy(text: Column) -> Column:
     return F.when(n > 0, F.log2(n.cast("double")) - bits / n).otherwise(0.0)
 
 
+def value_of() -> Column:
+    """The value in a candidate word: a known format, what is assigned to a name, or what follows the last delimiter."""
+    word = F.col("word")
+    trimmed = F.rtrim(word, F.lit(TRAILING))
+    marked = F.translate(trimmed, DELIMITERS, "\x01" * len(DELIMITERS))
+    plain = F.right(trimmed, F.length(F.substring_index(marked, "\x01", -1)))
+    known = F.regexp_extract(word, FORMAT_WITHIN, 0)
+    # only one of the three is not empty
+    within = F.rtrim(F.concat(*[F.regexp_extract(word, WITHIN, k) for k in (1, 2, 3)]), F.lit(TRAILING))
+    alone = F.regexp_replace(trimmed, r"^[\"'`(\[{<]+", "")
+    return F.when(known != "", known).when(within != "", within).when(F.col("announced"), alone).otherwise(plain)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, place, value and features of each candidate; text_key: a hash of the text."""
     path = next((c for c in ("path", "source") if c in docs.columns), None)
     path = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), path.alias("path")).where(F.col("text").rlike("[0-9]|[=:]"))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), path.alias("path")).where("text is not null")
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), "path", F.inline(around(F.col("text"))))
-    trimmed = F.rtrim("word", F.lit(TRAILING))
-    marked = F.translate(trimmed, DELIMITERS, "\x01" * len(DELIMITERS))
-    rows = rows.withColumn("value", F.right(trimmed, F.length(F.substring_index(marked, "\x01", -1)))).where("length(value) >= 8")
+    rows = rows.withColumn("value", value_of()).where("length(value) >= 8")
     head = F.left("word", F.instr("word", F.col("value")) - 1)
     context = F.concat_ws(" ", "before", head)
     value, lower = F.col("value"), F.lower("value")
@@ -118,7 +144,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             "hexadecimal": flag(lower.rlike("^[0-9a-f]+$")),
             "covered": share(lower, "|".join(DICTIONARY)),
             "credential": flag(context.rlike(CREDENTIAL)),
-            "assigned": flag(context.rlike(r"[=:]\W*$")),
+            "assigned": flag(context.rlike(r"[=:]\W*$|(?i)\bbearer\W*$")),
             "placeholder": flag(F.concat_ws(" ", F.regexp_replace("before", ADDRESS, ""), value).rlike(PLACEHOLDER)),
             "dots": share(value, "[.]"),
             "test_path": flag(F.col("path").rlike(TEST_PATH)),
@@ -132,17 +158,18 @@ def labelled(found: DataFrame) -> DataFrame:
     """Candidates beyond doubt, with `label` 1 for secrets and 0 for others."""
     value = F.col("value")
     mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    named = (F.col("credential") == 1) & (F.col("assigned") == 1) & (F.col("length") >= 8)
     false = (
-        (F.col("placeholder") == 1)
-        | (F.col("url") == 1)
+        ((F.col("url") == 1) & (~named | value.rlike("://|^www[.]")))
         | value.rlike(r"^[0-9.,:/()+_-]*$")
         | value.rlike(UUID)
         | ((F.col("covered") >= 0.5) & (F.col("entropy") < 3.5))
-        | ~mixed
+        | (~mixed & ~named)
     )
-    named = (F.col("credential") == 1) & (F.col("assigned") == 1) & (F.col("length") >= 8)
     plain = (F.col("credential") == 0) & (F.col("transitions") < 0.2)
-    label = F.when(false, 0.0).when(value.rlike(FORMAT) | named, 1.0).when(plain, 0.0)
+    sure = F.when(F.col("placeholder") == 1, 0.0).when(value.rlike(FORMAT), 1.0).when(false, 0.0)
+    # a name's value without a digit is left to the forest
+    label = sure.when(named & mixed, 1.0).when(plain, 0.0)
     return found.withColumn("label", label).where("label is not null")
 
 

@@ -56,6 +56,27 @@ def test_redaction_leaves_the_rest(docs):
         assert r.text == wanted and r.n_chars == len(wanted)
 
 
+def test_assigned_values_of_every_kind_are_candidates(spark):
+    key = "ghp_" + "aB3dE6gH9j" * 4
+    texts = {
+        "password: Tr0ub4dr9": ("Tr0ub4dr9", 1.0),
+        "password: Tr0ub4dr&3x,": ("Tr0ub4dr&3x", 1.0),
+        'with "api_key": "q7w8e9r0" in': ("q7w8e9r0", 1.0),
+        '{"password":"hun;ter22","user":"bob"}': ("hun;ter22", 1.0),
+        "secret: correcthorsebattery": ("correcthorsebattery", None),
+        "Authorization: Bearer abcdefghijklmnop": ("abcdefghijklmnop", None),
+        f"https://user:{key}@host/x": (key, 1.0),
+        "password=ab@9cdefgh": ("ab@9cdefgh", 1.0),
+        "Server=x1;Password=p4ss&word9;User=bob": ("p4ss&word9", 1.0),
+        "mail to someone12345@host.org now": ("someone12345@host.org", 0.0),
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = scan.candidates(docs)
+    values = {r.doc_id: r.value for r in found.collect()}
+    labels = {r.doc_id: r.label for r in scan.labelled(found).collect()}
+    assert {t: (values.get(k), labels.get(k)) for k, t in enumerate(texts)} == texts
+
+
 def test_nulls_repeats_and_foreign_columns(odd, none):
     found = scan.secrets(odd).collect()
     assert {r.value for r in found} == {"a8f3e1b99c0d4e21"}
