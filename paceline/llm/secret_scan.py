@@ -7,7 +7,8 @@ shares of digits, capitals and vowels, how much of it common words cover, the pa
 the document (column `path`, or else `source`) and the words around it. It learns from
 labelled findings: those given, or else the candidates whose kind is beyond doubt (known
 key formats and values assigned to a credential's name against numbers, identifiers,
-addresses, placeholders and words), at most `sample` of them, the first by a hash.
+addresses, placeholders and words), at most `sample` of each label, the first by a hash.
+Both labels weigh the same, however many findings each has.
 
 A null or empty text has no candidates; so has an empty table. Without findings of both
 labels no forest can be grown, and the findings labelled as secrets are returned.
@@ -176,14 +177,19 @@ def labelled(found: DataFrame) -> DataFrame:
 def scored(found: DataFrame, findings: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """The candidates with `score`: the share of trees' votes for a secret."""
     known = labelled(found) if findings is None else findings
-    picked = known.orderBy(F.xxhash64("value", "doc_id", "place"), "value").limit(sample).select("label", *FEATURES)
+    order = F.xxhash64("value", "doc_id", "place")
+    of_label = [known.where(F.col("label") == k).orderBy(order, "value").limit(sample) for k in (0.0, 1.0)]
+    picked = of_label[0].unionByName(of_label[1]).select("label", *FEATURES)
     picked = stored(picked, shared_folder(found.sparkSession, "findings"))
-    if picked.select("label").distinct().count() < 2:
+    counts = {r[0]: r[1] for r in picked.groupBy("label").count().collect()}  # two rows
+    if len(counts) < 2:
         sure = labelled(found).select("doc_id", "text_key", "place", "value", F.col("label").alias("score"))
         return sure
+    larger = float(max(counts.values()))
+    weight = F.when(F.col("label") == 1, larger / counts[1.0]).otherwise(larger / counts[0.0])
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=42)
-    model = forest.fit(assembler.transform(picked).coalesce(1))
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=42, weightCol="weight")
+    model = forest.fit(assembler.transform(picked.withColumn("weight", weight)).coalesce(1))
     judged = model.transform(assembler.transform(found))
     return judged.select("doc_id", "text_key", "place", "value", vector_to_array("probability")[1].alias("score"))
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -77,6 +78,20 @@ def test_assigned_values_of_every_kind_are_candidates(spark):
     assert {t: (values.get(k), labels.get(k)) for k, t in enumerate(texts)} == texts
 
 
+def test_rare_secrets_are_learned_among_many_other_findings(spark):
+    """Of all labelled findings fewer than one in the sample is a secret; the undecided ones must be judged all the same."""
+    rng = random.Random(5)
+    number = lambda: str(rng.randrange(10**13, 10**14))
+    token = lambda: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(24)) + "7"
+    sure, undecided = [token() for _ in range(4)], [token() for _ in range(4)]
+    rows = [f"order {number()} was sent" for _ in range(4000)]
+    rows += [f"password={v}" for v in sure] + [f"Here comes {v} alone" for v in undecided]
+    found = scan.candidates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    judged = {r.value: r.score for r in scan.scored(found, sample=50).collect()}
+    assert set(undecided) <= set(judged) and len(judged) > 4000 - 5
+    assert all(judged[v] >= 0.5 for v in sure) and sum(s >= 0.5 for s in judged.values()) <= 8
+
+
 def test_nulls_repeats_and_foreign_columns(odd, none):
     found = scan.secrets(odd).collect()
     assert {r.value for r in found} == {"a8f3e1b99c0d4e21"}
