@@ -8,7 +8,7 @@ the document (column `path`, or else `source`) and the words around it. It learn
 labelled findings: those given, or else the candidates whose kind is beyond doubt (known
 key formats and values assigned to a credential's name against numbers, identifiers,
 addresses, placeholders and words), at most `sample` of each label, the first by a hash.
-Both labels weigh the same, however many findings each has.
+The rarer label's findings are repeated up to the other's number, so every tree sees them.
 
 A null or empty text has no candidates; so has an empty table. Without findings of both
 labels no forest can be grown, and the findings labelled as secrets are returned.
@@ -185,11 +185,11 @@ def scored(found: DataFrame, findings: DataFrame | None = None, sample: int = SA
     if len(counts) < 2:
         sure = labelled(found).select("doc_id", "text_key", "place", "value", F.col("label").alias("score"))
         return sure
-    larger = float(max(counts.values()))
-    weight = F.when(F.col("label") == 1, larger / counts[1.0]).otherwise(larger / counts[0.0])
+    times = F.when(F.col("label") == 1, round(max(counts.values()) / counts[1.0])).otherwise(round(max(counts.values()) / counts[0.0]))
+    even = picked.select("*", F.explode(F.sequence(F.lit(1), times)).alias("copy_number"))
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=42, weightCol="weight")
-    model = forest.fit(assembler.transform(picked.withColumn("weight", weight)).coalesce(1))
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=42)
+    model = forest.fit(assembler.transform(even).coalesce(1))
     judged = model.transform(assembler.transform(found))
     return judged.select("doc_id", "text_key", "place", "value", vector_to_array("probability")[1].alias("score"))
 
