@@ -62,6 +62,23 @@ def test_stages_act_and_keep_clean_documents(spark, planted):
     check([tuple(r) for r in docs.select("doc_id", "text").collect()], packed, 2048)
 
 
+def test_rows_with_null_or_equal_ids_are_told_apart(spark, documents):
+    source = [r.text for r in table(spark, MIDDLE, "documents").where("n_chars between 300 and 900").orderBy("doc_id").limit(40).collect()]
+    unlike = list({fingerprint(t): t for t in source if sum(c.isalpha() for c in t) > 200}.values())
+    x, y, p, q, clean, other = unlike[0:24:4]
+    leaked = f"Before it. {table(spark, MIDDLE, 'benchmark').first().text} After it."
+    docs = documents([(i, t, "en") for i, t in [(None, "12 34"), (7, "12 34"), (7, clean)]])
+    assert [(r.doc_id, r.text) for r in corpus_pipeline.language_id(spark, docs, MIDDLE).collect()] == [(7, clean)]
+    docs = documents([(i, t, "en") for i, t in [(None, leaked), (7, leaked), (7, "Nothing of it is here."), (None, "Nor here.")]])
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, docs, MIDDLE).collect()}
+    assert kept == {(7, "Nothing of it is here."), (None, "Nor here.")}
+    rows = [(6, x), (6, y), (3, y), (None, x), (9, p), (9, q), (9, q), (None, other), (None, other)]
+    kept = corpus_pipeline.near_duplicates(spark, documents([(i, t, "en") for i, t in rows]), MIDDLE).collect()
+    component = groups([(k, fingerprint(t)) for k, t in enumerate([x, y, p, q, other])])
+    assert len(set(component.values())) == 5
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept))) == sorted(map(repr, [(6, x), (3, y), (9, p), (9, q), (None, other)]))
+
+
 def test_run_over_the_whole_table(spark):
     rows = corpus_pipeline.run(spark, MIDDLE)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(rows.columns)
