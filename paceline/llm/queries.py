@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paceline.llm.binary_records import op6_binary_records
 from paceline.llm.decontamination import op5_benchmark_decontamination
+from paceline.llm.fill_in_middle import CHECK_OP13, op13_fill_in_middle
+from paceline.llm.hard_negatives import CHECK_OP11, op11_hard_negatives
 from paceline.llm.language_id import op4_language_id
 from paceline.llm.language_model import op8_lm_scoring
 from paceline.llm.packing import op1_best_fit_packing
@@ -30,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_lm_scoring,
         op9_prefix_fingerprints,
         op10_url_filter,
+        op11_hard_negatives,
+        op13_fill_in_middle,
     )
 }
-CHECKS: dict[str, str] = {"op3_warc": CHECK_OP3}
+CHECKS: dict[str, str] = {"op3_warc": CHECK_OP3, "op11_hard_negatives": CHECK_OP11, "op13_fill_in_middle": CHECK_OP13}
