@@ -12,6 +12,7 @@ from paceline.llm.fill_in_middle import CHECK_OP13, op13_fill_in_middle
 from paceline.llm.hard_negatives import CHECK_OP11, op11_hard_negatives
 from paceline.llm.language_id import op4_language_id
 from paceline.llm.language_model import op8_lm_scoring
+from paceline.llm.odd_sketch import op12_minhash_near_dedup
 from paceline.llm.packing import op1_best_fit_packing
 from paceline.llm.prefix_hashes import op9_prefix_fingerprints
 from paceline.llm.secret_scan import op7_secret_scan
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_prefix_fingerprints,
         op10_url_filter,
         op11_hard_negatives,
+        op12_minhash_near_dedup,
         op13_fill_in_middle,
     )
 }
