@@ -75,10 +75,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, shingle: int) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's shingles."""
-    lowered = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    cut = pc.ascii_split_whitespace(lowered)
+    # a copy without an offset: Arrow's string functions do not respect that of a cast slice
+    whole = pa.array(texts.to_pylist(), pa.large_string())
+    cut = pc.ascii_split_whitespace(pc.fill_null(whole, ""))
     coded = cut.values.dictionary_encode()
-    names = coded.dictionary.to_pylist()
+    names = [x.lower() for x in coded.dictionary.cast(pa.large_binary()).to_pylist()]
     # a word of no letters stands where white space begins or ends a text
     known = np.array([xxhash.xxh64_intdigest(x, SEED) for x in names], np.uint64)
     is_word = np.array([bool(x) for x in names], bool)

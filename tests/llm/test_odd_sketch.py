@@ -157,3 +157,17 @@ def test_blocks_give_the_closest_pairs_of_components_first(monkeypatch):
     assert [r["d"] for t in turns for r in t] == [1, 2, 2, 3, 3, 3, 4, 4, 5]
     joined = group.set_column(group.schema.get_field_index("now"), "now", pa.array([1] * 6))
     assert odd.block_pairs(80, 1)(joined).num_rows == 0
+
+
+def test_slices_of_a_batch_give_the_same_sets(monkeypatch):
+    rng = random.Random(2)
+    texts = [None if k % 9 == 0 else " ".join(rng.choices(["Äpfel", "naïve", "a", "b", "日本", "x\x85y"], k=k % 30)) for k in range(200)]
+    for kind in (pa.string(), pa.large_string()):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, kind)], ["text"])
+        for size in (1, 50, 1_000):
+            monkeypatch.setattr(odd, "SLICE_BYTES", size)
+            parts = list(odd.slices(iter([batch.slice(3), batch.slice(0, 3)]), "text"))
+            sets = [s for part in parts for s in odd.shingle_sets(part.column("text"), 2)]
+            assert [len(s) for s in sets] == [len(shingles(t)) for t in texts[3:] + texts[:3]]
+            whole = odd.shingle_sets(batch.column("text"), 2)
+            assert all((a == b).all() for a, b in zip(sets, whole[3:] + whole[:3], strict=True))
