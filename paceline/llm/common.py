@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyarrow import fs as stores
 from pyspark.sql import DataFrame, SparkSession
 
+from paceline.session import scratch_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,15 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder's address below spark.checkpoint.dir, which all executors reach.
 
-    Only a local master may go without that setting; it then gets a temporary folder.
+    Only a local master may go without that setting; it then gets a temporary folder
+    that goes with the process.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="paceline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    address = scratch_path(spark, label)
+    return address if "://" in address else f"file://{address}"
 
 
 def store_of(address: str) -> tuple[stores.FileSystem, str]:

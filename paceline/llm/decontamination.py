@@ -31,6 +31,7 @@ import string
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -349,24 +350,20 @@ def verified(item: Item, words: np.ndarray, at: int) -> tuple[float, float] | No
 FOUND = "doc_id long, item_id long, share double, answer_share double, cosine double, word long"
 
 
-def contamination(
-    docs: DataFrame, benchmark: DataFrame, rank: int = RANK, least_cosine: float = LEAST_COSINE, block: int = BLOCK
-) -> DataFrame:
-    """doc_id, item_id, shares, cosine and first word of the best window of each item found in each document."""
+def indexes(docs: DataFrame, benchmark: DataFrame, rank: int, block: int) -> Iterator[tuple[DataFrame, Index]]:
+    """The documents' word hashes, stored, and an index of each block of benchmark items."""
     spark = docs.sparkSession
     folder = shared_folder(spark, "decontamination")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     words = stored(texts.mapInArrow(hashed, "doc_id long, words binary"), f"{folder}/words")
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     asked = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"), answer)
-    found = spark.createDataFrame([], FOUND)
-    block_rows: list = []
-
-    def search(rows: list) -> DataFrame | None:
-        items = items_of(rows)
+    rows = asked.toLocalIterator()
+    while block_rows := list(islice(rows, block)):
+        items = items_of(block_rows)
         passages = passages_of(items)
         if not passages:
-            return None
+            continue
         hashes = np.unique(np.concatenate([x.words for x in items]))
         weights, other = weights_of(words, hashes)
         bags = [bag(np.searchsorted(hashes, x), weights) for _, x in passages]
@@ -377,16 +374,41 @@ def contamination(
         parts = [
             Part.of(spark, bags[at : at + rank], owner[at : at + rank], weights, rank, groups) for at in range(0, len(bags), rank)
         ]
-        index = Index(hashes, weights, other, parts, items)
-        return words.mapInArrow(searcher(spark.sparkContext.broadcast(index), least_cosine), FOUND)
-
-    for row in asked.toLocalIterator():
-        block_rows.append(row)
-        if len(block_rows) == block:
-            made = search(block_rows)
-            found, block_rows = found.unionByName(made) if made else found, []
-    made = search(block_rows)
-    return found.unionByName(made) if made else found
+        yield words, Index(hashes, weights, other, parts, items)
+
+
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, rank: int = RANK, least_cosine: float = LEAST_COSINE, block: int = BLOCK
+) -> DataFrame:
+    """doc_id, item_id, shares, cosine and first word of the best window of each item found in each document."""
+    spark = docs.sparkSession
+    found = spark.createDataFrame([], FOUND)
+    for words, index in indexes(docs, benchmark, rank, block):
+        found = found.unionByName(words.mapInArrow(searcher(spark.sparkContext.broadcast(index), least_cosine), FOUND))
+    return found
+
+
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, rank: int = RANK, least_cosine: float = LEAST_COSINE, block: int = BLOCK
+) -> DataFrame:
+    """The documents in which contamination() finds no item, whole; decided where the rows are, without a shuffle."""
+    spark, columns = docs.sparkSession, docs.columns
+    kept = docs
+    for _, index in indexes(docs, benchmark, rank, block):
+        search = searcher(spark.sparkContext.broadcast(index), least_cosine)
+
+        def keep(rows: Iterator[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
+            for batch in rows:
+                place = pa.array(np.arange(len(batch)))
+                texts = pa.RecordBatch.from_arrays([place, batch.column("text")], names=["doc_id", "text"])
+                found = [x.column("doc_id").to_numpy() for x in search(hashed(iter([texts])))]
+                clean = np.ones(len(batch), bool)
+                clean[np.concatenate(found or [np.zeros(0, np.int64)])] = False
+                yield pa.RecordBatch.from_arrays(batch.column("row").flatten(), names=columns).filter(pa.array(clean))
+
+        rows = kept.select(F.struct(*columns).alias("row"), F.col("text").cast("string").alias("text"))
+        kept = rows.mapInArrow(keep, docs.schema)
+    return kept
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

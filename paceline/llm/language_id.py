@@ -7,7 +7,8 @@ word's probabilities, so a text that switches languages gets a share of each; th
 document's language is the one with the largest share, which is also its score.
 
 Learning takes at most `sample` labelled documents of each language, the first by a hash
-of the id, so that it costs the same at any size. Their words are cut into spans, and
+of the id, and at most `SAMPLE_CHARS` characters of each, so that it costs the same at any
+size; rows alike in id, language and text count as one. Their words are cut into spans, and
 spans of one or of several languages are put together, so that switches are seen and
 their cost is learned. Prediction covers every whole text and uses nothing but the text.
 
@@ -32,6 +33,7 @@ from paceline.llm.common import table
 
 FOLDS = 5
 SAMPLE = 300
+SAMPLE_CHARS = 20_000
 BUCKETS = 1 << 18
 SPAN = 24
 EPOCHS = 6
@@ -41,8 +43,8 @@ SHRINK = 1e-4
 SEED = 42
 UNDETERMINED = "und"
 #: Characters whose features are made together, and characters labelled together.
-CHUNK_CHARS = 1_000_000
-RUN_CHARS = 3_000_000
+CHUNK_CHARS = 300_000
+RUN_CHARS = 1_000_000
 #: Odd multipliers of the hashes, and the inverse of BASE modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -234,13 +236,15 @@ def held_out() -> Column:
     return F.coalesce(fold == 0, F.lit(True))
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.select("doc_id", "lang", F.row_number().over(order).alias("n")).where(F.col("n") <= sample)
-    picked = picked.select("doc_id").distinct()  # at most `sample` rows for each language
-    rows = known.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id").select("text", F.col("lang").cast("string"))
-    taken = [tuple(x) for x in rows.collect()]
+def learn(docs: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Field | None:
+    row = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
+    known = row.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("text_hash", F.xxhash64("text"))
+    key = ["doc_id", "lang", "text_hash"]
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash")
+    # equal rows have one rank, so that copies of one document do not fill the sample
+    picked = known.select(*key, F.dense_rank().over(order).alias("n")).where(F.col("n") <= sample).select(*key).distinct()
+    rows = known.join(F.broadcast(picked), key).select(*key, F.left("text", F.lit(sample_chars)).alias("text")).dropDuplicates(key)
+    taken = sorted((r.text, r.lang) for r in rows.select("text", "lang").collect())  # `sample` rows for each language
     return learned(taken) if taken else None
 
 
@@ -249,21 +253,25 @@ def labeller(sent):
         field: Field | None = sent.value
         for batch in rows:
             ids, out, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-            best, score, at = [], [], 0
-            while at < len(texts):
-                end, held = at, 0
-                while end < len(texts) and (end == at or held < RUN_CHARS):
-                    held += len(texts[end] or "")
-                    end += 1
-                for name, value in labelled(field, texts[at:end]):
-                    best.append(name)
-                    score.append(value)
-                at = end
+            found = [x for a, b in runs_of(texts) for x in labelled(field, texts[a:b])]
+            best, score = [x for x, _ in found], [x for _, x in found]
             yield pa.RecordBatch.from_arrays([ids, out, pa.array(best, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return label
 
 
+def runs_of(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most RUN_CHARS characters, or one text."""
+    at = 0
+    while at < len(texts):
+        end, held = at, 0
+        while end < len(texts) and (end == at or held < RUN_CHARS):
+            held += len(texts[end] or "")
+            end += 1
+        yield at, end
+        at = end
+
+
 def labelled(field: Field | None, texts: list[str | None]) -> list[tuple[str, float]]:
     """Language and score of each text."""
     made, sizes = [], np.zeros(len(texts), np.int64)
@@ -305,6 +313,39 @@ def identify(docs: DataFrame, field: Field | None) -> DataFrame:
     return rows.mapInArrow(labeller(sent), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and len(words_of(text)[1]) > 0
+
+
+def worded(docs: DataFrame, field: Field | None, lang: str = "lang") -> DataFrame:
+    """The documents that have a letter, whole; the predicted language stands where `lang` is null.
+
+    Decided row by row where the rows are: nothing is shuffled. If nothing was learned,
+    the language stays null.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(field)
+    columns, at = docs.columns, docs.columns.index(lang)
+
+    def keep(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: Field | None = sent.value
+        for batch in rows:
+            held = batch.column("row").flatten()
+            texts, names = batch.column("text").to_pylist(), held[at].to_pylist()
+            for a, b in runs_of(texts):
+                some, out = texts[a:b], names[a:b]
+                unknown = [k for k, name in enumerate(out) if name is None]
+                for k, (name, _) in zip(unknown, labelled(known, [some[k] for k in unknown]), strict=True):
+                    out[k] = None if name == UNDETERMINED else name
+                kept = pa.array([k for k, text in enumerate(some) if has_letter(text)], pa.int64())
+                made = [x.slice(a, b - a) for x in held]
+                made[at] = pa.array(out, made[at].type)
+                yield pa.RecordBatch.from_arrays([x.take(kept) for x in made], names=columns)
+
+    docs = docs.withColumn(lang, F.col(lang).cast("string"))
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(keep, docs.schema)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, learn(docs))

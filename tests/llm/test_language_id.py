@@ -92,6 +92,25 @@ def test_nulls_symbols_repeats_and_unknown_columns(field, odd):
     assert [r.held_out for r in rows if r.doc_id is None] == [True]
 
 
+def test_a_repeated_id_does_not_fill_the_sample(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(lang, "learned", lambda rows: taken.append(rows))
+    rows = [(7, f"copy {k % 2}", "en") for k in range(3_000)] + [(k, "x" * 50, "en") for k in range(100, 200)]
+    lang.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=20, sample_chars=10)
+    assert len(taken[0]) == 20 and max(len(t) for t, _ in taken[0]) <= 10
+    assert sum(t.startswith("copy") for t, _ in taken[0]) in (0, 2)
+
+
+def test_whole_rows_pass_if_they_have_a_letter(field, odd):
+    rows = lang.worded(odd, field)
+    assert rows.dtypes == odd.dtypes
+    wanted = [r for r in odd.collect() if any(c.isalpha() for c in r.text or "")]
+    found = {(r.doc_id, r.text): r for r in rows.collect()}
+    assert rows.count() == len(wanted) and {(r.doc_id, r.text) for r in wanted} == set(found)
+    assert found[None, wanted[[r.doc_id for r in wanted].index(None)].text].lang == "de"
+    assert lang.worded(odd, None).count() == len(wanted)
+
+
 def test_nothing_learned_and_empty_tables(odd, none):
     assert lang.learn(none) is None and lang.identify(none, None).count() == 0
     assert {r.lang_pred for r in lang.identify(odd, None).collect()} == {"und"}

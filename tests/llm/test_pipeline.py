@@ -15,7 +15,7 @@ MIDDLE = "/root/testdata/sf0.001"
 
 def test_every_operator_is_registered_once():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 14))
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert set(queries.CHECKS) <= set(entry.oracle_sql())
 
@@ -79,6 +79,43 @@ def test_rows_with_null_or_equal_ids_are_told_apart(spark, documents):
     assert sorted(map(repr, ((r.doc_id, r.text) for r in kept))) == sorted(map(repr, [(6, x), (3, y), (9, p), (9, q), (None, other)]))
 
 
+def test_no_text_with_a_letter_goes_where_no_language_is_known(spark, documents):
+    rows = [(k, f"Some text number {k} of this corpus.", None) for k in range(20)] + [(30, "12 34", None), (31, None, None)]
+    kept = corpus_pipeline.language_id(spark, documents(rows), MIDDLE)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(20))
+    assert {r.lang for r in kept.collect()} == {None}
+
+
+def test_a_missing_language_is_named(spark, documents):
+    source = table(spark, MIDDLE, "documents").where("lang in ('en', 'fr') and n_chars > 400").select("doc_id", "text", "lang").collect()
+    by_lang = {k: [r for r in source if r.lang == k] for k in ("en", "fr")}
+    rows = [tuple(r) for x in by_lang.values() for r in x[:30]]
+    asked = {-k: x for k, x in ((1, by_lang["en"][-1]), (2, by_lang["fr"][-1]))}
+    rows += [(k, r.text, None) for k, r in asked.items()] + [(-3, by_lang["en"][-2].text, "xx")]
+    kept = corpus_pipeline.language_id(spark, documents(rows), MIDDLE).collect()
+    found = {r.doc_id: r.lang for r in kept}
+    assert len(kept) == len(rows) and {k: found[k] for k in asked} == {k: r.lang for k, r in asked.items()} and found[-3] == "xx"
+
+
+def test_row_local_stages_shuffle_no_text(spark, documents):
+    docs = documents([(1, "A text of some words.", "en"), (2, "Ein Text aus Wörtern.", "de")])
+    for stage in (corpus_pipeline.language_id, corpus_pipeline.decontamination):
+        plan = stage(spark, docs, MIDDLE)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Exchange" not in plan and "Join" not in plan
+
+
+def test_columns_named_like_the_stages_own(spark, none):
+    docs = none.select("*", *(F.lit(1).alias(c) for c in ("row", "group", "place", "text_here", "lang_pred", "score", "first")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, MIDDLE)
+        assert docs.count() == 0 and docs.columns[-1] == "first"
+    source = table(spark, MIDDLE, "documents").where("n_chars > 300").limit(5)
+    clash = source.select("*", *(F.lit(1).alias(c) for c in ("row", "key", "group", "place", "text_here")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, clash, MIDDLE)
+        assert kept.columns == clash.columns and kept.dtypes == clash.dtypes and 0 < kept.count() <= 5
+
+
 def test_run_over_the_whole_table(spark):
     rows = corpus_pipeline.run(spark, MIDDLE)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(rows.columns)
