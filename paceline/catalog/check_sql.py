@@ -224,11 +224,37 @@ def contexts(as_of: str) -> str:
     )
 
 
-def fitted(as_of: str, sides: str) -> list[str]:
-    """CTEs from the views to the solved system for the contexts at `as_of`."""
-    return [
-        PROP, LINES, FEAT, OUTC, training(as_of), scaler(), standardised(), gram(),
-        contexts(as_of), arms_spine("(SELECT * FROM ctx LEFT JOIN scal USING (product))"),
-    ] + ([sides] if sides else [])
+def cholesky(keys: str) -> str:
+    """Columns l_i_j of the lower factor of m_i_j, one stage for each column, ending in l<DIM>; n and m_i_DIM stay."""
+    kept = [f"m_{i}_{j}" for i in range(DIM) for j in range(i + 1)] + [f"m_{i}_{DIM}" for i in range(DIM)]
+    stages, source, made = [], "m0", []
+    for j in range(DIM):
+        less = "".join(f" - l_{j}_{k} * l_{j}_{k}" for k in range(j))
+        stages.append(f"p{j} AS (SELECT {keys}, n, {', '.join(kept + made)}, sqrt(m_{j}_{j}{less}) AS l_{j}_{j} FROM {source})")
+        made = [*made, f"l_{j}_{j}"]
+        cells = []
+        for i in range(j + 1, DIM):
+            less = "".join(f" - l_{i}_{k} * l_{j}_{k}" for k in range(j))
+            cells.append(f"(m_{i}_{j}{less}) / l_{j}_{j} AS l_{i}_{j}")
+        stages.append(f"l{j + 1} AS (SELECT {', '.join([keys, 'n', *kept, *made, *cells])} FROM p{j})")
+        made, source = [*made, *[f"l_{i}_{j}" for i in range(j + 1, DIM)]], f"l{j + 1}"
+    return ",\n".join(stages)
 
 
+def drawn_weights(keys: str, seed: object, *parts: str) -> str:
+    """`weights`: w_0 … w_7, the lower factor's forward and the upper one's backward substitution with keyed normals between."""
+    factor = [f"l_{i}_{j}" for i in range(DIM) for j in range(i + 1)]
+    stages, source, made = [], f"l{DIM}", []
+    for i in range(DIM):
+        less = "".join(f" - l_{i}_{k} * y_{k}" for k in range(i))
+        own = f"(m_{i}_{DIM}{less}) / l_{i}_{i} AS y_{i}"
+        kept = [keys, "n", *factor, *[f"m_{k}_{DIM}" for k in range(DIM)], *made]
+        stages.append(f"y{i} AS (SELECT {', '.join(kept)}, {own} FROM {source})")
+        made, source = [*made, f"y_{i}"], f"y{i}"
+    right, made = made, []
+    for i in reversed(range(DIM)):
+        less = "".join(f" - l_{k}_{i} * w_{k}" for k in range(i + 1, DIM))
+        z = normal(key_text(seed, *parts, str(i)))
+        stages.append(f"w{i} AS (SELECT {', '.join([keys, 'n', *factor, *right, *made])}, (y_{i} + {z}{less}) / l_{i}_{i} AS w_{i} FROM {source})")
+        made, source = [*made, f"w_{i}"], f"w{i}"
+    return ",\n".join(stages) + f",\nweights AS (SELECT {keys}, n, {', '.join(f'w_{i}' for i in range(DIM))} FROM w0)"

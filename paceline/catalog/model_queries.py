@@ -221,6 +221,47 @@ def thompson_draws(spark: SparkSession, sf: str) -> DataFrame:
     return ranked.select(*SLOT, rounded("sampled_value"), "arm_rank")
 
 
+WEIGHTS = [f"w_{i}" for i in range(DIM)]
+DRAW_WEIGHTS = [
+    *FIT,
+    C.arms_spine("(SELECT DISTINCT product FROM train)"),
+    C.precision("product, family", "spine", UNIT),
+    C.cholesky("product, family"),
+    C.drawn_weights("product, family", SEED, "product", "family"),
+]
+
+
+@query(C.with_(*DRAW_WEIGHTS) + f"SELECT product, family, n, {', '.join(sql_rounded(c, c) for c in WEIGHTS)} FROM weights")
+def weight_draws(spark: SparkSession, sf: str) -> DataFrame:
+    """One draw of every arm's whole weight vector."""
+    drawn = arms.draw_weights(placed_arms(spark, sf), SEED)
+    return drawn.selectExpr(*ARM, "n", *_entries("w", WEIGHTS))
+
+
+X = ["1.0::double", *[f"(({f} - mean_{i}) / std_{i})" for i, f in enumerate(FEATURES)]]
+SHARED_DRAWS = [
+    *DRAW_WEIGHTS,
+    C.eliminate("product, family", 2 * DIM + 1),
+    f"""drawn AS (SELECT date, product, family, weights.n AS n_obs, {' + '.join(f'{X[i]} * m_{i}_{DIM}' for i in range(DIM))} AS posterior_mean,
+      sqrt({' + '.join(f'{X[i]} * {X[j]} * m_{i}_{DIM + 1 + j}' for i in range(DIM) for j in range(DIM))}) AS posterior_std,
+      {' + '.join(f'{X[i]} * w_{i}' for i in range(DIM))} AS sampled_value
+      FROM feat JOIN scal USING (product) JOIN weights USING (product) JOIN m{DIM} USING (product, family))""",
+    C.SLOTS,
+]
+
+
+@query(
+    C.with_(*SHARED_DRAWS)
+    + f"""SELECT date, product, family, proposal_type, cast(slot AS integer) AS slot,
+      {sql_rounded('posterior_std', 'posterior_std', 5)}, {sql_rounded('thompson_sample_value', 'thompson_sample_value', 5)} FROM slots"""
+)
+def shared_draw_slots(spark: SparkSession, sf: str) -> DataFrame:
+    """The slots of every date and product under one draw of each arm's weights."""
+    drawn = arms.draw_weights(placed_arms(spark, sf), SEED)
+    slots = arms.select_slots(arms.apply_weights(views.features(spark, sf), drawn), ["date", "product"])
+    return slots.select(*SLOT, "proposal_type", "slot", rounded("posterior_std", 5), rounded("thompson_sample_value", 5))
+
+
 SLOT_OUT = (
     "date, product, family, proposal_type, cast(slot AS integer) AS slot, n_obs, "
     + ", ".join(sql_rounded(c, c) for c in ("posterior_mean", "posterior_std", "thompson_sample_value"))

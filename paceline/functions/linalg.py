@@ -75,6 +75,25 @@ def solve(dim: int, rows: str, least: str | None = None) -> str:
     return f"aggregate(sequence(0, {dim - 1}), {rows}, (m, p) -> {step})"
 
 
+def cholesky(dim: int, rows: str) -> str:
+    """Rows of the upper factor R (R'R is the positive definite matrix); side s becomes R'^-1 side at dim + s.
+
+    Elimination below the pivots leaves D times a unit upper triangle; dividing row i by
+    the root of its pivot gives R. Entries left of the pivots are not part of it.
+    """
+    below = let("f", "r[p] / m[p][p]", "zip_with(r, m[p], (v, w) -> v - f * w)")
+    eliminated = f"aggregate(sequence(0, {dim - 1}), {rows}, (m, p) -> transform(m, (r, i) -> if(i > p, {below}, r)))"
+    return f"transform({eliminated}, (r, i) -> transform(r, v -> v / sqrt(r[i])))"
+
+
+def back_substitute(dim: int, factor: str, right: str) -> str:
+    """The vector v with R v = right, from the rows of R (a column); `right` is an expression in the row number i."""
+    known = f"aggregate(zip_with(slice({factor}[i], 1, {dim}), v, (a, b) -> a * b), 0D, (s, t) -> s + t)"
+    entry = f"({right} - {known}) / {factor}[i][i]"
+    step = f"transform(v, (x, k) -> if(k = i, {entry}, x))"
+    return f"aggregate(sequence({dim - 1}, 0, -1), array_repeat(0D, {dim}), (v, i) -> {step})"
+
+
 def side(dim: int, solved: str, s: int) -> str:
     """Solution vector of side s, `solved` being a column."""
     return array([f"{solved}[{i}][{dim + s}]" for i in range(dim)])

@@ -53,16 +53,33 @@ def l1_distance(current: Column, previous: Column) -> Column:
 def named_l1_distance(
     current: Column, current_names: Column, previous: Column, previous_names: Column
 ) -> Column:
-    """L1 distance of two weight arrays matched by ticker; an absent ticker weighs 0."""
-    apart = F.map_zip_with(
-        F.map_from_arrays(current_names, current),
-        F.map_from_arrays(previous_names, previous),
-        lambda _, a, b: F.abs(F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0))),
-    )
+    """L1 distance of two weight arrays matched by ticker; an absent ticker weighs 0.
+
+    The weights of a ticker that a side names several times are summed first. Equal
+    lists of names are compared by position. Both sides are sorted by name together,
+    the earlier one with its signs turned, and each name's sum is closed when the next
+    name begins: no map, so no lookups and no rule against repeated names.
+    """
+
+    def entries(names: Column, weights: Column, sign: float) -> Column:
+        return F.zip_with(names, weights, lambda n, w: F.struct(n.alias("name"), (w * F.lit(sign)).alias("w")))
+
+    both = F.array_sort(F.concat(entries(current_names, current, 1.0), entries(previous_names, previous, -1.0)))
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(None).cast("string").alias("name"), F.lit(0.0).alias("run"))
+
+    def add(acc: Column, e: Column) -> Column:
+        same = acc["name"].eqNullSafe(e["name"])
+        return F.struct(
+            F.when(same, acc["total"]).otherwise(acc["total"] + F.abs(acc["run"])).alias("total"),
+            e["name"].alias("name"),
+            F.when(same, acc["run"] + e["w"]).otherwise(e["w"]).alias("run"),
+        )
+
+    apart = F.aggregate(both, start, add, lambda acc: acc["total"] + F.abs(acc["run"]))
     return (
         F.when(previous.isNull(), l1_distance(current, previous))
         .when(current_names == previous_names, l1_distance(current, previous))
-        .otherwise(F.aggregate(F.map_values(apart), F.lit(0.0), lambda total, d: total + d))
+        .otherwise(apart)
     )
 
 

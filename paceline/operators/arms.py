@@ -151,7 +151,14 @@ def with_prior_arms(
 def _solved(
     arms: DataFrame, keep: Sequence[str], alpha: float, sigma_sq: float, sides: Sequence[str]
 ) -> DataFrame:
-    """Columns keep, n and the solved posterior system; side 0 is the posterior mean.
+    """Columns keep, n and the solved posterior system; side 0 is the posterior mean."""
+    scaled = _precision(arms, keep, alpha, sigma_sq)
+    rows = linalg.system(DIM, "lambda", ["b", *sides])
+    return scaled.selectExpr(*keep, "n", f"{linalg.solve(DIM, rows)} AS solved")
+
+
+def _precision(arms: DataFrame, keep: Sequence[str], alpha: float, sigma_sq: float) -> DataFrame:
+    """Columns keep, n, the posterior precision `lambda` (a triangle) and its right-hand side `b`.
 
     Arms that have seen no row keep the bare prior, without the jitter.
     """
@@ -161,14 +168,12 @@ def _solved(
         GRAM_CELL.format(i=i, j=j, k=k) + f" / {noise}" + (f" + {ridge}" if i == j else "")
         for k, (i, j) in enumerate(PAIRS)
     ]
-    scaled = arms.selectExpr(
+    return arms.selectExpr(
         *keep,
         "n",
         f"{linalg.array(precision)} AS lambda",
         f"{linalg.each(DIM, CROSS_CELL + ' / ' + noise)} AS b",
     )
-    rows = linalg.system(DIM, "lambda", ["b", *sides])
-    return scaled.selectExpr(*keep, "n", f"{linalg.solve(DIM, rows)} AS solved")
 
 
 def posterior(
@@ -222,10 +227,11 @@ def _along_x(s: int) -> str:
 
 
 def draw(predicted: DataFrame, seed: object, keys: Sequence[str]) -> DataFrame:
-    """One posterior draw per arm.
+    """One posterior draw per arm and context.
 
-    Only the drawn value x'w matters, and with w normal x'w is normal with the
-    predictive mean and deviation, so one scalar draw replaces a vector one.
+    Where a context is drawn for once, only the value x'w matters, and with w normal
+    x'w is normal with the predictive mean and deviation, so one scalar draw replaces
+    a vector one. Contexts that must share one draw of w take `draw_weights`.
     """
     z = keyed_normal(draw_key(seed, *keys))
     return predicted.withColumn(
@@ -233,6 +239,57 @@ def draw(predicted: DataFrame, seed: object, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def draw_weights(
+    arms: DataFrame,
+    seed: object,
+    keys: Sequence[str] = ("product", "family"),
+    alpha: float = ALPHA,
+    sigma_sq: float = SIGMA_SQ,
+) -> DataFrame:
+    """One draw of the whole weight vector per arm, as array `w`, with `mu`, `cov` and the scaler.
+
+    With R'R the precision, R w = R'^-1 b + z for standard normal z gives w the
+    posterior's mean and covariance. The eight z are keyed by seed, arm and place,
+    so the same arm has the same w whatever contexts it meets.
+    """
+    solved = _precision(arms, [*keys, "means", "stds"], alpha, sigma_sq)
+    normals = F.array(*[keyed_normal(draw_key(seed, *keys, F.lit(i))) for i in range(DIM)])
+    keep = [*keys, "n", "means", "stds"]
+    factored = solved.withColumn("z", normals).selectExpr(
+        *keep,
+        "z",
+        f"{linalg.cholesky(DIM, linalg.system(DIM, 'lambda', ['b']))} AS factor",
+        f"{linalg.solve(DIM, linalg.system(DIM, 'lambda', ['b', linalg.IDENTITY]))} AS solved",
+    )
+    inverse = linalg.each_pair(DIM, f"solved[{{i}}][{DIM + 1} + {{j}}]")
+    return factored.selectExpr(
+        *keep,
+        f"{linalg.back_substitute(DIM, 'factor', f'factor[i][{DIM}] + z[i]')} AS w",
+        f"{linalg.side(DIM, 'solved', 0)} AS mu",
+        f"{inverse} AS cov",
+    )
+
+
+def apply_weights(contexts: DataFrame, weights: DataFrame) -> DataFrame:
+    """Every context with every arm of its product: x'w, and the predictive mean and deviation.
+
+    `weights` is small, one row per arm, and is solved once however many contexts there are.
+    """
+    placed = contexts.select("date", "product", *FEATURES).join(weights, "product").withColumn("x", F.expr(STANDARDISED))
+    quadratic = " + ".join(
+        f"{'' if i == j else '2 * '}x[{i}] * x[{j}] * cov[{k}]" for k, (i, j) in enumerate(PAIRS)
+    )
+    return placed.selectExpr(
+        "date",
+        "product",
+        "family",
+        "n AS n_obs",
+        f"{linalg.dot(DIM, 'x', 'mu')} AS posterior_mean",
+        f"sqrt({quadratic}) AS posterior_std",
+        f"{linalg.dot(DIM, 'x', 'w')} AS sampled_value",
+    )
+
+
 def rank_arms(drawn: DataFrame, slot_keys: Sequence[str]) -> DataFrame:
     """Rank 1 … n by drawn value within each (date,) product; ties go by family name."""
     order = Window.partitionBy(*slot_keys).orderBy(F.desc("sampled_value"), "family")
@@ -272,7 +329,19 @@ def slots_today(
     sigma_sq: float = SIGMA_SQ,
 ) -> DataFrame:
     """From today's features per (date, product) and condensed history to today's slots."""
-    arms = with_prior_arms(contexts.select("date", "product", *FEATURES), moments(rows), families)
+    return slots_fitted(contexts, moments(rows), seed, families, alpha, sigma_sq)
+
+
+def slots_fitted(
+    contexts: DataFrame,
+    moment_rows: DataFrame,
+    seed: object,
+    families: Sequence[str] = FAMILIES,
+    alpha: float = ALPHA,
+    sigma_sq: float = SIGMA_SQ,
+) -> DataFrame:
+    """The same from moment rows per (product, family)."""
+    arms = with_prior_arms(contexts.select("date", "product", *FEATURES), moment_rows, families)
     keys = ["date", "product", "family"]
     predicted = predict(arms, keys, alpha, sigma_sq)
     return select_slots(draw(predicted, seed, keys), ["date", "product"])

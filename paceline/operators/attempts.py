@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from paceline.functions.draws import draw_key, keyed_index
 from paceline.operators.keyed import first_per_key
-from paceline.schemas import SOLVED
+from paceline.schemas import DAY_KEY, SOLVED
 
 # One attempt and three retries per slot.
 MAX_ATTEMPTS = 4
 FAILED = "solver_error"
+FAILURE = ["date", "product", "family", "proposal_type", "slot", "attempt", "config_hash", "solver_status", "failure"]
 
 
 def sample_configs(
@@ -43,8 +48,23 @@ def plan_attempt(
 
 RESULT = (
     "weights array<double>, column_names array<string>, n_names int, in_sample_sharpe double, "
-    "in_sample_mean_pnl double, in_sample_max_dd double, solver_status string, solve_time_seconds double"
+    "in_sample_mean_pnl double, in_sample_max_dd double, solver_status string, solve_time_seconds double, "
+    "failure string"
 )
+RESULT_NAMES = [part.split()[0] for part in RESULT.split(", ")]
+
+
+def one_result(function: Callable[..., dict], attempt: dict, *more: object) -> dict:
+    """The function's result columns; an exception is a failed attempt and its text the failure."""
+    try:
+        found = function(attempt, *more)
+    except Exception as problem:  # kept with the attempt, see failed_attempts()
+        found = {"solver_status": FAILED, "failure": f"{type(problem).__name__}: {problem}"}
+    return {**attempt, **{name: found.get(name) for name in RESULT_NAMES}}
+
+
+def result_shape(attempts: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in attempts.schema.fields) + f", {RESULT}"
 
 
 def solver_from(function: Callable[[dict], dict]) -> Callable[[DataFrame], DataFrame]:
@@ -53,26 +73,64 @@ def solver_from(function: Callable[[dict], dict]) -> Callable[[DataFrame], DataF
     The function takes an attempt as a dict and returns the columns of RESULT. An
     exception in it is a failed attempt (`solver_error`), not the end of the job.
     """
-    names = [part.split()[0] for part in RESULT.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for attempt in batch.to_dict("records"):
-                try:
-                    found = function(attempt)
-                except Exception:
-                    found = {"solver_status": FAILED}
-                rows.append({**attempt, **{name: found.get(name) for name in names}})
-            yield pd.DataFrame(rows, columns=[*batch.columns, *names])
+            rows = [one_result(function, attempt) for attempt in batch.to_dict("records")]
+            yield pd.DataFrame(rows, columns=[*batch.columns, *RESULT_NAMES])
+
+    def solve(attempts: DataFrame) -> DataFrame:
+        return attempts.mapInPandas(run, result_shape(attempts))
+
+    return solve
+
+
+def matrix_solver(
+    function: Callable[[dict, np.ndarray], dict], matrices: DataFrame
+) -> Callable[[DataFrame], DataFrame]:
+    """A solver of attempts from a Python function of one attempt and its matrix.
+
+    `matrices` holds matrix rows: t, values and `date` and `product` or one of them,
+    which tell whose they are. The attempts of a (date, product) meet its matrix in one
+    cogroup, so a matrix is moved once for all of them and none is closed over or
+    sent by the driver. The function gets the rows in the order of t; attempts without
+    a matrix, and matrices whose rows differ in width, are failed attempts. A matrix, days
+    times tickers, has to fit in a task.
+    """
+    keys = [k for k in DAY_KEY if k in matrices.columns]
+    if not keys:
+        raise ValueError("matrices need a date or a product")
 
     def solve(attempts: DataFrame) -> DataFrame:
-        shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in attempts.schema.fields)
-        return attempts.mapInPandas(run, f"{shape}, {RESULT}")
+        shape = result_shape(attempts)
+        kinds = to_arrow_schema(StructType.fromDDL(shape))
+
+        def run(tries: pa.Table, rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by("t")
+            widths = set(rows.column("values").combine_chunks().value_lengths().to_pylist())
+            if len(widths) == 1 and None not in widths:
+                cells = rows.column("values").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+                matrix = cells.reshape(rows.num_rows, -1).astype(float)
+                found = [one_result(function, attempt, matrix.copy()) for attempt in tries.to_pylist()]
+            else:
+                reason = "matrix rows differ in width" if widths else "no matrix"
+                refuse = {"solver_status": FAILED, "failure": reason}
+                found = [one_result(lambda _: refuse, attempt) for attempt in tries.to_pylist()]
+            return pa.Table.from_pylist(found, kinds)
+
+        held = matrices.select(*keys, "t", "values")
+        return attempts.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(run, shape)
 
     return solve
 
 
+def failed_attempts(results: DataFrame) -> DataFrame:
+    """Attempts without a solution, with the solver's verdict and the failure's text."""
+    text = F.col("failure") if "failure" in results.columns else F.lit(None).cast("string")
+    unsolved = ~F.coalesce(F.col("solver_status").isin(SOLVED), F.lit(False))
+    return results.where(unsolved).select(*FAILURE[:-1], text.alias("failure"))
+
+
 def first_success(
     results: DataFrame, slot_keys: Sequence[str], ties: Sequence[Column | str] = ()
 ) -> DataFrame:

@@ -11,15 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline import schemas
+from paceline.functions.canonical import not_finite
 from paceline.functions.score import ScoreRule
 from paceline.functions.vectors import pick_by_name
-from paceline.operators.arms import ALPHA, SIGMA_SQ, slots_today
-from paceline.operators.attempts import MAX_ATTEMPTS, first_success, plan_attempt
-from paceline.operators.portfolio import column_sums, forward_pnl, outcome_rows
+from paceline.operators.arms import ALPHA, SIGMA_SQ, moments, slots_fitted
+from paceline.operators.attempts import MAX_ATTEMPTS, failed_attempts, first_success, plan_attempt
+from paceline.operators.moments import arm_moments
+from paceline.operators.portfolio import column_sums, forward_pnl, outcome_rows, skipped
 from paceline.operators.quality import unmatched_decisions
 from paceline.operators.training import arm_days, previous_best_by_day
 from paceline.sources.grid import config_grid
 from paceline.sources.matrices import SHARED, matrix_reference
+from paceline.sources.moments import MomentStore
 from paceline.sources.tables import TableStore
 
 SLOT_KEY = ["date", "product", "proposal_type", "slot"]
@@ -43,17 +46,21 @@ def choose(
     keep: Callable[[DataFrame], DataFrame],
     ties: Sequence[str] = (),
     attempts: int = MAX_ATTEMPTS,
+    failed: list[DataFrame] | None = None,
 ) -> DataFrame:
     """A configuration per slot: draw and solve, and again for the slots left without a solution.
 
     `keep` writes a round's results and reads them back, so that each attempt is
-    solved once; a slot that is solved is not tried again.
+    solved once; a slot that is solved is not tried again. The attempts without a
+    solution of each round are added to `failed`.
     """
     found, left = [], slots
     for attempt in range(attempts):
         results = keep(solve(plan_attempt(left, grid, seed, ["date", "product", "family"], attempt)))
         solved = first_success(results, SLOT_KEY, ties)
         found.append(solved)
+        if failed is not None:
+            failed.append(failed_attempts(results))
         left = left.join(solved.select(*SLOT_KEY), SLOT_KEY, "left_anti")
         if left.isEmpty():
             break
@@ -110,6 +117,9 @@ def propose_today(
 ) -> DataFrame:
     """Run the cycle for one day, store features, matrices and proposals, return the summary.
 
+    Attempts that found no solution are kept, see `TableStore.read_failed_attempts`. A
+    store that keeps moments (`MomentStore.rebuild`) is fitted from them; else from the
+    whole history.
     `matrices` has one row per matrix row: product, t, values.
     """
     missing = set(schemas.FEATURES) - set(features)
@@ -137,21 +147,32 @@ def propose_today(
     )
     contexts = fan_out(market, products).select(*schemas.DAY_KEY, *schemas.FEATURES)
     store.write_features(contexts)
-    rows = arm_days(
-        store.read_proposals(products=list(products)),
-        store.read_features(products=list(products)),
-        store.read_outcomes(products=list(products)),
-        today,
-    )
-    slots = slots_today(contexts, rows, seed, alpha=alpha, sigma_sq=sigma_sq)
-    slots = store.staged(slots, "slots")
-    kept = choose(slots, config_grid(spark), solve, seed, lambda tried: store.staged(tried, "attempts"))
-    if not kept.isEmpty():
-        shared = matrices.select(
-            F.lit(today).alias("date"), "product", F.lit(SHARED).alias("config_hash"), "t", "values"
+    stored = MomentStore(store)
+    if stored.kept():
+        stored.refresh([today])  # today's features may replace others
+        fitted = arm_moments(stored.read(today, list(products)))
+    else:
+        rows = arm_days(
+            store.read_proposals(products=list(products)),
+            store.read_features(products=list(products)),
+            store.read_outcomes(products=list(products)),
+            today,
         )
-        store.write_proposals(proposal_rows(kept), shared)
-    return summary(kept)
+        fitted = moments(rows)
+    slots = slots_fitted(contexts, fitted, seed, alpha=alpha, sigma_sq=sigma_sq)
+    failed: list[DataFrame] = []
+    with store.job():
+        slots = store.staged(slots, "slots")
+        keep = lambda tried: store.staged(tried, "attempts")
+        kept = choose(slots, config_grid(spark), solve, seed, keep, failed=failed)
+        store.write_report("failed_attempts", today, reduce(DataFrame.unionByName, failed))
+        if not kept.isEmpty():
+            shared = matrices.select(
+                F.lit(today).alias("date"), "product", F.lit(SHARED).alias("config_hash"), "t", "values"
+            )
+            store.write_proposals(proposal_rows(kept), shared)
+        report = summary(kept)
+        return spark.createDataFrame(report.collect(), report.schema)  # one row per product
 
 
 def record_outcomes(
@@ -166,9 +187,14 @@ def record_outcomes(
     """Score the proposals of a day from realised returns and store the outcomes.
 
     `returns`: product, t, values; `vols`: product, vol. With `column_names` the
-    returns are matched to a proposal's weights by ticker, else by position.
+    returns are matched to a proposal's weights by ticker, else by position. Proposals
+    whose product has no returns or risk figure, or whose figures are NaN or infinite,
+    get no outcome; `TableStore.read_skipped_outcomes` tells which, and why.
     """
     rule = rule or ScoreRule()
+    if column_names is not None and len(set(column_names)) < len(column_names):
+        repeated = sorted({c for c in column_names if list(column_names).count(c) > 1})
+        raise ValueError(f"returns have several columns for tickers: {repeated}")
     proposals = store.read_proposals(propose_date, propose_date)
     if proposals.isEmpty():
         raise ValueError(f"no proposals found for {propose_date}")
@@ -185,10 +211,22 @@ def record_outcomes(
     realised = realised.withColumn("eval_date", F.lit(eval_date))
     history = store.read_proposals(end_date=propose_date)
     previous = previous_best_by_day(history, ["weights", "column_names"], propose_date)
-    outcomes = store.staged(outcome_rows(realised, previous, rule), "outcomes")
-    if outcomes.isEmpty():
-        raise ValueError(f"no outcomes could be computed for {propose_date}")
-    store.write_outcomes(outcomes)
+    missing = skipped(todays.select(*schemas.PROPOSAL_KEY), sums, vols, ["product"])
+    with store.job():
+        made = store.staged(outcome_rows(realised, previous, rule), "outcomes")
+        odd = F.lit(False)
+        for field in schemas.schema("outcomes").fields:
+            if field.dataType.typeName() == "double":
+                odd = odd | not_finite(F.col(field.name))
+        odd = F.coalesce(odd, F.lit(False))
+        reasons = made.where(odd).select(*schemas.PROPOSAL_KEY, F.lit("a figure is not finite").alias("reason"))
+        store.write_report("outcomes_skipped", propose_date, missing.select(*schemas.PROPOSAL_KEY, "reason").unionByName(reasons))
+        outcomes = made.where(~odd)
+        if outcomes.isEmpty():
+            raise ValueError(f"no outcomes could be computed for {propose_date}")
+        store.write_outcomes(outcomes)
+        if MomentStore(store).kept():
+            MomentStore(store).refresh([propose_date])
     return store.read_outcomes(propose_date, propose_date)
 
 
@@ -202,12 +240,13 @@ def record_decisions(store: TableStore, decisions: DataFrame) -> None:
     """Append a batch of decisions; any that names no stored proposal fails the batch."""
     bounds = decisions.agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
     stray = unmatched_decisions(decisions, store.read_proposals(bounds["first"], bounds["last"]))
-    stray = store.staged(stray.select(*schemas.PROPOSAL_KEY, "problem"), "stray")
-    counts = stray.groupBy("problem").count().orderBy("problem").collect()  # two rows
-    if counts:
-        found = ", ".join(f"{r['count']} with {r['problem']}" for r in counts)
-        raise ValueError(f"decisions without a proposal: {found} ({store.listed(stray, 'decisions')})")
-    store.append_decisions(decisions)
+    with store.job():
+        stray = store.staged(stray.select(*schemas.PROPOSAL_KEY, "problem"), "stray")
+        counts = stray.groupBy("problem").count().orderBy("problem").collect()  # two rows
+        if counts:
+            found = ", ".join(f"{r['count']} with {r['problem']}" for r in counts)
+            raise ValueError(f"decisions without a proposal: {found} ({store.listed(stray, 'decisions')})")
+        store.append_decisions(decisions)
 
 
 def record_decision(

@@ -152,8 +152,5 @@ class MatrixStore:
         """Delete the folder of one (date, product), by the folder name Spark gave it."""
         own = self._stored().where((F.col("date") == pair["date"]) & (F.col("product") == pair["product"]))
         files = own.select("_metadata.file_path").distinct().collect()
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        settings = self.spark._jsparkSession.sessionState().newHadoopConf()
         for folder in {r[0].rsplit("/", 1)[0] for r in files}:
-            path = hadoop.Path(self.spark._jvm.java.net.URI(folder))
-            path.getFileSystem(settings).delete(path, True)
+            self.store.remove(self.spark._jvm.java.net.URI(folder))

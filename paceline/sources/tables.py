@@ -6,8 +6,10 @@ derived from `date` on write and dropped again on read.
 
 from __future__ import annotations
 
+import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from datetime import date
 
 from pyspark.errors import AnalysisException
@@ -64,6 +66,7 @@ class TableStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
+        self._copies: list[str] | None = None
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -72,17 +75,84 @@ class TableStore:
         """The frame written once below the root and read back.
 
         What follows may read it several times without running its plan again,
-        and unlike a cache it outlives lost executors.
+        and unlike a cache it outlives lost executors. Inside a `job` it goes when
+        the job ends.
         """
         path = self.path(f"_staging/{purpose}-{uuid.uuid4().hex}")
+        if self._copies is not None:
+            self._copies.append(path)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    @contextmanager
+    def job(self) -> Iterator[None]:
+        """What is staged inside is deleted at the end, after an error too; inner jobs leave it to the outer one."""
+        if self._copies is not None:
+            yield
+            return
+        self._copies = []
+        try:
+            yield
+        finally:
+            copies, self._copies = self._copies, None
+            for path in copies:
+                self.remove(path)
+
+    def _folder(self, address: str):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        path = hadoop.Path(address)
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
+
+    def remove(self, address: str) -> None:
+        """Delete a folder, if it is there."""
+        files, path = self._folder(address)
+        files.delete(path, True)
+
+    def sweep_staging(self, hours: float = 24) -> int:
+        """Delete copies that jobs whose driver was lost left behind, older than so many hours; their number."""
+        files, path = self._folder(self.path("_staging"))
+        if not files.exists(path):
+            return 0
+        oldest = time.time() * 1000 - hours * 3_600_000
+        left = [x.getPath() for x in files.listStatus(path) if x.getModificationTime() <= oldest]
+        for folder in left:
+            files.delete(folder, True)
+        return len(left)
+
     def listed(self, rows: DataFrame, purpose: str) -> str | None:
-        """Where the rows are written as a table of violations, with their number; None for no rows."""
-        kept = self.staged(rows, f"violations-{purpose}")
-        n = kept.count()
-        return f"{n} rows, listed in {kept.inputFiles()[0].rsplit('/', 1)[0]}" if n else None
+        """Where the rows are written as a table of violations, with their number; None for no rows.
+
+        Such a table stays after the job, for whoever reads the error.
+        """
+        path = self.path(f"_violations/{purpose}-{uuid.uuid4().hex}")
+        rows.write.parquet(path)
+        n = self.spark.read.schema(rows.schema).parquet(path).count()
+        if not n:
+            self.remove(path)
+        return f"{n} rows, listed in {path}" if n else None
+
+    def write_report(self, table: str, day: date, rows: DataFrame) -> None:
+        """Replace what a table of reports holds for a day; no rows clear the day."""
+        rows.drop("date").write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{self.path(table)}/date={day}")
+
+    def read_report(self, table: str, layout: str, start_date: date | None = None, end_date: date | None = None) -> DataFrame:
+        """A table of reports; `layout` names its columns, `date` among them."""
+        try:
+            stored = self.spark.read.schema(layout).parquet(self.path(table))
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
+            stored = self.spark.createDataFrame([], layout)
+        return stored.where(row_filter(start_date, end_date))
+
+    def read_failed_attempts(self, start_date=None, end_date=None) -> DataFrame:
+        """Attempts of the daily cycle that found no solution, with the reason."""
+        layout = "product string, family string, proposal_type string, slot int, attempt int, config_hash string, "
+        return self.read_report("failed_attempts", layout + "solver_status string, failure string, date date", start_date, end_date)
+
+    def read_skipped_outcomes(self, start_date=None, end_date=None) -> DataFrame:
+        """Proposals that got no outcome when their day was recorded, with the reason."""
+        return self.read_report("outcomes_skipped", "product string, config_hash string, reason string, date date", start_date, end_date)
 
     # -- reads ---------------------------------------------------------------
 
@@ -185,6 +255,7 @@ class TableStore:
             *sequence,
         )
         names = [f"_arrival_{i}" for i in range(len(sequence))]
+        require_clean(numbered, {f"{k}: null": F.col(k).isNull() for k in keys}, table)
         if names:
             fresh = last_per_key(numbered, keys, names).drop(*names)
         else:

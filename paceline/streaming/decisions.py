@@ -22,7 +22,12 @@ REJECTED = "decisions_rejected"
 
 def append_new(store: TableStore, batch: DataFrame, name: str) -> None:
     """Append the rows of a batch that keep the rules, unless the log has the batch already."""
-    rows = store.staged(batch, "decisions")  # the steps below would each run the batch again
+    with store.job():
+        # the steps below would each run the batch again
+        _append(store, store.staged(batch, "decisions"), name)
+
+
+def _append(store: TableStore, rows: DataFrame, name: str) -> None:
     bounds = rows.agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("n")).first()
     if not bounds["n"]:
         return

@@ -15,6 +15,7 @@ from paceline.plans import walkforward
 from paceline.schemas import FAMILIES, FEATURES
 
 START = date(2031, 1, 2)
+K = len(FEATURES)
 
 
 def random_history(days=60, products=("vol", "var"), per_family=2, seed=5, constant=None):
@@ -269,3 +270,55 @@ def test_later_outcomes_do_not_change_earlier_slots(spark, frames):
             assert left[name] == right[name]
         value = right["thompson_sample_value"]
         assert left["thompson_sample_value"] == pytest.approx(value, rel=1e-7)
+
+
+def test_drawn_weights_have_the_posterior_mean_and_covariance(spark):
+    """Many arms with the same rows: their draws scatter as the one posterior does."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(40, K))
+    y = x @ rng.normal(size=K) * 0.3 + rng.normal(0, 0.4, 40)
+    day = lambda k: date(2030, 1, 1) + timedelta(days=k)
+    rows = [(day(k), "vol", day(k), 1, float(y[k]), *map(float, x[k])) for k in range(40)]
+    columns = "date date, product string, eval_date date, n long, score_sum double, " + ", ".join(f"{f} double" for f in FEATURES)
+    families = [f"f{k}" for k in range(400)]
+    history = spark.createDataFrame(rows, columns).withColumn("family", F.explode(F.lit(families)))
+    fitted = arms.moments(history)
+    drawn = {r["family"]: r for r in arms.draw_weights(fitted, 5).collect()}
+    assert len(drawn) == 400
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    design = np.column_stack([np.ones(40), z])
+    precision = design.T @ design / arms.SIGMA_SQ + (arms.ALPHA + arms.JITTER) * np.eye(K + 1)
+    mean = np.linalg.solve(precision, design.T @ y / arms.SIGMA_SQ)
+    covariance = np.linalg.inv(precision)
+    w = np.array([drawn[f]["w"] for f in families])
+    assert np.allclose(drawn["f0"]["mu"], mean)
+    assert np.allclose(drawn["f0"]["cov"], covariance[np.triu_indices(K + 1)])
+    deviation = np.sqrt(np.diag(covariance))
+    assert np.abs((w.mean(axis=0) - mean) / deviation).max() < 4 / np.sqrt(400)
+    scatter = np.cov(w.T) / np.outer(deviation, deviation)
+    assert np.abs(scatter - covariance / np.outer(deviation, deviation)).max() < 0.25
+    factor = np.linalg.cholesky(precision).T
+    normals = (factor @ (w - mean).T).T
+    assert abs(normals.mean()) < 0.1 and abs(normals.std() - 1) < 0.1
+
+
+def test_contexts_share_one_draw(spark):
+    rng = np.random.default_rng(13)
+    rows = [(date(2030, 1, 1) + timedelta(days=k), "vol", "max_mean", date(2030, 1, 1), 1, float(rng.normal()), *map(float, rng.normal(size=K))) for k in range(30)]
+    columns = "date date, product string, family string, eval_date date, n long, score_sum double, " + ", ".join(f"{f} double" for f in FEATURES)
+    history = spark.createDataFrame(rows, columns)
+    fitted = arms.moments(history)
+    drawn = arms.draw_weights(fitted, 9)
+    w = drawn.first()
+    found = arms.apply_weights(history, drawn).collect()
+    assert len(found) == 30
+    x = {r["date"]: np.array([1.0, *[(r[f] - w["means"][i + 1]) / w["stds"][i + 1] for i, f in enumerate(FEATURES)]]) for r in history.collect()}
+    full = np.zeros((K + 1, K + 1))
+    full[np.triu_indices(K + 1)] = w["cov"]
+    full = full + np.triu(full, 1).T
+    for r in found:
+        assert r["sampled_value"] == pytest.approx(x[r["date"]] @ w["w"])
+        assert r["posterior_mean"] == pytest.approx(x[r["date"]] @ w["mu"])
+        assert r["posterior_std"] == pytest.approx(np.sqrt(x[r["date"]] @ full @ x[r["date"]]))
+    again = arms.draw_weights(fitted.repartition(3), 9).first()
+    assert again["w"] == w["w"]

@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from paceline.functions.score import ScoreRule
+from paceline.operators.attempts import matrix_solver
 from paceline.plans import daily
 from paceline.schemas import FAMILIES, FEATURES, PRODUCTS
+from paceline.sources.grid import config_grid
 from paceline.sources.matrices import MatrixStore
 from paceline.sources.tables import TableStore
 from tests import makers as m
@@ -184,3 +186,113 @@ def test_decisions_are_checked_and_logged(spark, store):
     assert store.read_decisions_raw().count() == 2
     latest = store.read_decisions_latest().collect()
     assert [(r["decision"], r["modified_config_hash"]) for r in latest] == [("modified", "5eed0f0a51ce0002")]
+
+
+def staged_folders(store):
+    import os
+
+    root = os.path.join(store.root, "_staging")
+    return os.listdir(root) if os.path.isdir(root) else []
+
+
+def test_a_repeated_ticker_does_not_end_the_recording(spark, store):
+    before = m.proposal(date(2031, 1, 1), key="old", weights=[0.2, 0.3, 0.5], column_names=["X", "X", "Z"])
+    store.write_proposals(m.frame(spark, "proposals", [before, m.proposal()]))
+    vols = spark.createDataFrame([("vol", 0.1)], "product string, vol double")
+    returns = spark.createDataFrame([("vol", 0, [0.01, 0.02, 0.03])], "product string, t int, values array<double>")
+    row = daily.record_outcomes(store, m.DAY, date(2031, 1, 9), returns, vols, rule=ScoreRule("continuous", 0.3)).first()
+    assert row["turnover_vs_prev_best"] == pytest.approx(abs(0.25 - 0.5) + 0.6 + abs(0.15 - 0.5))
+    with pytest.raises(ValueError, match=r"several columns for tickers: \['X'\]"):
+        daily.record_outcomes(store, m.DAY, date(2031, 1, 9), returns, vols, ["X", "X", "Y"])
+
+
+def test_skipped_proposals_are_reported(spark, store):
+    rows = [m.proposal(product=p) for p in ("vol", "var", "gamma", "dngamma")]
+    store.write_proposals(m.frame(spark, "proposals", rows))
+    vols = spark.createDataFrame([("vol", 0.1), ("gamma", 0.1), ("dngamma", 0.2)], "product string, vol double")
+    cells = [("vol", 0, [0.01, 0.02, 0.03]), ("var", 0, [0.0, 0.0, 0.1]), ("dngamma", 0, [float("nan"), 0.0, 0.1])]
+    returns = spark.createDataFrame(cells, "product string, t int, values array<double>")
+    found = daily.record_outcomes(store, m.DAY, date(2031, 1, 9), returns, vols).collect()
+    assert [r["product"] for r in found] == ["vol"]
+    reasons = {r["product"]: r["reason"] for r in store.read_skipped_outcomes(m.DAY, m.DAY).collect()}
+    assert reasons == {"var": "no trailing vol", "gamma": "no forward returns", "dngamma": "a figure is not finite"}
+    assert staged_folders(store) == []
+    whole = spark.createDataFrame([(p, 0, [0.01, 0.02, 0.03]) for p in ("vol", "gamma", "dngamma", "var")], returns.schema)
+    all_vols = spark.createDataFrame([(p, 0.1) for p in PRODUCTS], "product string, vol double")
+    assert daily.record_outcomes(store, m.DAY, date(2031, 1, 9), whole, all_vols).count() == 4
+    assert store.read_skipped_outcomes().count() == 0
+
+
+def test_solvers_that_get_the_matrix(spark, store):
+    """Each attempt meets its own product's rows, in order; failures keep their text."""
+
+    def solve(attempt, matrix):
+        if attempt["product"] == "var":
+            raise RuntimeError("does not converge")
+        if attempt["product"] == "gamma" and attempt["attempt"] < 2:
+            return {"solver_status": "infeasible"}
+        assert matrix[:, 0].tolist() == sorted(matrix[:, 0].tolist()) and matrix.shape == (6, 4)
+        return {
+            "weights": [float(matrix[0, 0]), *[0.0] * 3], "column_names": NAMES, "n_names": 4, "in_sample_sharpe": 1.0,
+            "in_sample_mean_pnl": float(matrix.mean()), "in_sample_max_dd": 0.0, "solver_status": "optimal", "solve_time_seconds": 0.1,
+        }
+
+    rows = [(p, t, [k + t / 10] * 4) for k, p in enumerate(PRODUCTS) for t in range(6) if p != "vol"]
+    rows += [("vol", t, [1.0] * (4 + (t == 3))) for t in range(6)]
+    held = spark.createDataFrame(rows, "product string, t int, values array<double>").repartition(7)
+    solver = matrix_solver(solve, held)
+    slots = spark.createDataFrame(
+        [(TODAY, p, "best", 1, FAMILIES[0]) for p in [*PRODUCTS, "none"]],
+        "date date, product string, proposal_type string, slot int, family string",
+    )
+    failed = []
+    found = daily.choose(slots, config_grid(spark), solver, 3, lambda df: store.staged(df, "a"), failed=failed).collect()
+    assert {r["product"]: (r["attempt"], r["weights"][0]) for r in found} == {
+        "corridor_var": (0, 0.0), "dngamma": (0, 1.0), "gamma": (2, 2.0),
+    }
+    log = [(r["product"], r["attempt"], r["solver_status"], r["failure"]) for f in failed for r in f.collect()]
+    wanted = [("gamma", k, "infeasible", None) for k in range(2)]
+    wanted += [("var", k, "solver_error", "RuntimeError: does not converge") for k in range(4)]
+    wanted += [("vol", k, "solver_error", "matrix rows differ in width") for k in range(4)]
+    wanted += [("none", k, "solver_error", "no matrix") for k in range(4)]
+    assert sorted(log, key=repr) == sorted(wanted, key=repr)
+
+
+def test_the_cycle_takes_such_a_solver_and_keeps_its_failures(spark, store):
+    held = matrices(spark)
+
+    def solve(attempt, matrix):
+        if attempt["attempt"] == 0 and attempt["product"] == "vol":
+            raise ValueError("first try")
+        return {
+            "weights": matrix.mean(axis=0).tolist(), "column_names": NAMES, "n_names": 4, "in_sample_sharpe": 1.0, "in_sample_mean_pnl": 0.0,
+            "in_sample_max_dd": 0.0, "solver_status": "optimal", "solve_time_seconds": 0.1,
+        }
+
+    report = daily.propose_today(store, TODAY, MARKET, held, matrix_solver(solve, held), seed=1).collect()
+    assert sum(r["n_proposals"] for r in report) == 20
+    assert store.read_proposals().first()["weights"] == pytest.approx([0.035] * 4)
+    log = store.read_failed_attempts(TODAY, TODAY).collect()
+    assert [(r["product"], r["attempt"], r["failure"]) for r in log] == [("vol", 0, "ValueError: first try")] * 4
+    assert staged_folders(store) == [] and store.sweep_staging(0) == 0
+    assert TableStore(spark, store.root + "/elsewhere").read_failed_attempts().count() == 0
+
+
+def test_copies_of_a_broken_job_go(spark, store):
+    with pytest.raises(RuntimeError), store.job():
+        store.staged(spark.range(3), "inner")
+        assert len(staged_folders(store)) == 1
+        with store.job():
+            store.staged(spark.range(3), "inner")
+        assert len(staged_folders(store)) == 2
+        raise RuntimeError
+    assert staged_folders(store) == []
+    store.staged(spark.range(3), "left")
+    assert store.sweep_staging(1) == 0 and store.sweep_staging(0) == 1 and staged_folders(store) == []
+
+
+def test_a_null_key_is_a_named_violation(spark, store):
+    store.write_outcomes(m.frame(spark, "outcomes", [m.outcome()]))
+    for table, row in (("outcomes", m.outcome(day=None)), ("proposals", m.proposal(product=None)), ("daily_features", m.feature(day=None))):
+        with pytest.raises(ValueError, match=r"(date|product): null \(1 rows\)"):
+            store.upsert(table, m.frame(spark, table, [row]))
