@@ -244,15 +244,15 @@ def rule_report(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     C.with_(C.PROP, C.LINES, C.FEAT)
     + """SELECT rule, count(*) - count(f.product) AS violations
-    FROM prop p LEFT JOIN (SELECT * FROM feat WHERE date >= DATE '1996-01-01') f USING (date, product),
+    FROM prop p LEFT JOIN (SELECT * FROM feat WHERE product <> 'P') f USING (date, product),
       (VALUES """
     + ", ".join(f"('{f}: null')" for f in FEATURES)
     + """) r(rule) GROUP BY 1 UNION ALL VALUES ('date: null', 0), ('product: null', 0)"""
 )
 def null_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Columns declared as never null, on proposals whose features before 1996 are missing."""
-    late = views.features(spark, sf).where(row_filter(date(1996, 1, 1)))
-    joined = views.proposals(spark, sf).join(late, schemas.DAY_KEY, "left")
+    """Columns declared as never null; product P, as a planted gap, has no features."""
+    known = views.features(spark, sf).where(F.col("product") != "P")
+    joined = views.proposals(spark, sf).join(known, schemas.DAY_KEY, "left")
     return quality.rule_report(joined, quality.null_rules("daily_features"))
 
 
@@ -537,16 +537,16 @@ def training_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    C.with_(C.PROP, C.LINES, C.FEAT, C.OUTC, "late AS (SELECT * FROM feat WHERE date >= DATE '1996-01-01')")
+    C.with_(C.PROP, C.LINES, C.FEAT, C.OUTC, "known AS (SELECT * FROM feat WHERE product <> 'P')")
     + f"""SELECT {TRAINING_OUT} FROM prop p
-    LEFT JOIN late f USING (date, product)
+    LEFT JOIN known f USING (date, product)
     LEFT JOIN (SELECT date, product, config_hash, eval_date, meta_score FROM outc) o USING (date, product, config_hash)"""
 )
 def full_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Features before 1996 are left out, so both sides of the left joins have gaps."""
-    late = views.features(spark, sf).where(row_filter(date(1996, 1, 1)))
+    """Product P, as a planted gap, has no features."""
+    known = views.features(spark, sf).where(F.col("product") != "P")
     joined = training.full_table(
-        views.proposals(spark, sf), late, views.outcomes(spark, sf).drop("o_orderkey")
+        views.proposals(spark, sf), known, views.outcomes(spark, sf).drop("o_orderkey")
     )
     return _training_columns(joined)
 
