@@ -1,9 +1,17 @@
 """Masked pseudo-likelihood scores from a bidirectional window network, trained in NumPy.
 
 The network sees two words on either side of a place and predicts the word there: its
-class first, then the word within the class. Words are counted over all documents; the
-most frequent have a number of their own, all others share a few by their last letters.
-A document's score is the sum of the log-probabilities of all its words.
+class first, then its number within the class. Every word of the corpus takes part: the
+most frequent have a number of their own, the others share some numbers by their last
+letters, and a word's share of its number is its count among all words of that number, over
+the whole corpus. So what is gathered grows with the corpus: a count for every different
+word. The chance of a word is that of its number times its share; over all words, and a
+reserve in each shared number for words never seen, chances sum to one. A document's score
+is the sum of the log-probabilities of all its words.
+
+Words are split and coded once, in runs of documents, each with the list of its own words.
+Those lists are counted, given numbers and shares, and sent back to their runs; training
+and scoring then read written numbers.
 
 Training reads every document once: each task runs AdaGrad over its own documents from
 the same start, and the tasks' weights are averaged by words seen. That happens in
@@ -15,20 +23,19 @@ null doc_id is kept. An empty table gives no row. Extra columns are left out.
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.llm.binary_records import batches
-from paceline.llm.common import table
+from paceline.llm.common import shared_folder, stored, table
 
 SIDE = 32  # classes, and words in each
 WORDS = SIDE * SIDE
@@ -42,7 +49,7 @@ ROUNDS = 2
 SEED = 42
 SLICES = 64
 LONGEST = 32  # bytes of a word with a number of its own
-KNOWN_WORDS = 400_000
+RUN_WORDS = 500_000  # words that are scored or trained on together
 SHAPES = {
     "words": (WORDS, SIZE),
     "input": (2 * SIDES * SIZE, HIDDEN),
@@ -73,54 +80,129 @@ def shaped(values: np.ndarray) -> Weights:
     return out
 
 
-def split(text: str | None) -> list[bytes]:
-    return (text or "").encode(errors="surrogatepass").lower().split()
+def coded(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of some texts (A-Z lower-cased), the place of each word among them, and words of each text."""
+    cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+    found = cut.values.dictionary_encode()
+    names = [x.lower() for x in found.dictionary.cast(pa.large_binary()).to_pylist()]
+    places: dict[bytes, int] = {}
+    # white space that begins or ends a text leaves an empty word
+    place = np.array([places.setdefault(x, len(places)) if x else -1 for x in names], np.int64)
+    codes = place[found.indices.to_numpy()]
+    text = np.repeat(np.arange(len(texts)), cut.value_lengths().to_numpy())[codes >= 0]
+    return list(places), codes[codes >= 0], np.bincount(text, minlength=len(texts))
 
 
-def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and how often the task met them, in parts that bound its memory."""
-    seen: Counter = Counter()
+CODED = "run string, doc_id long, codes binary, words array<binary>, counts array<long>"
 
-    def part() -> pa.RecordBatch:
-        kept = [(w, n) for w, n in seen.items() if len(w) <= LONGEST]
-        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
 
-    for batch in rows:
-        for text in batch.column(0).to_pylist():
-            seen.update(split(text))
-            if len(seen) > KNOWN_WORDS:
-                yield part()
-                seen.clear()
-    yield part()
-
-
-def vocabulary(docs: DataFrame) -> dict[bytes, int]:
-    """Numbers of the most frequent words of all documents, by falling count; 0 is outside a text."""
-    counts = docs.select(F.col("text").cast("string")).mapInArrow(counted, "word binary, n long")
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(WORDS - SHARED - 1)
+def code(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each run of documents a row for each document and one with the run's words and their counts."""
+    schema = pa.schema(
+        [("run", pa.string()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))]
+    )
+    for run in batches(rows):
+        words, codes, sizes = coded([text for _, text in run])
+        ends = np.cumsum(sizes)
+        parts = [codes[a:b].astype("<i4").tobytes() for a, b in zip(ends - sizes, ends, strict=True)]
+        name, n = uuid.uuid4().hex, len(run)
+        counts = np.bincount(codes, minlength=len(words))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([name] * (n + 1)),
+                pa.array([doc_id for doc_id, _ in run] + [None], pa.int64()),
+                pa.array([*parts, None], pa.binary()),
+                pa.array([None] * n + [words], schema.field("words").type),
+                pa.array([None] * n + [counts], schema.field("counts").type),
+            ],
+            schema=schema,
+        )
+
+
+def word_counts(runs: DataFrame) -> DataFrame:
+    """word and total: how often every word occurs in the corpus."""
+    pairs = runs.where("words IS NOT NULL").select(F.inline(F.arrays_zip("words", "counts")))
+    return pairs.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("total"))
+
+
+def vocabulary(counts: DataFrame) -> dict[bytes, int]:
+    """Numbers of the most frequent words, by falling count; 0 is outside a text."""
+    top = counts.where(F.length("word") <= LONGEST).orderBy(F.desc("total"), "word").limit(WORDS - SHARED - 1)
     return {bytes(r[0]): k + 1 for k, r in enumerate(top.collect())}
 
 
-class Numbers(dict):
-    """Numbers of words; those without one get a shared one by their last letters."""
+def shares(counts: DataFrame, numbers: dict[bytes, int]) -> DataFrame:
+    """word, number and log_share of every word: the log of its part of all words with its number.
+
+    A shared number keeps one more for all words that were never seen.
+    """
+    spark = counts.sparkSession
+    own = spark.createDataFrame([(w, n) for w, n in numbers.items()], "word binary, own int")  # under WORDS rows
+    shared = F.lit(WORDS - SHARED) + F.crc32(F.expr("substring(word, -3)")) % SHARED
+    numbered = counts.join(F.broadcast(own), "word", "left").withColumn("number", F.coalesce("own", shared.cast("int")))
+    reserve = F.when(F.col("own").isNull(), 1).otherwise(0)
+    numbered = numbered.withColumn("reserve", reserve)
+    sums = numbered.groupBy("number").agg((F.sum("total") + F.max("reserve")).alias("all"))  # at most WORDS rows
+    shared_out = numbered.join(F.broadcast(sums), "number")
+    return shared_out.select("word", "number", F.ln(F.col("total") / F.col("all")).alias("log_share"))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > KNOWN_WORDS:
-            return WORDS - SHARED + zlib.crc32(word[-3:]) % SHARED
-        self[word] = number = WORDS - SHARED + zlib.crc32(word[-3:]) % SHARED
-        return number
 
+def number(docs: pa.Table, words: pa.Table) -> pa.Table:
+    """The documents of a run with the numbers of their words, and the sum of the words' log shares."""
+    order = np.argsort(words.column("place").to_numpy())
+    numbers = words.column("number").to_numpy()[order].astype("<i2")
+    log_share = words.column("log_share").to_numpy()[order]
+    codes = [np.frombuffer(x, "<i4") for x in docs.column("codes").to_pylist()]
+    return pa.table(
+        {
+            "doc_id": docs.column("doc_id"),
+            "numbers": pa.array([numbers[x].tobytes() for x in codes], pa.binary()),
+            "log_share": pa.array([float(log_share[x].sum()) for x in codes], pa.float64()),
+        }
+    )
 
-def runs(texts: list[str | None], numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+NUMBERED = "doc_id long, numbers binary, log_share double"
+
+
+def numbered(docs: DataFrame, folder: str) -> DataFrame:
+    """doc_id, the numbers of all words (16-bit integers) and log_share of every document, written."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    runs = stored(rows.mapInArrow(code, CODED), f"{folder}/runs")
+    counts = stored(word_counts(runs), f"{folder}/counts")
+    lexicon = shares(counts, vocabulary(counts))
+    own = runs.where("words IS NOT NULL").select("run", F.posexplode("words").alias("place", "word"))
+    own = own.join(lexicon, "word").select(F.col("run").alias("own_run"), "place", "number", "log_share")
+    documents = runs.where("codes IS NOT NULL").select("run", "doc_id", "codes")
+    made = documents.groupBy("run").cogroup(own.groupBy("own_run")).applyInArrow(number, NUMBERED)
+    return stored(made, f"{folder}/numbered")
+
+
+def run_arrays(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of all words with SIDES zeros around each text; places of the words; words of each text."""
-    words = [split(x) for x in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     places = np.arange(sizes.sum()) + SIDES * (1 + np.repeat(np.arange(len(words)), sizes))
     padded = np.zeros(len(places) + SIDES * (len(words) + 1), np.int64)
-    padded[places] = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int64, len(places))
+    padded[places] = np.concatenate(words) if words else []
     return padded, places, sizes
 
 
+def written(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray], list[float]]]:
+    """(doc_ids, numbers, log shares) of documents in runs of at most RUN_WORDS words, or one document."""
+    ids, words, log_shares, held = [], [], [], 0
+    for batch in rows:
+        for doc_id, numbers, share in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ids.append(doc_id)
+            words.append(np.frombuffer(numbers, "<i2"))
+            log_shares.append(share)
+            held += len(words[-1])
+            if held >= RUN_WORDS:
+                yield ids, words, log_shares
+                ids, words, log_shares, held = [], [], [], 0
+    if ids:
+        yield ids, words, log_shares
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     out = np.exp(x - x.max(axis=1, keepdims=True))
     out /= out.sum(axis=1, keepdims=True)
@@ -179,12 +261,11 @@ def gradient(weights: Weights, padded: np.ndarray, places: np.ndarray) -> Weight
 
 def trainer(sent):
     def train(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, start = sent.value
-        numbers, weights, words = Numbers(numbers), shaped(start), 0
+        weights, words = shaped(sent.value), 0
         moved = {k: np.full(v.shape, 1e-6, np.float32) for k, v in weights.items()}
         rng = np.random.default_rng(SEED)
-        for run in batches(rows):
-            padded, places, _ = runs([text for _, text in run], numbers)
+        for _, run, _ in written(rows):
+            padded, places, _ = run_arrays(run)
             rng.shuffle(places)
             for first in range(0, len(places), BATCH):
                 part = places[first : first + BATCH]
@@ -208,12 +289,12 @@ def averaged(parts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slice": parts["slice"].iloc[:1], "part": [part]})
 
 
-def train(docs: DataFrame, numbers: dict[bytes, int], rounds: int = ROUNDS) -> np.ndarray:
-    spark, now = docs.sparkSession, flat(start_weights())
-    texts = docs.select(F.lit(0).alias("doc_id"), F.col("text").cast("string"))
+def train(words: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights from numbered() documents."""
+    spark, now = words.sparkSession, flat(start_weights())
     for k in range(rounds):
-        sent = spark.sparkContext.broadcast((numbers, now))
-        own = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
+        sent = spark.sparkContext.broadcast(now)
+        own = words.where(F.pmod(F.xxhash64("numbers"), F.lit(rounds)) == k)
         parts = own.mapInArrow(trainer(sent), "slice long, part binary, words long")
         made = parts.groupBy("slice").applyInPandas(averaged, "slice long, part binary").collect()  # SLICES rows
         if made:
@@ -222,23 +303,20 @@ def train(docs: DataFrame, numbers: dict[bytes, int], rounds: int = ROUNDS) -> n
 
 
 def scorer(sent, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    numbers, values = sent.value
-    numbers, weights = Numbers(numbers), shaped(values)
-    for run in batches(rows):
-        padded, places, sizes = runs([text for _, text in run], numbers)
+    weights = shaped(sent.value)
+    for ids, run, log_shares in written(rows):
+        padded, places, sizes = run_arrays(run)
         total = np.concatenate(([0.0], np.cumsum(log_chances(weights, padded, places))))
         ends = np.cumsum(sizes)
-        sums = total[ends] - total[ends - sizes]
-        ids = pa.array([doc_id for doc_id, _ in run], pa.int64())
-        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(sums)], ["doc_id", "n_words", "log_likelihood"])
+        sums = total[ends] - total[ends - sizes] + np.array(log_shares)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(sums)], ["doc_id", "n_words", "log_likelihood"])
 
 
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_words, log_likelihood and mean_log_likelihood of every document."""
-    numbers = vocabulary(docs)
-    sent = docs.sparkSession.sparkContext.broadcast((numbers, train(docs, numbers, rounds)))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    made = rows.mapInArrow(partial(scorer, sent), "doc_id long, n_words long, log_likelihood double")
+    words = numbered(docs, shared_folder(docs.sparkSession, "language-model"))
+    sent = docs.sparkSession.sparkContext.broadcast(train(words, rounds))
+    made = words.mapInArrow(partial(scorer, sent), "doc_id long, n_words long, log_likelihood double")
     mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
     return made.withColumn("mean_log_likelihood", mean)
 
