@@ -8,7 +8,9 @@ Reading: each record must inflate (or stand plain), begin with a version line, b
 long as it says, and have the digests it says. Where one does not, the reader looks for
 the next gzip member or version line from which a whole record can be read, goes on
 there, and reports the bytes between as a gap with the reason. So a damaged record costs
-that record only. A file is read record by record, not as a whole.
+that record only. A file is read record by record, not as a whole. Numbers are ASCII digits
+of at most 18 places; a header that holds anything else is a damaged one. `recovered` writes
+the gaps to a table, the quarantine log, and gives the records.
 
 A null html is an empty payload, a null url has no target line. A null page_id is
 written without one, read back as null, and is a revisit of any page with its payload.
@@ -19,6 +21,7 @@ gives no file. Extra columns are left out. A task that runs again replaces its f
 from __future__ import annotations
 
 import base64
+import binascii
 import hashlib
 import re
 import uuid
@@ -31,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm.common import shared_folder, store_of, table
+from paceline.llm.common import shared_folder, store_of, stored, table
 
 LEAST_BYTES = 1000
 DATE = "2000-01-01T00:00:00Z"  # the tables have no fetch time
@@ -46,6 +49,8 @@ CHUNK = 1 << 16
 SEARCH = 1 << 20
 HEADER_LIMIT = 1 << 20
 ROWS = 500
+#: Fixed value: what counts as a number in a header; longer ones do not fit 64 bits.
+NUMBER = re.compile(r"-?[0-9]{1,18}", re.ASCII)
 
 
 def digest_line(data: bytes) -> str:
@@ -165,6 +170,28 @@ def headers(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
 
 
+def whole_number(found: dict[str, str], name: str) -> int | None:
+    """A header's number, None if there is no such header."""
+    if name not in found:
+        return None
+    if not NUMBER.fullmatch(found[name]):
+        raise Damaged(f"{name} is no number")
+    return int(found[name])
+
+
+def stated_digest(line: str) -> str | None:
+    """The hex digest that a digest header states, None if it states none by SHA-1."""
+    if not line.startswith("sha1:"):
+        return None
+    try:
+        digest = base64.b32decode(line[5:])
+    except binascii.Error as wrong:
+        raise Damaged("digest is not base32") from wrong
+    if len(digest) != hashlib.sha1().digest_size:
+        raise Damaged("digest is of another length")
+    return digest.hex()
+
+
 def plain(source: Source, start: int) -> tuple[bytes, int]:
     """The record that stands uncompressed at a place, and where it ends."""
     data = b""
@@ -174,10 +201,10 @@ def plain(source: Source, start: int) -> tuple[bytes, int]:
             raise Damaged("no end of the header")
         data += more
     head = data.index(END)
-    length = headers(data[:head]).get("content-length", "")
-    if not length.isdigit():
+    length = whole_number(headers(data[:head]), "content-length")
+    if length is None or length < 0:
         raise Damaged("no length")
-    end = start + head + len(END) + int(length) + len(END)
+    end = start + head + len(END) + length + len(END)
     if end > source.size:
         raise Damaged("cut off")
     return source.at(start, end - start), end
@@ -191,8 +218,8 @@ def parsed(data: bytes) -> dict:
     if any(x in head[len(VERSION) :] + b"\r\n" for x in VERSIONS):
         raise Damaged("version line inside a header")
     found = headers(head)
-    length = found.get("content-length", "")
-    if not length.isdigit() or len(rest) != int(length) + len(END) or not rest.endswith(END):
+    length = whole_number(found, "content-length")
+    if length is None or len(rest) != length + len(END) or not rest.endswith(END):
         raise Damaged("length is wrong")
     block = rest[: -len(END)]
     if found.get("warc-block-digest", digest_line(block)) != digest_line(block):
@@ -204,13 +231,12 @@ def parsed(data: bytes) -> dict:
         if stated and stated != digest_line(payload):
             raise Damaged("payload digest is wrong")
         stated = digest_line(payload)
-    number = lambda name: int(found[name]) if found.get(name, "").lstrip("-").isdigit() else None
     return {
         "record_type": kind,
-        "page_id": number("x-page-id"),
-        "payload_bytes": number("x-payload-length") if payload is None else len(payload),
-        "payload_digest": base64.b32decode(stated[5:]).hex() if stated.startswith("sha1:") else None,
-        "refers_to": number("x-refers-to-page-id"),
+        "page_id": whole_number(found, "x-page-id"),
+        "payload_bytes": whole_number(found, "x-payload-length") if payload is None else len(payload),
+        "payload_digest": stated_digest(stated),
+        "refers_to": whole_number(found, "x-refers-to-page-id"),
         "target_uri": found.get("warc-target-uri"),
         "payload": payload,
     }
@@ -293,12 +319,24 @@ def read_archives(spark: SparkSession, address: str, files: list[str], with_payl
     return todo.mapInArrow(reader(address, with_payload), ENTRY + ", payload binary" * with_payload)
 
 
+def recovered(entries: DataFrame, address: str) -> tuple[DataFrame, DataFrame]:
+    """The records of read_archives(), and the quarantine log: file, start, end and reason of every gap.
+
+    Both are written below the address, so that the archives are read once.
+    """
+    kept = stored(entries, f"{address}-entries")
+    log = kept.where("gap IS NOT NULL").select("file", "start", "end", F.col("gap").alias("reason"))
+    return kept.where("gap IS NULL").drop("gap"), stored(log, f"{address}-quarantine")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages, written as archives and read back."""
+    """All pages, written as archives and read back; a gap in archives just written is an error."""
     address = shared_folder(spark, "warc")
     files = write_archives(table(spark, sf_dir, "pages"), address)
-    entries = read_archives(spark, address, files, with_payload=False).where("gap is null")
-    return entries.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records, log = recovered(read_archives(spark, address, files, with_payload=False), address)
+    if not log.isEmpty():
+        raise ValueError(f"archives are damaged, see {address}-quarantine")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 CHECK_OP3 = f"""

@@ -3,6 +3,8 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import random
+import re
 
 import duckdb
 import pyarrow as pa
@@ -106,3 +108,47 @@ def test_a_wrong_digest_and_a_wrong_length_are_gaps():
         found = read(bad + good)
         assert [f[3] for f in found if f[2] is None] == [7] and reason in [f[2] for f in found if f[2]][0]
     assert read(b"") == [] and read(b"nothing at all")[0][2]
+
+
+def test_odd_numbers_and_digests_are_gaps():
+    good, revisit = page(7), warc.record(
+        {"page_id": 8, "url": "http://a", "html": None, "digest": hashlib.sha1(b"x").hexdigest(), "bytes": 5_000, "refers_to": 9, "revisit": True}
+    )
+    assert [f[3] for f in read(revisit + good)] == [8, 7]
+    bad = [
+        re.sub(rb"Content-Length: [0-9]+", "Content-Length: ²".encode(), good),
+        re.sub(rb"Content-Length: [0-9]+", b"Content-Length: " + b"1" * 5_000, good),
+        re.sub(rb"X-Page-Id: 7", "X-Page-Id: -²".encode(), good),
+        re.sub(rb"X-Page-Id: 7", b"X-Page-Id: " + b"9" * 19, good),
+        re.sub(rb"sha1:[A-Z2-7]+", b"sha1:0189", revisit),
+        re.sub(rb"sha1:[A-Z2-7]+", b"sha1:AAAA", revisit),
+    ]
+    for data in bad:
+        assert data not in (good, revisit)
+        found = read(data + good)
+        assert [f[3] for f in found if f[2] is None] == [7] and found[0][2], data[:300]
+
+
+def test_any_byte_changed_costs_one_record_at_most():
+    rng = random.Random(4)
+    for pack in (bytes, gzip.compress):
+        parts = [pack(page(1)), pack(page(2)), pack(page(3))]
+        first, last = len(parts[0]), len(parts[0]) + len(parts[1])
+        for at in range(first, last):
+            data = bytearray(b"".join(parts))
+            data[at] ^= rng.randint(1, 255)
+            ids = [f[3] for f in read(bytes(data)) if f[2] is None]
+            assert ids[0] == 1 and ids[-1] == 3 and len(ids) in (2, 3), at
+
+
+def test_gaps_are_logged_and_records_kept(spark, tmp_path):
+    members = [gzip.compress(page(k)) for k in range(4)]
+    members[2] = members[2][:30] + b"\0" + members[2][31:]
+    address = f"file://{tmp_path}/archives"
+    (tmp_path / "archives").mkdir()
+    (tmp_path / "archives" / "a.warc.gz").write_bytes(b"".join(members))
+    entries = warc.read_archives(spark, address, ["a.warc.gz"])
+    records, log = warc.recovered(entries, address)
+    assert sorted(r.page_id for r in records.collect()) == [0, 1, 3] and "gap" not in records.columns
+    start = len(members[0]) + len(members[1])
+    assert [tuple(r)[:3] for r in log.collect()] == [("a.warc.gz", start, start + len(members[2]))]
