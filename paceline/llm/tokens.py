@@ -3,7 +3,9 @@
 Both vocabularies split a text before they merge: a byte-level token never starts
 inside `X Y` before the space (the space belongs to the word after it), and the
 word vocabulary drops white space. So a text's ids are the ids of its words, one
-after the other, and a word that a worker has met need not be merged again.
+after the other, and a word that a worker has met need not be merged again. A vocabulary's
+added tokens (end of text and the like) are found first, as the library does: each is its
+own id, and the texts between them are encoded one by one.
 """
 
 from __future__ import annotations
@@ -46,8 +48,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(file)
-        tokenizer.encode_special_tokens = True
         self.tokenizer, self.model = tokenizer, tokenizer.model
+        added = {x.content: number for number, x in tokenizer.get_added_tokens_decoder().items()}
+        self.added = {content: array("I", [number]).tobytes() for content, number in added.items()}
+        self.marks = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True))) or "(?!)")
         self.keeps_spaces = not self.model.end_of_word_suffix
         self.letters = byte_letters()
         self.words: dict[str, bytes] = {}
@@ -79,10 +83,25 @@ class Encoder:
             return LAST_OF_RUN.split(text) if INNER_SPACE.search(text) else None
         return [text] if SEPARATORS.search(text) else None
 
+    def between_marks(self, texts: list[str], marked: list[int]) -> list[bytes]:
+        """encode() where some texts hold added tokens: these are cut there, and all parts encoded."""
+        cuts = {i: (self.marks.split(texts[i]), self.marks.findall(texts[i])) for i in marked}
+        coded = iter(self.encode([x for i, text in enumerate(texts) for x in (cuts[i][0] if i in cuts else [text])]))
+        out = []
+        for i in range(len(texts)):
+            ids = next(coded)
+            for mark in cuts[i][1] if i in cuts else []:
+                ids += self.added[mark] + next(coded)
+            out.append(ids)
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > MEMORY_WORDS:
             self.words.clear()
             self.pieces.clear()
+        marked = [i for i, x in enumerate(texts) if self.marks.search(x)]
+        if marked:
+            return self.between_marks(texts, marked)
         odd = {i: x for i, x in enumerate(map(self.odd, texts)) if x is not None}
         plain = pa.array(["" if i in odd else x for i, x in enumerate(texts)], pa.large_string())
         cut = pc.split_pattern(plain, " ") if self.keeps_spaces else pc.utf8_split_whitespace(plain)

@@ -73,15 +73,27 @@ ODD += ["x\0 y  z", "123 45,6 ##", "a\t b \t c", "é ﬁ İ", "wörd," * 3, "
 @pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
 def test_words_encode_as_whole_texts_do(name):
     whole = Tokenizer.from_file(public_tokenizers.path(name))
-    whole.encode_special_tokens = True
     wanted = [array.array("I", whole.encode(t, add_special_tokens=False).ids).tobytes() for t in ODD]
     assert encoder(name).encode(ODD) == wanted
     assert encoder(name).encode(ODD) == wanted  # from memory
 
 
+PARTS = ["a", "b ", " ", "  ", "\n", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "é", "É", "日本", "ß", "İ", "́", "'s", "123", "...", " ", "　", "\x1c", "\x85"]
+PARTS += ["🎉", "don't", "X", "\t", "ǅ", "ﬁ", "<|ENDOFTEXT|>", "\u200d", "\ufeff", "क्", "힣"]
+
+
+@pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
+def test_ids_are_the_library_s_own_over_odd_texts(name):
+    whole = Tokenizer.from_file(public_tokenizers.path(name))
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(PARTS, k=rng.randint(0, 12))) for _ in range(4_000)]
+    texts += ["a <|endoftext|> b", "<|startoftext|>x", "<|endoftext|><|endoftext|>", ""]
+    wanted = [array.array("I", whole.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    assert encoder(name).encode(texts) == wanted
+
+
 def check(docs, rows, capacity):
     whole = Tokenizer.from_file(public_tokenizers.path(BYTE_BPE))
-    whole.encode_special_tokens = True
     wanted = Counter()
     for doc_id, text in docs:
         ids = whole.encode(text or "", add_special_tokens=False).ids + [0]
