@@ -4,8 +4,15 @@ A text's prefix array holds, for each length, the hash of that many first code p
 (sum of code point times base to its place, modulo a prime, for two bases). From two
 arrays any two spans are compared in constant time, and the longest common extension of
 two places is found by binary search. The fingerprint written out is the number of code
-points and the whole text's hash; the likeness of two texts is the share of the longer
-one that their common beginning and common end cover.
+points and the whole text's hash, and tells equal texts; likeness is taken from the arrays
+themselves.
+
+The likeness of two texts is the share of the longer one that common spans cover, in order:
+the common beginning, the common end, and between them spans found from anchors. An anchor
+is a block of BLOCK code points of the first text, at a multiple of BLOCK, whose hash is
+that of a window of the second one, the first after the span before it; by common
+extensions it grows to both sides. So a span in common of 2 * BLOCK - 1 code points or more
+holds a block, whatever was changed before it.
 
 The query also needs each document's successor by doc_id. Documents are dealt out by
 ranges of ids, each range is read in order, and the first document of a range is sent
@@ -31,6 +38,7 @@ from paceline.llm.common import partitions, table
 
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 805_306_457)
+BLOCK = 32
 LEAST_ID = -(1 << 63)
 ROWS = 2000
 _powers = [np.ones(1, np.uint64) for _ in BASES]
@@ -80,9 +88,10 @@ class Prefixes:
                 return False
         return True
 
-    def extension(self, at: int, other: Prefixes, there: int, back: bool = False) -> int:
-        """Longest common extension of two places, forward, or back from their ends."""
+    def extension(self, at: int, other: Prefixes, there: int, back: bool = False, limit: int | None = None) -> int:
+        """Longest common extension of two places, forward, or back from their ends; at most `limit`."""
         low, high = 0, min(at, there) if back else min(self.n - at, other.n - there)
+        high = high if limit is None else min(high, limit)
         while low < high:
             size = (low + high + 1) // 2
             if self.same(at - size * back, other, there - size * back, size):
@@ -100,7 +109,45 @@ class Prefixes:
             return 1.0
         head = self.extension(0, other, 0)
         tail = min(shorter - head, self.extension(self.n, other, other.n, back=True))
-        return (head + tail) / longer
+        return (head + tail + self.between(other, head, tail)) / longer
+
+    def windows(self, starts: np.ndarray, top: int) -> np.ndarray:
+        """Hashes of the BLOCK code points at the places, as if all began at place `top`; both bases in one number."""
+        out = np.zeros(len(starts), np.uint64)
+        for mine, power in zip(self.arrays, powers(top + 1), strict=True):
+            span = (mine[starts + BLOCK] + np.uint64(PRIME) - mine[starts]) % np.uint64(PRIME)
+            out = (out << np.uint64(31)) | (span * power[top - starts] % np.uint64(PRIME))
+        return out
+
+    def between(self, other: Prefixes, head: int, tail: int) -> int:
+        """Code points of spans in common, in order, after the first `head` and before the last `tail`."""
+        end, its_end = self.n - tail, other.n - tail
+        starts = np.arange(-(-head // BLOCK) * BLOCK, end - BLOCK + 1, BLOCK)
+        places = np.arange(head, its_end - BLOCK + 1)
+        if not len(starts) or not len(places):
+            return 0
+        top = max(self.n, other.n)
+        known, which = np.unique(self.windows(starts, top), return_inverse=True)
+        found = other.windows(places, top)
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        hit = known[at] == found
+        order = np.argsort(at[hit], kind="stable")
+        at, places = at[hit][order], places[hit][order]  # places of each known block, ascending
+        first, last = np.searchsorted(at, np.arange(len(known)), "left"), np.searchsorted(at, np.arange(len(known)), "right")
+        mine, its, covered = head, head, 0
+        for k in np.flatnonzero(last[which] > first[which]).tolist():
+            start, block = int(starts[k]), which[k]
+            if start < mine:
+                continue
+            next_ = first[block] + int(np.searchsorted(places[first[block] : last[block]], its))
+            if next_ == last[block]:
+                continue
+            there = int(places[next_])
+            back = self.extension(start, other, there, back=True, limit=min(start - mine, there - its))
+            on = self.extension(start, other, there, limit=min(end - start, its_end - there))
+            covered += back + on
+            mine, its = start + on, there + on
+        return covered
 
 
 SHAPE = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

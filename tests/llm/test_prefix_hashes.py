@@ -18,10 +18,43 @@ def common(a, b):
 
 
 def likeness(a, b):
+    """The same search on the strings themselves."""
     if not a and not b:
         return 1.0
     head = common(a, b)
-    return (head + min(min(len(a), len(b)) - head, common(a[::-1], b[::-1]))) / max(len(a), len(b))
+    tail = min(min(len(a), len(b)) - head, common(a[::-1], b[::-1]))
+    end, its_end = len(a) - tail, len(b) - tail
+    mine, its, covered = head, head, 0
+    for start in range(-(-head // ph.BLOCK) * ph.BLOCK, end - ph.BLOCK + 1, ph.BLOCK):
+        if start < mine:
+            continue
+        there = b.find(a[start : start + ph.BLOCK], its, its_end)
+        if there < 0:
+            continue
+        back = common(a[mine:start][::-1], b[its:there][::-1])
+        on = common(a[start:end], b[there:its_end])
+        covered += back + on
+        mine, its = start + on, there + on
+    return (head + tail + covered) / max(len(a), len(b))
+
+
+def test_likeness_goes_on_after_each_change():
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(1_000))
+    like = lambda a, b: ph.Prefixes.of(a).likeness(ph.Prefixes.of(b))
+    assert like(text, "x" * 10 + text[10:-1] + "y") > 0.95
+    shifted = "new " * 5 + text[:300] + "and " * 9 + text[300:700] + text[760:] + "!"
+    assert like(text, shifted) > 0.85 and like(shifted, text) > 0.85
+    other = "".join(rng.choice("ijklmnop ") for _ in range(1_000))
+    assert like(text, other) < 0.05 and like(text, text) == 1.0
+    for _ in range(150):
+        alphabet = rng.choice(["ab", "abcdefgé𝄞", "a"])
+        a = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 400)))
+        b = a
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randint(0, len(b))
+            b = b[:at] + "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) + b[at + rng.randint(0, 60) :]
+        assert like(a, b) == pytest.approx(likeness(a, b))
 
 
 def test_spans_and_extensions():
