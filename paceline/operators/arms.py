@@ -58,13 +58,14 @@ def sum_by(rows: DataFrame, keys: Sequence[str], sums: dict[str, str]) -> DataFr
 def centre(rows: DataFrame) -> DataFrame:
     """Add the product's feature means, and d_i.
 
-    Centring before squaring keeps the digits that sums of raw squares lose. The
-    means are an aggregate of their own, one row per product, so no task has to
-    hold a product's whole calendar.
+    Centring before squaring keeps the digits that sums of raw squares lose. The means
+    are windows over the condensed rows, whose number per product is bounded by the
+    calendar: so the rows are computed once, and being dealt by product already they
+    are summed per arm without another shuffle.
     """
-    cells = [f"sum(n * `{f}`) / sum(n)" for f in FEATURES]
-    means = sum_by(rows, ["product"], {"means": linalg.array(["0D", *cells])})
-    return _less_means(rows.join(means, "product"))
+    own = "OVER (PARTITION BY product)"
+    cells = [f"sum(n * `{f}`) {own} / sum(n) {own}" for f in FEATURES]
+    return _less_means(rows.selectExpr("*", f"{linalg.array(['0D', *cells])} AS means"))
 
 
 def _less_means(rows: DataFrame) -> DataFrame:
