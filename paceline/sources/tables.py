@@ -8,21 +8,23 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from datetime import date
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from paceline import schemas
 from paceline.operators.keyed import last_per_key, merge_rows
-from paceline.operators.quality import broken_rules, refuse, require_clean
+from paceline.operators.quality import refuse
 
 MONTH = ["year", "month"]
 # Stored beside a log's declared columns: which batch of a stream a row came with.
 BATCH = "_batch"
+# Columns of a batch that tell which row of a key came last, numbered.
+ARRIVAL = "_arrival_"
 
 
 def with_month(df: DataFrame) -> DataFrame:
@@ -245,30 +247,54 @@ class TableStore:
         key came last; they need not belong to the table. Without it no key may be
         repeated: a frame has no order of its own that would tell.
         """
-        keys = schemas.KEYS[table]
+        with self.job():
+            rows, problems, _ = self._taken(table, batch, arrival, {})
+            refuse(table, problems)
+            self._replace(table, rows)
+
+    def _taken(
+        self, table: str, batch: DataFrame, arrival: Sequence[str] | None, rules: Mapping[str, Column]
+    ) -> tuple[DataFrame, list[str], int]:
+        """The batch in the table's layout, staged; every broken rule with its count; the number of rows.
+
+        The rules, and that no key is null, are counted by the job that stages the batch, so
+        the batch's own plan runs once however many rules there are.
+        """
         declared = schemas.data_columns(table)
-        sequence = [F.col(c).alias(f"_arrival_{i}") for i, c in enumerate(arrival or [])]
+        sequence = [F.col(c).alias(f"{ARRIVAL}{i}") for i, c in enumerate(arrival or [])]
         extra = set(arrival or []) - set(declared)
         typed = schemas.conform(batch.drop(*extra), table)
-        numbered = batch.select(
+        rows = batch.select(
             *[F.col(f.name).cast(f.dataType).alias(f.name) for f in typed.schema.fields if f.name in declared],
             *sequence,
         )
-        names = [f"_arrival_{i}" for i in range(len(sequence))]
-        require_clean(numbered, {f"{k}: null": F.col(k).isNull() for k in keys}, table)
+        return self._counted(rows, {f"{k}: null": F.col(k).isNull() for k in schemas.KEYS[table]} | dict(rules), table)
+
+    def _counted(self, rows: DataFrame, rules: Mapping[str, Column], purpose: str) -> tuple[DataFrame, list[str], int]:
+        seen = Observation()
+        counts = [F.count_if(F.coalesce(rule, F.lit(False))).alias(f"r{i}") for i, rule in enumerate(rules.values())]
+        staged = self.staged(rows.observe(seen, F.count("*").alias("n"), *counts), purpose)
+        found = seen.get
+        broken = [(name, found.get(f"r{i}", 0)) for i, name in enumerate(rules)]
+        return staged, [f"{name} ({n} rows)" for name, n in broken if n], found.get("n", 0)
+
+    def _replace(self, table: str, rows: DataFrame) -> None:
+        """Upsert staged rows, whose arrival columns are numbered."""
+        keys = schemas.KEYS[table]
+        names = [c for c in rows.columns if c.startswith(ARRIVAL)]
         if names:
-            fresh = last_per_key(numbered, keys, names).drop(*names)
+            fresh = last_per_key(rows, keys, names).drop(*names)
         else:
-            repeated = numbered.groupBy(*keys).count().where("count > 1")
+            repeated = rows.groupBy(*keys).count().where("count > 1")
             if not repeated.isEmpty():
                 raise ValueError(f"{table}: {repeated.count()} repeated keys; name the columns of their arrival")
-            fresh = numbered
+            fresh = rows
         fresh = schemas.conform(fresh, table)
         if self._stored(table) is not None:
-            months = self._touched_months(typed)
+            months = self._touched_months(rows)
             if not months:
                 return
-            fresh = merge_rows(self.read_months(table, months), fresh, keys, typed)
+            fresh = merge_rows(self.read_months(table, months), fresh, keys, rows)
         self._write(fresh, table, "overwrite", keys)
 
     def write_features(self, df: DataFrame, arrival=None) -> None:
@@ -278,26 +304,29 @@ class TableStore:
         """Check that no required figure is missing, then upsert."""
         from paceline.operators.quality import null_rules
 
-        if df.isEmpty():
-            raise ValueError("there are no outcomes to write")
-        require_clean(df, null_rules("outcomes"), "outcomes")
-        self.upsert("outcomes", df, arrival)
+        with self.job():
+            rows, problems, n = self._taken("outcomes", df, arrival, null_rules("outcomes"))
+            if not n:
+                raise ValueError("there are no outcomes to write")
+            refuse("outcomes", problems)
+            self._replace("outcomes", rows)
 
     def write_proposals(self, df: DataFrame, matrices: DataFrame | None = None, arrival=None) -> None:
         """Check, store the matrices, upsert the proposals, drop matrices without a proposal."""
         from paceline.operators.quality import proposal_rules
         from paceline.sources.matrices import MatrixStore, width_violations
 
-        problems = broken_rules(df, proposal_rules())
-        if matrices is not None:
-            wide = self.listed(width_violations(matrices, df), "matrices")
-            problems += [f"matrix width differs from column_names ({wide})"] if wide else []
-        refuse("proposals", problems)
-        if matrices is not None:
-            MatrixStore(self).write(matrices)
-        self.upsert("proposals", df, arrival)
-        if matrices is not None:
-            MatrixStore(self).sweep(matrices.select("date", "product").distinct())
+        with self.job():
+            rows, problems, _ = self._taken("proposals", df, arrival, proposal_rules())
+            if matrices is not None:
+                wide = self.listed(width_violations(matrices, rows), "matrices")
+                problems += [f"matrix width differs from column_names ({wide})"] if wide else []
+            refuse("proposals", problems)
+            if matrices is not None:
+                MatrixStore(self).write(matrices)
+            self._replace("proposals", rows)
+            if matrices is not None:
+                MatrixStore(self).sweep(matrices.select("date", "product").distinct())
 
     def append_decisions(self, df: DataFrame, batch: str | None = None) -> None:
         """Append to the decision log, in time order within each file; nothing is replaced.
@@ -306,10 +335,10 @@ class TableStore:
         """
         from paceline.operators.quality import decision_rules
 
-        schemas.require_zoned(df, "decided_at_utc")
-        require_clean(df, decision_rules(), "decisions")
-        rows = schemas.conform(df, "decisions").withColumn(BATCH, F.lit(batch).cast("string"))
-        self._write(rows, "decisions", "append", ["decided_at_utc"])
+        with self.job():
+            rows, problems, _ = self._counted(schemas.conform(df, "decisions"), decision_rules(), "decisions")
+            refuse("decisions", problems)
+            self._write(rows.withColumn(BATCH, F.lit(batch).cast("string")), "decisions", "append", ["decided_at_utc"])
 
     def holds_batch(self, table: str, batch: str, first: date | None = None, last: date | None = None) -> bool:
         """Whether a table has rows of the batch, looked for in the months of its dates only."""

@@ -182,3 +182,37 @@ def test_bad_decisions_are_refused(spark, store, change):
 def test_stored_versions(spark, store):
     store.write_outcomes(m.frame(spark, "outcomes", [m.outcome()]))
     assert store.read_outcomes().first()[VERSION_COLUMN] == 1
+
+
+def test_a_batch_s_own_plan_runs_once_whatever_is_checked(spark, store, tmp_path):
+    """Each run of a partition leaves a file; two rules are broken in the last batch."""
+    marks = tmp_path / "marks"
+    marks.mkdir()
+
+    def counted(rows):
+        def mark(batches):
+            import uuid
+
+            (marks / uuid.uuid4().hex).touch()
+            yield from batches
+
+        marked = rows.coalesce(1).mapInArrow(mark, rows.schema)
+        before = len(list(marks.iterdir()))
+        return marked, lambda: len(list(marks.iterdir())) - before
+
+    layout = m.layout("pnl_matrices")
+    matrix = spark.createDataFrame([(m.DAY, "vol", "5eed0f0a51ce0001", t, [0.1, 0.2, 0.3]) for t in range(3)], layout)
+    for _ in range(2):  # the second time months are merged
+        for table, write, row in (
+            ("proposals", lambda f: store.write_proposals(f, matrix), m.proposal()),
+            ("outcomes", store.write_outcomes, m.outcome()),
+            ("daily_features", store.write_features, m.feature()),
+            ("decisions", store.append_decisions, m.decision()),
+        ):
+            marked, runs = counted(m.frame(spark, table, [row]))
+            write(marked)
+            assert runs() == 1, table
+    marked, runs = counted(m.frame(spark, "proposals", [m.proposal(family="x", solver_status=None), m.proposal(key=None)]))
+    with pytest.raises(ValueError, match=r"3 rule\(s\) broken: config_hash: null \(1 rows\); family: .* \(1 rows\); solver_status: .* \(1 rows\)"):
+        store.write_proposals(marked)
+    assert runs() == 1
