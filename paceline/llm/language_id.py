@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -253,20 +254,20 @@ def labeller(sent):
         field: Field | None = sent.value
         for batch in rows:
             ids, out, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-            found = [x for a, b in runs_of(texts) for x in labelled(field, texts[a:b])]
+            found = [x for a, b in runs_of([len(x or "") for x in texts]) for x in labelled(field, texts[a:b])]
             best, score = [x for x, _ in found], [x for _, x in found]
             yield pa.RecordBatch.from_arrays([ids, out, pa.array(best, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return label
 
 
-def runs_of(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of at most RUN_CHARS characters, or one text."""
+def runs_of(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most RUN_CHARS characters (or bytes), or one text."""
     at = 0
-    while at < len(texts):
+    while at < len(sizes):
         end, held = at, 0
-        while end < len(texts) and (end == at or held < RUN_CHARS):
-            held += len(texts[end] or "")
+        while end < len(sizes) and (end == at or held < RUN_CHARS):
+            held += sizes[end]
             end += 1
         yield at, end
         at = end
@@ -330,9 +331,9 @@ def worded(docs: DataFrame, field: Field | None, lang: str = "lang") -> DataFram
         known: Field | None = sent.value
         for batch in rows:
             held = batch.column("row").flatten()
-            texts, names = batch.column("text").to_pylist(), held[at].to_pylist()
-            for a, b in runs_of(texts):
-                some, out = texts[a:b], names[a:b]
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+            for a, b in runs_of(sizes):
+                some, out = batch.column("text").slice(a, b - a).to_pylist(), held[at].slice(a, b - a).to_pylist()
                 unknown = [k for k, name in enumerate(out) if name is None]
                 for k, (name, _) in zip(unknown, labelled(known, [some[k] for k in unknown]), strict=True):
                     out[k] = None if name == UNDETERMINED else name

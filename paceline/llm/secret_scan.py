@@ -206,7 +206,8 @@ def redacted(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     # a text's own secrets, the longest first
     of_text = found.groupBy("text_key").agg(F.sort_array(F.collect_set("secret")).alias("secrets_found"))
     keyed = docs.withColumn("text_key_here", F.xxhash64(F.col("text").cast("string")))
-    joined = keyed.join(of_text, F.col("text_key_here") == of_text["text_key"], "left")
+    # one way of joining at every size: findings are few, but their number is not bounded
+    joined = keyed.join(of_text.hint("merge"), F.col("text_key_here") == of_text["text_key"], "left")
     clean = F.aggregate("secrets_found", F.col("text").cast("string"), lambda t, s: F.replace(t, s["value"], F.lit(REDACTED)))
     joined = joined.withColumn("text", F.when(F.col("secrets_found").isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in docs.columns:
