@@ -1,19 +1,20 @@
 """MinHash near-duplicates, candidates held against odd sketches, links confirmed on whole sets.
 
 A document's set are the hashes of its shingles. MinHash takes SAMPLES minima of it; BANDS
-bands of them name the buckets in which similar sets meet. The same samples are folded into
-an odd sketch: every (place, minimum) turns over one of BITS bits, so that of two sketches
+bands of the first of them name the buckets in which similar sets meet. All samples are
+folded into an odd sketch: every (place, minimum) turns over one of BITS bits, so that of two sketches
 the bits that differ count the samples that differ, and the fewer there are the more
 precisely. A pair goes on if its sketches differ in no more bits than two sets of the asked
-similarity do (but for one in a million), and is confirmed on both whole sets.
+similarity do (but for LOSS of them), and is confirmed on both whole sets.
 
 Equal sets are one node. Buckets of up to CROWD nodes give all their pairs; of larger ones
-every member is first held against one pivot. Pairs are confirmed in turns, the closest of
-each node first, and those already connected are left out, since only components are
-wanted. What crowded buckets then still hold in different components is compared block by
-block: the rest against the largest component and against itself, each pair of components
-giving its closest pairs first, and more in the next turn as long as they stay apart. So no
-link is lost to a crowd, and no task holds one whole.
+every member is first held against a few pivots. Pairs are confirmed in two turns, one
+likely pair of each node first; then all the others, but for those already connected, since
+only components are wanted. What crowded buckets then still hold in different components is
+compared block by block: the rest against the largest component and against itself, every
+pair in the first bucket that it shares only, each node giving its closest pairs first, and
+more in the next turn as long as they stay apart. So no link is lost to a crowd, and no
+task holds one whole.
 
 With the defaults two sets of similarity 0.8 share no bucket once in 20 million times; of
 higher similarity, more rarely. Shingles are told apart by 64-bit hashes, in nodes too.
@@ -33,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paceline.llm.common import shared_folder, stored, table
@@ -43,20 +44,21 @@ SHINGLE = 2
 PERCENT = 80
 BANDS = 32
 ROWS = 4
-SAMPLES = BANDS * ROWS
-BITS = 256
+SAMPLES = 1024
+BITS = 2048
 WORDS = BITS // 64
 SEED = 1
 #: Chance that two sets of just the asked similarity are dropped by their sketches.
-LOSS = 1e-6
+LOSS = 1e-4
 #: Nodes of a bucket from which not all pairs are made at once.
 CROWD = 16
+#: Members of a crowded bucket that all others are held against first.
+PIVOTS = 4
 #: Rows that a task of a crowded bucket compares with as many others.
 BLOCK = 256
-#: Pairs of two components that a block gives in its first turn; four times as many in each turn after it.
-FIRST_PAIRS = 64
-#: Turns in which only the closest pair of each node is confirmed.
-CLOSEST_TURNS = 2
+#: Pairs that a node of a block gives in its first turn, and times as many in each turn after it.
+FIRST_PAIRS = 1
+MORE_PAIRS = 8
 #: Bytes of text that are held together, and hashes that pass the minima together.
 SLICE_BYTES = 8_000_000
 SLICE_HASHES = 1 << 15
@@ -127,7 +129,7 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 def band_keys(least: np.ndarray) -> np.ndarray:
     """A 64-bit key of each band, in which the band's number is mixed."""
     keys = np.repeat(mixed(np.arange(1, BANDS + 1, dtype=np.uint64))[None], len(least), axis=0)
-    cut = least.reshape(len(least), BANDS, ROWS).astype(np.uint64)
+    cut = least[:, : BANDS * ROWS].reshape(len(least), BANDS, ROWS).astype(np.uint64)
     for row in range(ROWS):
         keys = mixed(keys + cut[:, :, row])
     return keys.view(np.int64)
@@ -225,19 +227,25 @@ def close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def bucket_members(nodes: DataFrame) -> DataFrame:
-    """A row for each node and bucket that it shares, with the number of members and the least of them."""
+    """A row for each node and bucket that it shares, with the number of members."""
     entries = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("pivot"))
+    buckets = entries.groupBy("key").agg(F.count("*").alias("members"))
     return entries.join(buckets.where("members > 1"), "key")
 
 
 def first_pairs(members: DataFrame, crowd: int) -> DataFrame:
-    """Pairs (a, b), a > b: all of the small buckets, those with the pivot of the large ones."""
+    """Pairs (a, b), a > b: all of the small buckets, those with the pivots (the least nodes) of the large ones."""
     small = members.where(F.col("members") <= crowd).groupBy("key").agg(F.collect_list("node").alias("nodes"))
     small = small.select(F.explode("nodes").alias("a"), "nodes")
     small = small.select("a", F.explode(F.filter("nodes", lambda x: x < F.col("a"))).alias("b"))
-    star = members.where((F.col("members") > crowd) & (F.col("node") > F.col("pivot")))
-    return small.unionByName(star.select(F.col("node").alias("a"), F.col("pivot").alias("b"))).distinct()
+    large = members.where(F.col("members") > crowd).select("key", "node")
+    # each task cuts its rows to the first of each bucket, so a crowd is not gathered
+    place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+    least = large.withColumn("place", place).where(F.col("place") <= PIVOTS).groupBy("key").agg(F.collect_list("node").alias("pivots"))
+    star = large.join(least, "key").select(F.col("node").alias("a"), F.explode("pivots").alias("b")).where("a > b")
+    pairs = small.unionByName(star)
+    # dealt by a, equal pairs meet, and so do a and its node in close()
+    return pairs.repartition("a").distinct()
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame, asked: DataFrame, address: str) -> DataFrame:
@@ -246,8 +254,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame, asked: DataFrame, address: str)
     rows = hashed(docs)
     same = (rows["text_hash"] == wanted["hash_here"]) & rows["doc_id"].eqNullSafe(wanted["doc_here"])
     texts = stored(rows.join(wanted, same).select("node", "text"), address)
-    rows_, nodes_ = texts.agg(F.count("*"), F.count_distinct("node")).first()
-    if rows_ > nodes_:  # a document is there several times
+    if not texts.groupBy("node").count().where("count > 1").isEmpty():  # a document is there several times
         texts = stored(texts.dropDuplicates(["node"]), f"{address}-once")
     return texts
 
@@ -284,23 +291,38 @@ def rooted(frame: DataFrame, forest: DataFrame, node: str, root: str) -> DataFra
     return frame.join(named, node, "left").withColumn(root, F.coalesce("root_here", node)).drop("root_here")
 
 
-def settled(pairs: DataFrame, texts: DataFrame, forest: DataFrame, folder: str, shingle: int, percent: int, closest: int) -> DataFrame:
-    """The forest after all pairs are confirmed or found to be connected."""
-    turn = 0
+def pointed(links: DataFrame, address: str) -> DataFrame:
+    """(a, root) for links (a, b), b < a, one for each a: every step doubles the way to the root."""
+    now, turn = stored(links, f"{address}-0"), 0
     while True:
-        apart = rooted(rooted(pairs, forest, "a", "root_a"), forest, "b", "root_b").where("root_a <> root_b")
-        pairs = stored(apart.select("a", "b", "d"), f"{folder}/open-{turn}")
-        if pairs.isEmpty():
-            return forest
-        best = pairs
-        if turn < closest:
-            nearest = pairs.groupBy("a").agg(F.min(F.struct("d", "b")).alias("near"))
-            best = stored(nearest.select("a", F.col("near.b").alias("b")), f"{folder}/best-{turn}")
-        links = stored(confirmed(best, texts, shingle, percent), f"{folder}/links-{turn}")
-        forest = stars(forest.unionByName(links), f"{folder}/stars-{turn}")
-        if turn >= closest:
-            return forest
-        pairs, turn = pairs.join(best, ["a", "b"], "left_anti"), turn + 1
+        up = now.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        moved = now.join(up, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved"))
+        turn += 1
+        after = stored(moved, f"{address}-{turn}")
+        if after.where("moved").isEmpty():
+            return now
+        now = after.select("a", "b")
+
+
+def likely_forest(pairs: DataFrame, texts: DataFrame, folder: str, shingle: int, percent: int) -> DataFrame:
+    """The forest of one confirmed pair for each node: with the least node that is likely similar, or else the closest."""
+    unlikely = F.greatest(F.col("d") - most_bits(percent, 0.5), F.lit(0))
+    chosen = pairs.groupBy("a").agg(F.min(F.struct(unlikely.alias("unlikely"), "b")).alias("near"))
+    links = confirmed(chosen.select("a", F.col("near.b").alias("b")), texts, shingle, percent)
+    return pointed(links, f"{folder}/likely")
+
+
+def settled(pairs: DataFrame, texts: DataFrame, forest: DataFrame, folder: str, shingle: int, percent: int) -> DataFrame:
+    """The forest after all pairs are confirmed or found to be connected."""
+    apart = rooted(rooted(pairs, forest, "a", "root_a"), forest, "b", "root_b").where("root_a <> root_b")
+    apart = stored(apart.select("a", "b", "root_a", "root_b"), f"{folder}/open")
+    links = stored(confirmed(apart.select("a", "b"), texts, shingle, percent), f"{folder}/links")
+    if links.isEmpty():
+        return forest
+    joined = links.join(apart, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
+    merged = stars(joined, f"{folder}/stars")
+    roots = rooted(forest, merged, "b", "root").select("a", F.col("root").alias("b"))
+    return stored(roots.unionByName(merged), f"{folder}/forest")
 
 
 def crowds(members: DataFrame, nodes: DataFrame, forest: DataFrame, crowd: int, block: int) -> DataFrame:
@@ -325,43 +347,46 @@ def crowds(members: DataFrame, nodes: DataFrame, forest: DataFrame, crowd: int,
     for_main = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda k: pair("main", k, own))
     tasks = F.when(F.col("in_rest"), F.concat(with_rest, with_main)).otherwise(for_main)
     dealt = rows.select("key", "node", "comp", "in_rest", "own", F.inline(tasks))
-    return dealt.join(nodes.select("node", "n", "sketch"), "node")
+    return dealt.join(nodes.select("node", "n", "sketch", "bands"), "node")
 
 
 def block_pairs(percent: int, turn: int):
-    """Compares the rows of one task; gives the turn's share of the closest pairs of any two components.
+    """Compares the rows of one task; gives the turn's share of the closest pairs of each node.
 
     Shares are cut by the components of the first turn (comp), so that a later turn goes on
-    where the one before ended; pairs that are connected by now are left out.
+    where the one before ended; pairs that are connected by now are left out, as are those
+    that an earlier band brings together as well. `more` tells that pairs are left for the
+    next turn.
     """
-    most, low = most_bits(percent), FIRST_PAIRS * (4**turn - 1) // 3
-    high = low + FIRST_PAIRS * 4**turn
+    most = most_bits(percent)
+    low = FIRST_PAIRS * (MORE_PAIRS**turn - 1) // (MORE_PAIRS - 1)
+    high = low + FIRST_PAIRS * MORE_PAIRS**turn
 
     def compare(group: pa.Table) -> pa.Table:
         column = lambda name: group.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+        lists_of = lambda name: group.column(name).combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
         node, comp, now, n, own = (column(c) for c in ("node", "comp", "now", "n", "own"))
-        sketch = group.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+        sketch, bands = lists_of("sketch").view(np.uint64), lists_of("bands")
+        bands = bands[:, : int(np.flatnonzero(bands[0] == column("key")[0])[0])]  # those before this bucket's
         if group.column("kind")[0].as_py() == "main":
             left = np.flatnonzero(column("in_rest"))
             right = np.flatnonzero(~column("in_rest"))
         else:
             left, right = np.flatnonzero(own == column("i")), np.flatnonzero(own == column("j"))
-        found = []
+        pairs, more = [], False
         for x in left.tolist():
-            y = right[(comp[right] != comp[x])]
+            y = right[comp[right] != comp[x]]
             bits = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64)
             small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-            near = (bits <= most) & (100 * small >= percent * large)
-            y, bits = y[near], bits[near]
-            found.append((np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y]), bits, np.maximum(node[x], node[y]), np.minimum(node[x], node[y]), now[y] != now[x]))
-        pairs = np.concatenate([np.column_stack(v).astype(np.int64) for v in found] or [np.zeros((0, 6), np.int64)])
-        pairs = np.unique(pairs, axis=0)  # in the order of components, bits, nodes
-        new = np.ones(len(pairs), bool)
-        new[1:] = (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)
-        starts = np.flatnonzero(new)
-        place = np.arange(len(pairs)) - starts[np.cumsum(new) - 1]
-        some = pairs[(place >= low) & (place < high) & (pairs[:, 5] == 1)]
-        return pa.table([pa.array(some[:, 3]), pa.array(some[:, 4]), pa.array(some[:, 2].astype(np.int32))], names=["a", "b", "d"])
+            near = np.flatnonzero((bits <= most) & (100 * small >= percent * large))
+            near = near[~(bands[y[near]] == bands[x]).any(axis=1)]
+            near = near[np.lexsort((node[y[near]], bits[near]))]
+            apart = now[y[near]] != now[x]
+            some = y[near[low:high][apart[low:high]]]
+            more |= bool(apart[high:].any())
+            pairs.append(np.column_stack((np.maximum(node[x], node[some]), np.minimum(node[x], node[some]))))
+        made = np.concatenate(pairs or [np.zeros((0, 2), np.int64)])
+        return pa.table([pa.array(made[:, 0]), pa.array(made[:, 1]), pa.array(np.full(len(made), more))], names=["a", "b", "more"])
 
     return compare
 
@@ -372,10 +397,14 @@ def crowd_settled(members: DataFrame, nodes: DataFrame, texts: DataFrame, forest
     turn = 0
     while True:
         tasks = rooted(rows, forest, "node", "now").groupBy("key", "kind", "i", "j")
-        pairs = stored(tasks.applyInArrow(block_pairs(percent, turn), "a long, b long, d int").distinct(), f"{folder}/pairs-{turn}")
+        found = tasks.applyInArrow(block_pairs(percent, turn), "a long, b long, more boolean")
+        found = found.groupBy("a", "b").agg(F.max("more").alias("more"))
+        pairs = stored(found, f"{folder}/pairs-{turn}")
         if pairs.isEmpty():
             return forest
-        forest = settled(pairs, texts, forest, f"{folder}/{turn}", shingle, percent, 0)
+        forest = settled(pairs, texts, forest, f"{folder}/{turn}", shingle, percent)
+        if pairs.where("more").isEmpty():
+            return forest
         turn += 1
 
 
@@ -390,8 +419,8 @@ def similar_sets(prints: DataFrame, docs: DataFrame, folder: str, shingle: int,
     large = members.where(F.col("members") > crowd).select("node")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large).distinct()
     texts = texts_of(docs, nodes, asked, f"{folder}/texts")
-    forest = prints.sparkSession.createDataFrame([], "a long, b long")
-    forest = settled(pairs, texts, forest, f"{folder}/first", shingle, percent, CLOSEST_TURNS)
+    forest = likely_forest(pairs, texts, folder, shingle, percent)
+    forest = settled(pairs, texts, forest, f"{folder}/others", shingle, percent)
     forest = crowd_settled(members, nodes, texts, forest, f"{folder}/crowds", shingle, percent, crowd, block)
     linked = rooted(nodes.select("node", "least"), forest, "node", "root")
     names = linked.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -71,8 +71,9 @@ def test_query_against_all_pairs(spark):
     assert found(odd.op12_minhash_near_dedup(spark, SF_DIR)) == plainly(rows)
 
 
-@pytest.mark.parametrize(("crowd", "block"), [(2, 7), (16, 256), (4, 50)])
-def test_crowds_lose_no_link(spark, documents, crowd, block):
+@pytest.mark.parametrize(("crowd", "block", "pivots"), [(2, 7, 1), (16, 256, 4), (4, 50, 2)])
+def test_crowds_lose_no_link(spark, documents, monkeypatch, crowd, block, pivots):
+    monkeypatch.setattr(odd, "PIVOTS", pivots)
     rng = random.Random(crowd)
     texts = variants(rng, 120, 100, 4) + variants(rng, 60, 300, 25) + variants(rng, 40, 12, 1)
     base = " ".join(f"c{k}" for k in range(200)).split()
@@ -140,21 +141,23 @@ def test_sketches_estimate_similarity_and_the_limit_holds():
         assert abs(estimate - share) < 0.02
     assert bits[0.8].max() <= odd.most_bits(80)
     assert (bits[0.8] > odd.most_bits(80, 0.5)).mean() == pytest.approx(0.5, abs=0.15)
-    assert (bits[0.5] > odd.most_bits(80)).mean() > 0.4
+    assert (bits[0.5] > odd.most_bits(80)).mean() > 0.99
 
 
-def test_blocks_give_the_closest_pairs_of_components_first(monkeypatch):
-    monkeypatch.setattr(odd, "FIRST_PAIRS", 2)
-    sketch = [[(1 << k) - 1, 0, 0, 0] for k in range(6)]
+def test_blocks_give_the_closest_pairs_of_a_node_first(monkeypatch):
+    monkeypatch.setattr(odd, "MORE_PAIRS", 2)
+    sketch = [[(1 << k) - 1, *[0] * (odd.WORDS - 1)] for k in range(6)]
     group = pa.table(
         {
-            "kind": ["rest"] * 6, "i": [0] * 6, "j": [0] * 6, "own": [0] * 6, "in_rest": [True] * 6, "n": [10] * 6,
-            "node": [10, 11, 12, 20, 21, 22], "comp": [1, 1, 1, 2, 2, 2], "now": [1, 1, 1, 2, 2, 2], "sketch": sketch,
+            "key": [7] * 6, "kind": ["main"] * 6, "i": [0] * 6, "j": [0] * 6, "own": [0] * 6, "in_rest": [True] + [False] * 5, "n": [10] * 6,
+            "node": [10, 11, 12, 20, 21, 22], "comp": [1, 2, 2, 2, 2, 2], "now": [1, 2, 2, 2, 2, 2], "sketch": sketch,
+            "bands": [[k, 7, 0] for k in (1, 2, 3, 4, 1, 5)],
         }
     )
     turns = [odd.block_pairs(80, t)(group).to_pylist() for t in range(3)]
-    assert [len(t) for t in turns] == [2, 7, 0]
-    assert [r["d"] for t in turns for r in t] == [1, 2, 2, 3, 3, 3, 4, 4, 5]
+    # 21 meets 10 in an earlier band as well
+    assert [[(r["a"], r["b"]) for r in t] for t in turns] == [[(11, 10)], [(12, 10), (20, 10)], [(22, 10)]]
+    assert [{r["more"] for r in t} for t in turns] == [{True}, {True}, {False}]
     joined = group.set_column(group.schema.get_field_index("now"), "now", pa.array([1] * 6))
     assert odd.block_pairs(80, 1)(joined).num_rows == 0
 
