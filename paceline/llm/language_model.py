@@ -10,8 +10,8 @@ reserve in each shared number for words never seen, chances sum to one. A docume
 is the sum of the log-probabilities of all its words.
 
 Words are split and coded once, in runs of documents, each with the list of its own words.
-Those lists are counted, given numbers and shares, and sent back to their runs; training
-and scoring then read written numbers.
+Those lists are counted; of the rare words, the counts over one go back to the runs that
+hold them. Training and scoring then read written numbers.
 
 Training reads every document once: each task runs AdaGrad over its own documents from
 the same start, and the tasks' weights are averaged by words seen. That happens in
@@ -24,6 +24,7 @@ null doc_id is kept. An empty table gives no row. Extra columns are left out.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.llm.binary_records import batches
-from paceline.llm.common import shared_folder, stored, table
+from paceline.llm.common import shared_folder, table
 
 SIDE = 32  # classes, and words in each
 WORDS = SIDE * SIDE
@@ -44,6 +45,7 @@ SIDES = 2  # words seen on either side
 SIZE = 16
 HIDDEN = 32
 BATCH = 4096
+SCORED = 1024  # words scored together: what they need stays in a processor's cache
 RATE = 0.05
 ROUNDS = 2
 SEED = 42
@@ -93,23 +95,23 @@ def coded(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return list(places), codes[codes >= 0], np.bincount(text, minlength=len(texts))
 
 
-CODED = "run string, doc_id long, codes binary, words array<binary>, counts array<long>"
+CODED = "run long, doc_id long, codes binary, words array<binary>, counts array<long>"
 
 
 def code(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each run of documents a row for each document and one with the run's words and their counts."""
     schema = pa.schema(
-        [("run", pa.string()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))]
+        [("run", pa.int64()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))]
     )
     for run in batches(rows):
         words, codes, sizes = coded([text for _, text in run])
         ends = np.cumsum(sizes)
         parts = [codes[a:b].astype("<i4").tobytes() for a, b in zip(ends - sizes, ends, strict=True)]
-        name, n = uuid.uuid4().hex, len(run)
+        name, n = uuid.uuid4().int >> 65, len(run)
         counts = np.bincount(codes, minlength=len(words))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([name] * (n + 1)),
+                pa.array([name] * (n + 1), pa.int64()),
                 pa.array([doc_id for doc_id, _ in run] + [None], pa.int64()),
                 pa.array([*parts, None], pa.binary()),
                 pa.array([None] * n + [words], schema.field("words").type),
@@ -131,51 +133,74 @@ def vocabulary(counts: DataFrame) -> dict[bytes, int]:
     return {bytes(r[0]): k + 1 for k, r in enumerate(top.collect())}
 
 
-def shares(counts: DataFrame, numbers: dict[bytes, int]) -> DataFrame:
-    """word, number and log_share of every word: the log of its part of all words with its number.
+def number_of(word: bytes, numbers: dict[bytes, int]) -> int:
+    return numbers.get(word) or WORDS - SHARED + zlib.crc32(word[-3:]) % SHARED
 
-    A shared number keeps one more for all words that were never seen.
-    """
-    spark = counts.sparkSession
-    own = spark.createDataFrame([(w, n) for w, n in numbers.items()], "word binary, own int")  # under WORDS rows
+
+def number_totals(counts: DataFrame, numbers: dict[bytes, int]) -> np.ndarray:
+    """For each number how many words of the corpus have it, and one more for a shared one: the words never seen."""
+    own = counts.sparkSession.createDataFrame(list(numbers.items()), "word binary, own int")  # under WORDS rows
     shared = F.lit(WORDS - SHARED) + F.crc32(F.expr("substring(word, -3)")) % SHARED
-    numbered = counts.join(F.broadcast(own), "word", "left").withColumn("number", F.coalesce("own", shared.cast("int")))
-    reserve = F.when(F.col("own").isNull(), 1).otherwise(0)
-    numbered = numbered.withColumn("reserve", reserve)
-    sums = numbered.groupBy("number").agg((F.sum("total") + F.max("reserve")).alias("all"))  # at most WORDS rows
-    shared_out = numbered.join(F.broadcast(sums), "number")
-    return shared_out.select("word", "number", F.ln(F.col("total") / F.col("all")).alias("log_share"))
-
-
-def number(docs: pa.Table, words: pa.Table) -> pa.Table:
-    """The documents of a run with the numbers of their words, and the sum of the words' log shares."""
-    order = np.argsort(words.column("place").to_numpy())
-    numbers = words.column("number").to_numpy()[order].astype("<i2")
-    log_share = words.column("log_share").to_numpy()[order]
-    codes = [np.frombuffer(x, "<i4") for x in docs.column("codes").to_pylist()]
-    return pa.table(
-        {
-            "doc_id": docs.column("doc_id"),
-            "numbers": pa.array([numbers[x].tobytes() for x in codes], pa.binary()),
-            "log_share": pa.array([float(log_share[x].sum()) for x in codes], pa.float64()),
-        }
-    )
+    numbered = counts.join(F.broadcast(own), "word", "left").groupBy(F.coalesce("own", shared.cast("int")).alias("number"))
+    out = np.zeros(WORDS)
+    for number, total in numbered.agg(F.sum("total")).collect():  # at most WORDS rows
+        out[number] = total
+    out[WORDS - SHARED :] += 1
+    return out
+
+
+def log_shares(words: list[bytes], counts: np.ndarray, numbers: dict[bytes, int], totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' numbers, and the logs of their shares of them; a word with a number of its own has all of it."""
+    number = np.array([number_of(w, numbers) for w in words], np.int64)
+    return number, np.where(number < WORDS - SHARED, 0.0, np.log(counts) - np.log(np.maximum(totals[number], 1)))
+
+
+def numberer(sent):
+    def number(rows: pa.Table, known: pa.Table) -> pa.Table:
+        """The documents of a run with the numbers of their words, and the sum of the words' log shares."""
+        numbers, totals = sent.value
+        words = next(x for x in rows.column("words").to_pylist() if x is not None)
+        counts = np.ones(len(words))
+        counts[known.column("place").to_numpy()] = known.column("total").to_numpy()
+        number, log_share = log_shares(words, counts, numbers, totals)
+        docs = rows.filter(pc.is_valid(rows.column("codes")))
+        codes = [np.frombuffer(x, "<i4") for x in docs.column("codes").to_pylist()]
+        short = number.astype("<i2")
+        return pa.table(
+            {
+                "doc_id": docs.column("doc_id"),
+                "numbers": pa.array([short[x].tobytes() for x in codes], pa.binary()),
+                "log_share": pa.array([float(log_share[x].sum()) for x in codes], pa.float64()),
+            }
+        )
+
+    return number
 
 
 NUMBERED = "doc_id long, numbers binary, log_share double"
 
 
+def packed(frame: DataFrame, address: str) -> DataFrame:
+    """stored(), packed more tightly: codes and numbers make most of what is written here."""
+    frame.write.mode("overwrite").option("compression", "zstd").parquet(address)
+    return frame.sparkSession.read.schema(frame.schema).parquet(address)
+
+
 def numbered(docs: DataFrame, folder: str) -> DataFrame:
     """doc_id, the numbers of all words (16-bit integers) and log_share of every document, written."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    runs = stored(rows.mapInArrow(code, CODED), f"{folder}/runs")
-    counts = stored(word_counts(runs), f"{folder}/counts")
-    lexicon = shares(counts, vocabulary(counts))
-    own = runs.where("words IS NOT NULL").select("run", F.posexplode("words").alias("place", "word"))
-    own = own.join(lexicon, "word").select(F.col("run").alias("own_run"), "place", "number", "log_share")
-    documents = runs.where("codes IS NOT NULL").select("run", "doc_id", "codes")
-    made = documents.groupBy("run").cogroup(own.groupBy("own_run")).applyInArrow(number, NUMBERED)
-    return stored(made, f"{folder}/numbered")
+    runs = packed(rows.mapInArrow(code, CODED), f"{folder}/runs")
+    counts = packed(word_counts(runs), f"{folder}/counts")
+    numbers = vocabulary(counts)
+    sent = spark.sparkContext.broadcast((numbers, number_totals(counts, numbers)))
+    own = spark.createDataFrame([(w,) for w in numbers], "word binary")  # under WORDS rows
+    rare = counts.where("total > 1").join(F.broadcast(own), "word", "left_anti")
+    places = runs.where("words IS NOT NULL").select(F.col("run").alias("own_run"), F.posexplode("words").alias("place", "word"))
+    known = places.join(rare, "word").select("own_run", "place", "total")
+    parts = runs.select("run", "doc_id", "codes", "words")
+    made = parts.groupBy("run").cogroup(known.groupBy("own_run")).applyInArrow(numberer(sent), NUMBERED)
+    return packed(made, f"{folder}/numbered")
 
 
 def run_arrays(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,29 +229,40 @@ def written(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndar
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
-    out = np.exp(x - x.max(axis=1, keepdims=True))
-    out /= out.sum(axis=1, keepdims=True)
-    return out
+    """In place, over rows."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
 def seen_by(weights: Weights, padded: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Context words, their vectors, the hidden layer, and the two softmax layers for the words at the places."""
+    """Context words, their vectors, the hidden layer, and the two softmax layers (side by side) for the words at the places."""
     offsets = [k for k in range(-SIDES, SIDES + 1) if k]
     context = np.stack([padded[places + k] for k in offsets], axis=1)
     given = weights["words"][context].reshape(len(places), -1)
-    hidden = np.tanh(given @ weights["input"] + weights["input_bias"])
-    classes = softmax(hidden @ weights["classes"] + weights["class_bias"])
-    within = softmax(hidden @ weights["within"] + weights["within_bias"][padded[places] // SIDE])
-    return context, given, hidden, classes, within
+    hidden = given @ weights["input"]
+    hidden += weights["input_bias"]
+    np.tanh(hidden, out=hidden)
+    out = hidden @ both_layers(weights)
+    out[:, :SIDE] += weights["class_bias"]
+    out[:, SIDE:] += weights["within_bias"][padded[places] // SIDE]
+    softmax(out[:, :SIDE])
+    softmax(out[:, SIDE:])
+    return context, given, hidden, out
+
+
+def both_layers(weights: Weights) -> np.ndarray:
+    return np.concatenate((weights["classes"], weights["within"]), axis=1)
 
 
 def log_chances(weights: Weights, padded: np.ndarray, places: np.ndarray) -> np.ndarray:
     out = np.empty(len(places))
-    for at in range(0, len(places), BATCH):
-        part = places[at : at + BATCH]
-        *_, classes, within = seen_by(weights, padded, part)
+    for at in range(0, len(places), SCORED):
+        part = places[at : at + SCORED]
+        chances = seen_by(weights, padded, part)[-1]
         word, row = padded[part], np.arange(len(part))
-        out[at : at + BATCH] = np.log(np.maximum(classes[row, word // SIDE] * within[row, word % SIDE], 1e-30))
+        out[at : at + SCORED] = np.log(np.maximum(chances[row, word // SIDE] * chances[row, SIDE + word % SIDE], 1e-30))
     return out
 
 
@@ -241,21 +277,22 @@ def summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 
 def gradient(weights: Weights, padded: np.ndarray, places: np.ndarray) -> Weights:
-    context, given, hidden, classes, within = seen_by(weights, padded, places)
-    word, row, n = padded[places], np.arange(len(places)), np.float32(len(places))
-    classes[row, word // SIDE] -= 1
-    within[row, word % SIDE] -= 1
-    classes /= n
-    within /= n
-    back = (classes @ weights["classes"].T + within @ weights["within"].T) * (1 - hidden**2)
+    context, given, hidden, out = seen_by(weights, padded, places)
+    word, row = padded[places], np.arange(len(places))
+    out[row, word // SIDE] -= 1
+    out[row, SIDE + word % SIDE] -= 1
+    out *= np.float32(1 / len(places))
+    back = out @ both_layers(weights).T
+    back *= 1 - hidden * hidden
+    outer, bias = hidden.T @ out, out.sum(axis=0)
     return {
         "words": summed(context.ravel(), (back @ weights["input"].T).reshape(-1, SIZE), WORDS),
         "input": given.T @ back,
         "input_bias": back.sum(axis=0),
-        "classes": hidden.T @ classes,
-        "class_bias": classes.sum(axis=0),
-        "within": hidden.T @ within,
-        "within_bias": summed(word // SIDE, within, SIDE),
+        "classes": outer[:, :SIDE],
+        "class_bias": bias[:SIDE],
+        "within": outer[:, SIDE:],
+        "within_bias": summed(word // SIDE, out[:, SIDE:], SIDE),
     }
 
 

@@ -60,7 +60,9 @@ def gathered(spark):
     words = lm.numbered(docs, folder)
     counts = spark.read.parquet(f"{folder}/counts")
     numbers = lm.vocabulary(counts)
-    shares = {bytes(r.word): (r.number, r.log_share) for r in lm.shares(counts, numbers).collect()}
+    found = {bytes(r.word): r.total for r in counts.collect()}
+    number, log_share = lm.log_shares(list(found), np.array(list(found.values())), numbers, lm.number_totals(counts, numbers))
+    shares = {w: (int(k), float(x)) for w, k, x in zip(found, number, log_share, strict=True)}
     return numbers, shares, lm.shaped(lm.train(words))
 
 
@@ -144,7 +146,8 @@ def test_order_counts(spark):
     folder = shared_folder(spark, "test")
     weights = lm.shaped(lm.train(lm.numbered(docs, folder)))
     counts = spark.read.parquet(f"{folder}/counts")
-    numbers = {bytes(r.word): r.number for r in lm.shares(counts, lm.vocabulary(counts)).collect()}
+    own = lm.vocabulary(counts)
+    numbers = {bytes(r.word): lm.number_of(bytes(r.word), own) for r in counts.collect()}
     texts = [r.text for r in docs.where("lang = 'en'").limit(100).collect()]
     rng = random.Random(1)
     mixed = [" ".join(rng.sample(t.split(), len(t.split()))) for t in texts]
