@@ -33,12 +33,12 @@ END_ID = 1
 BATCH_CHARS = 4_000_000
 
 
-def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """(doc_id, text) rows in runs of at most BATCH_CHARS characters, or one row."""
+def batches(rows: Iterator[pa.RecordBatch], columns: int = 2) -> Iterator[list[tuple]]:
+    """(doc_id, text) rows, and further columns, in runs of at most BATCH_CHARS characters, or one row."""
     run, held = [], 0
     for batch in rows:
-        for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            run.append((row[0], row[1] or ""))
+        for row in zip(*(batch.column(k).to_pylist() for k in range(columns)), strict=True):
+            run.append((row[0], row[1] or "", *row[2:]))
             held += len(run[-1][1])
             if held >= BATCH_CHARS:
                 yield run

@@ -20,6 +20,7 @@ table gives no row. Extra columns are left out.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -43,6 +44,10 @@ RATE = 0.3
 SHRINK = 1e-4
 SEED = 42
 UNDETERMINED = "und"
+#: Score from which a predicted language stands in for another one that a document is labelled with.
+SURE = 0.8
+#: Documents that must have been learned of a language before a label that names it is doubted.
+KNOWN = 20
 #: Characters whose features are made together, and characters labelled together.
 CHUNK_CHARS = 300_000
 RUN_CHARS = 1_000_000
@@ -114,6 +119,7 @@ class Field:
     languages: list[str]
     weights: np.ndarray  # buckets x languages
     moves: np.ndarray  # language before x language
+    documents: Counter[str]  # learned of each language
 
 
 def emissions(field_weights: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
@@ -206,7 +212,7 @@ def learned(rows: list[tuple[str, str]]) -> Field | None:
             step = pairs / len(part)
             seen_moves += step**2
             moves -= RATE * step / np.sqrt(seen_moves)
-    return Field(languages, weights, moves)
+    return Field(languages, weights, moves, Counter(lang for _, lang in rows))
 
 
 def chain_gradient(scores: np.ndarray, labels: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -318,11 +324,22 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and len(words_of(text)[1]) > 0
 
 
+def corrected(field: Field | None, label: str | None, found: tuple[str, float]) -> str | None:
+    """The language of a text from its label and what labelled() says of it."""
+    name, score = found
+    if name == UNDETERMINED:
+        return label
+    doubted = score >= SURE and field.documents[label] >= KNOWN
+    return name if label is None or doubted else label
+
+
 def worded(docs: DataFrame, field: Field | None, lang: str = "lang") -> DataFrame:
-    """The documents that have a letter, whole; the predicted language stands where `lang` is null.
+    """The documents that have a letter, whole, with their language.
 
-    Decided row by row where the rows are: nothing is shuffled. If nothing was learned,
-    the language stays null.
+    The predicted one stands where `lang` is null, and where the text is in another language
+    than that with a score of at least SURE, if KNOWN documents or more of the labelled one
+    were learned. All other labels stay; if nothing was learned, null ones too. Decided row
+    by row where the rows are: nothing is shuffled.
     """
     sent = docs.sparkSession.sparkContext.broadcast(field)
     columns, at = docs.columns, docs.columns.index(lang)
@@ -334,9 +351,7 @@ def worded(docs: DataFrame, field: Field | None, lang: str = "lang") -> DataFram
             sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
             for a, b in runs_of(sizes):
                 some, out = batch.column("text").slice(a, b - a).to_pylist(), held[at].slice(a, b - a).to_pylist()
-                unknown = [k for k, name in enumerate(out) if name is None]
-                for k, (name, _) in zip(unknown, labelled(known, [some[k] for k in unknown]), strict=True):
-                    out[k] = None if name == UNDETERMINED else name
+                out = [corrected(known, *x) for x in zip(out, labelled(known, some), strict=True)]
                 kept = pa.array([k for k, text in enumerate(some) if has_letter(text)], pa.int64())
                 made = [x.slice(a, b - a) for x in held]
                 made[at] = pa.array(out, made[at].type)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from tests.llm.test_packing import check
 from tests.llm.test_simhash import fingerprint, groups
 
 MIDDLE = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"
+HELD = [k for k in range(-40, 0) if zlib.crc32(str(k).encode()) % 5 == 0]
 
 
 def test_every_operator_is_registered_once():
@@ -97,6 +101,34 @@ def test_a_missing_language_is_named(spark, documents):
     assert len(kept) == len(rows) and {k: found[k] for k in asked} == {k: r.lang for k, r in asked.items()} and found[-3] == "xx"
 
 
+def test_sequences_hold_the_language_that_was_found(spark, documents):
+    source = table(spark, LARGER, "documents").where("lang in ('en', 'fr') and n_chars > 400").select("doc_id", "text", "lang").collect()
+    english, french = ([r for r in source if r.lang == k] for k in ("en", "fr"))
+    rows = [(r.doc_id, r.text, r.lang) for x in (english[:60], french[:60]) for r in x]
+    # a missing label, one that the text contradicts, one of a language hardly known, no letter; the first two are held out
+    rows += [(HELD[0], english[-1].text, None), (HELD[1], french[-1].text, "en"), (-3, english[-2].text, "xx"), (-4, "12 34", "en")]
+    docs = corpus_pipeline.language_id(spark, documents(rows), MIDDLE)
+    packed = corpus_pipeline.packing(spark, stored(docs, f"{shared_folder(spark, 'test')}/docs"), MIDDLE).collect()
+    check([(i, t) for i, t, _ in rows if i != -4], packed, 2048)
+    wanted = {i: {HELD[0]: "en", HELD[1]: "fr"}.get(i, k) for i, _, k in rows if i != -4}
+    assert {r.doc_id: r.lang for r in packed} == wanted
+    held = {}
+    for r in packed:
+        held.setdefault(r.sequence_id, set()).add(wanted[r.doc_id])
+    assert set(map(len, held.values())) == {1}
+    for name in ("en", "fr"):  # each as tight as if it were packed alone
+        alone = corpus_pipeline.packing(spark, documents([(i, t, name) for i, t, _ in rows if wanted.get(i) == name]), MIDDLE)
+        assert alone.select("sequence_id").distinct().count() == sum(x == {name} for x in held.values())
+
+
+def test_documents_without_a_language_are_packed(spark, documents):
+    rows = [(k, f"Some text number {k} of this corpus.", None if k % 2 else "xx") for k in range(20)]
+    packed = corpus_pipeline.packing(spark, documents(rows), MIDDLE).collect()
+    check([(i, t) for i, t, _ in rows], packed, 2048)
+    assert {(r.lang, r.sequence_id) for r in packed} == {(None, packed[[r.lang for r in packed].index(None)].sequence_id), ("xx", packed[[r.lang for r in packed].index("xx")].sequence_id)}
+    assert len({r.sequence_id for r in packed}) == 2
+
+
 def test_row_local_stages_shuffle_no_text(spark, documents):
     docs = documents([(1, "A text of some words.", "en"), (2, "Ein Text aus Wörtern.", "de")])
     for stage in (corpus_pipeline.language_id, corpus_pipeline.decontamination):
