@@ -12,9 +12,11 @@ every member is first held against a few pivots. Pairs are confirmed in two turn
 likely pair of each node first; then all the others, but for those already connected, since
 only components are wanted. What crowded buckets then still hold in different components is
 compared block by block: the rest against the largest component and against itself, every
-pair in the first bucket that it shares only, each node giving its closest pairs first, and
-more in the next turn as long as they stay apart. So no link is lost to a crowd, and no
-task holds one whole.
+pair in the first bucket that it shares only. Sketches tell which nodes of a block may have
+a link; only those get their text, and the block confirms its pairs itself, the closest of
+each node first and more as long as they stay apart. It gives links, never candidates, so
+what is made grows with nodes and blocks, not with the pairs of a crowd. So no link is lost
+to a crowd, and no task holds one whole.
 
 With the defaults two sets of similarity 0.8 share no bucket once in 20 million times; of
 higher similarity, more rarely. Shingles are told apart by 64-bit hashes, in nodes too.
@@ -56,6 +58,8 @@ CROWD = 16
 PIVOTS = 4
 #: Rows that a task of a crowded bucket compares with as many others.
 BLOCK = 256
+#: Shingles of a block of long texts, of which it then has fewer.
+BLOCK_SHINGLES = 1 << 20
 #: Pairs that a node of a block gives in its first turn, and times as many in each turn after it.
 FIRST_PAIRS = 1
 MORE_PAIRS = 8
@@ -259,6 +263,11 @@ def texts_of(docs: DataFrame, nodes: DataFrame, asked: DataFrame, address: str)
     return texts
 
 
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def confirmer(shingle: int, percent: int):
     def confirm(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in slices(rows, "text_a", "text_b"):
@@ -268,9 +277,7 @@ def confirmer(shingle: int, percent: int):
             left = shingle_sets(run.column("text_a"), shingle)
             kept = []
             for k, (x, w) in enumerate(zip(left, which.tolist(), strict=True)):
-                y = right[w]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
+                if alike(x, right[w], percent):
                     kept.append(k)
             yield run.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
@@ -319,7 +326,14 @@ def settled(pairs: DataFrame, texts: DataFrame, forest: DataFrame, folder: str,
     links = stored(confirmed(apart.select("a", "b"), texts, shingle, percent), f"{folder}/links")
     if links.isEmpty():
         return forest
-    joined = links.join(apart, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
+    return connected(links.join(apart, ["a", "b"]), forest, folder)
+
+
+def connected(links: DataFrame, forest: DataFrame, folder: str) -> DataFrame:
+    """The forest with the components root_a and root_b of each link made one."""
+    joined = stored(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), f"{folder}/joined")
+    if joined.isEmpty():
+        return forest
     merged = stars(joined, f"{folder}/stars")
     roots = rooted(forest, merged, "b", "root").select("a", F.col("root").alias("b"))
     return stored(roots.unionByName(merged), f"{folder}/forest")
@@ -332,11 +346,13 @@ def crowds(members: DataFrame, nodes: DataFrame, forest: DataFrame, crowd: int,
     of the rest only, which also meet each other.
     """
     rows = rooted(members.where(F.col("members") > crowd).select("key", "node"), forest, "node", "comp")
-    counts = rows.groupBy("key", "comp").agg(F.count("*").alias("held"))
-    largest = F.max(F.struct("held", "comp")).alias("most")
-    open_ = counts.groupBy("key").agg(largest, F.sum("held").alias("all"), F.count("*").alias("comps")).where("comps > 1")
-    blocks = lambda n: F.ceil(n / block).cast("int")
-    open_ = open_.select("key", F.col("most.comp").alias("main"), blocks(F.col("most.held")).alias("mains"), blocks(F.col("all") - F.col("most.held")).alias("rests"))
+    rows = rows.join(nodes.select("node", "n", "sketch", "bands"), "node")
+    counts = rows.groupBy("key", "comp").agg(F.count("*").alias("held"), F.sum("n").alias("long"))
+    largest = F.max(F.struct("held", "comp", "long")).alias("most")
+    open_ = counts.groupBy("key").agg(largest, *(F.sum(c).alias(f"all_{c}") for c in ("held", "long")), F.count("*").alias("comps")).where("comps > 1")
+    blocks = lambda n, long: F.ceil(F.greatest(n / block, long / BLOCK_SHINGLES)).cast("int")
+    rest = [F.col(f"all_{c}") - F.col(f"most.{c}") for c in ("held", "long")]
+    open_ = open_.select("key", F.col("most.comp").alias("main"), blocks(F.col("most.held"), F.col("most.long")).alias("mains"), blocks(*rest).alias("rests"))
     rows = rows.join(open_, "key").withColumn("in_rest", F.col("comp") != F.col("main"))
     parts = F.when(F.col("in_rest"), F.col("rests")).otherwise(F.col("mains"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64(F.col("node"), F.lit("block")), parts).cast("int"))
@@ -346,8 +362,7 @@ def crowds(members: DataFrame, nodes: DataFrame, forest: DataFrame, crowd: int,
     with_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda k: pair("main", own, k))
     for_main = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda k: pair("main", k, own))
     tasks = F.when(F.col("in_rest"), F.concat(with_rest, with_main)).otherwise(for_main)
-    dealt = rows.select("key", "node", "comp", "in_rest", "own", F.inline(tasks))
-    return dealt.join(nodes.select("node", "n", "sketch", "bands"), "node")
+    return rows.select("key", "node", "comp", "in_rest", "own", "n", "sketch", "bands", F.inline(tasks))
 
 
 def block_pairs(percent: int, turn: int):
@@ -358,31 +373,15 @@ def block_pairs(percent: int, turn: int):
     that an earlier band brings together as well. `more` tells that pairs are left for the
     next turn.
     """
-    most = most_bits(percent)
     low = FIRST_PAIRS * (MORE_PAIRS**turn - 1) // (MORE_PAIRS - 1)
     high = low + FIRST_PAIRS * MORE_PAIRS**turn
 
     def compare(group: pa.Table) -> pa.Table:
-        column = lambda name: group.column(name).combine_chunks().to_numpy(zero_copy_only=False)
-        lists_of = lambda name: group.column(name).combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
-        node, comp, now, n, own = (column(c) for c in ("node", "comp", "now", "n", "own"))
-        sketch, bands = lists_of("sketch").view(np.uint64), lists_of("bands")
-        bands = bands[:, : int(np.flatnonzero(bands[0] == column("key")[0])[0])]  # those before this bucket's
-        if group.column("kind")[0].as_py() == "main":
-            left = np.flatnonzero(column("in_rest"))
-            right = np.flatnonzero(~column("in_rest"))
-        else:
-            left, right = np.flatnonzero(own == column("i")), np.flatnonzero(own == column("j"))
+        node, now = (column(group, c) for c in ("node", "now"))
         pairs, more = [], False
-        for x in left.tolist():
-            y = right[comp[right] != comp[x]]
-            bits = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64)
-            small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-            near = np.flatnonzero((bits <= most) & (100 * small >= percent * large))
-            near = near[~(bands[y[near]] == bands[x]).any(axis=1)]
-            near = near[np.lexsort((node[y[near]], bits[near]))]
-            apart = now[y[near]] != now[x]
-            some = y[near[low:high][apart[low:high]]]
+        for x, near in near_in_block(group, percent):
+            apart = now[near] != now[x]
+            some = near[low:high][apart[low:high]]
             more |= bool(apart[high:].any())
             pairs.append(np.column_stack((np.maximum(node[x], node[some]), np.minimum(node[x], node[some]))))
         made = np.concatenate(pairs or [np.zeros((0, 2), np.int64)])
@@ -391,21 +390,76 @@ def block_pairs(percent: int, turn: int):
     return compare
 
 
+def column(group: pa.Table, name: str) -> np.ndarray:
+    return group.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def near_in_block(group: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each left row of a block's task and the right rows of other components it may be linked with, the closest first."""
+    most = most_bits(percent)
+    lists_of = lambda name: group.column(name).combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
+    node, comp, n, own = (column(group, c) for c in ("node", "comp", "n", "own"))
+    sketch, bands = lists_of("sketch").view(np.uint64), lists_of("bands")
+    bands = bands[:, : int(np.flatnonzero(bands[0] == column(group, "key")[0])[0])]  # those before this bucket's
+    if group.column("kind")[0].as_py() == "main":
+        left = np.flatnonzero(column(group, "in_rest"))
+        right = np.flatnonzero(~column(group, "in_rest"))
+    else:
+        left, right = np.flatnonzero(own == column(group, "i")), np.flatnonzero(own == column(group, "j"))
+    for x in left.tolist():
+        y = right[comp[right] != comp[x]]
+        bits = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+        small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        near = np.flatnonzero((bits <= most) & (100 * small >= percent * large))
+        near = near[~(bands[y[near]] == bands[x]).any(axis=1)]
+        yield x, y[near[np.lexsort((node[y[near]], bits[near]))]]
+
+
+def block_asked(percent: int):
+    """The rows of one task that may have a link there."""
+
+    def ask(group: pa.Table) -> pa.Table:
+        asked = np.zeros(group.num_rows, bool)
+        for x, near in near_in_block(group, percent):
+            asked[near] = True
+            asked[x] |= bool(len(near))
+        return group.filter(pa.array(asked))
+
+    return ask
+
+
+def block_links(shingle: int, percent: int):
+    """Links (a, b) that connect the components of one task's rows as far as whole sets do."""
+
+    def link(group: pa.Table) -> pa.Table:
+        names, comp = column(group, "node"), column(group, "comp")
+        place = {x: k for k, x in enumerate(names.tolist())}
+        texts = group.select(["text"]).combine_chunks().to_batches()
+        sets = [x for run in slices(iter(texts), "text") for x in shingle_sets(run.column("text"), shingle)]
+        group, now = group.drop_columns(["text"]), comp.copy()
+        links, turn, more = [], 0, True
+        while more:
+            pairs = block_pairs(percent, turn)(group.append_column("now", pa.array(now)))
+            for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+                x, y = place[a], place[b]
+                if now[x] != now[y] and alike(sets[x], sets[y], percent):
+                    links.append((a, b))
+                    now[now == now[y]] = now[x]
+            more, turn = any(pairs.column("more").to_pylist()), turn + 1
+        made = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table([pa.array(made[:, 0]), pa.array(made[:, 1])], names=["a", "b"])
+
+    return link
+
+
 def crowd_settled(members: DataFrame, nodes: DataFrame, texts: DataFrame, forest: DataFrame, folder: str, shingle: int, percent: int, crowd: int, block: int) -> DataFrame:
     """The forest after whatever crowded buckets hold in different components has been compared."""
-    rows = stored(crowds(members, nodes, forest, crowd, block), f"{folder}/rows")
-    turn = 0
-    while True:
-        tasks = rooted(rows, forest, "node", "now").groupBy("key", "kind", "i", "j")
-        found = tasks.applyInArrow(block_pairs(percent, turn), "a long, b long, more boolean")
-        found = found.groupBy("a", "b").agg(F.max("more").alias("more"))
-        pairs = stored(found, f"{folder}/pairs-{turn}")
-        if pairs.isEmpty():
-            return forest
-        forest = settled(pairs, texts, forest, f"{folder}/{turn}", shingle, percent)
-        if pairs.where("more").isEmpty():
-            return forest
-        turn += 1
+    task = ["key", "kind", "i", "j"]
+    rows = crowds(members, nodes, forest, crowd, block)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    asked = stored(rows.groupBy(*task).applyInArrow(block_asked(percent), kinds), f"{folder}/asked")
+    found = asked.join(texts, "node").groupBy(*task).applyInArrow(block_links(shingle, percent), "a long, b long")
+    return connected(rooted(rooted(found, forest, "a", "root_a"), forest, "b", "root_b"), forest, folder)
 
 
 def similar_sets(prints: DataFrame, docs: DataFrame, folder: str, shingle: int, percent: int, crowd: int, block: int) -> DataFrame:

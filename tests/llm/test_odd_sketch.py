@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,51 @@ def test_crowds_lose_no_link(spark, documents, monkeypatch, crowd, block, pivots
     assert found(odd.near_duplicates(frame, crowd=crowd, block=block)) == plainly(rows)
 
 
+@pytest.mark.parametrize("long", [1 << 20, 2_000])
+def test_a_crowd_just_below_the_similarity_gives_no_candidates(spark, documents, monkeypatch, long):
+    monkeypatch.setattr(odd, "BLOCK_SHINGLES", long)
+    rng, base, made = random.Random(5), [f"c{k}" for k in range(200)], {}
+    texts = []
+    for k in range(160):  # any two have about 171 of 227 shingles in common, but for one and its copy
+        words = list(base)
+        for place in rng.sample(range(1, 199, 2), 7):
+            words[place] = f"x{rng.randrange(10**6)}"
+        texts += [" ".join(words)] + [" ".join([*words, "more"])] * (k % 40 == 0)
+    rows = list(enumerate(texts))
+    plain = odd.stored
+
+    def counted(frame, address):
+        out = plain(frame, address)
+        if "/crowds/" in address:
+            made[address.rsplit("/", 1)[1]] = out.count()
+        return out
+
+    monkeypatch.setattr(odd, "stored", counted)
+    assert found(odd.near_duplicates(documents([(i, t, None) for i, t in rows]).repartition(4))) == plainly(rows)
+    keys = odd.band_keys(odd.minima(odd.shingle_sets(pa.array(texts), 2))).ravel().tolist()
+    held = Counter(n for n in Counter(keys).values() if n > odd.CROWD)
+    assert made["asked"] > 0
+    if long > 2_000:  # one block: no more rows than there are places in crowded buckets
+        assert sum(made.values()) <= sum(n * k for n, k in held.items())
+
+
+def test_blocks_give_links_only():
+    base = [f"c{k}" for k in range(200)]
+    texts = [" ".join(base), " ".join([*base, "x"]), " ".join(base[:150])]
+    sets = odd.shingle_sets(pa.array(texts), 2)
+    least = odd.minima(sets)
+    group = pa.table(
+        {
+            "key": odd.band_keys(least)[0, :1].repeat(3), "kind": ["rest"] * 3, "i": [0] * 3, "j": [0] * 3, "own": [0] * 3, "in_rest": [True] * 3,
+            "n": [len(x) for x in sets], "node": [10, 11, 12], "comp": [10, 11, 12], "sketch": odd.odd_sketches(least).tolist(),
+            "bands": odd.band_keys(least)[[0, 0, 0]].tolist(), "text": texts,
+        }
+    )
+    assert odd.block_asked(80)(group.drop_columns(["text"])).column("node").to_pylist() == [10, 11]
+    assert odd.block_links(2, 80)(group).to_pylist() == [{"a": 11, "b": 10}]
+    assert odd.block_links(2, 100)(group).num_rows == 0
+
+
 def test_other_shingles_and_similarity(spark, documents):
     rng = random.Random(8)
     rows = list(enumerate(variants(rng, 80, 60, 1)))
