@@ -10,8 +10,8 @@ reserve in each shared number for words never seen, chances sum to one. A docume
 is the sum of the log-probabilities of all its words.
 
 Words are split and coded once, in runs of documents, each with the list of its own words.
-Those lists are counted; of the rare words, the counts over one go back to the runs that
-hold them. Training and scoring then read written numbers.
+Those lists are counted; counts over one, and the numbers of frequent words, go back to the
+runs that hold them, which hold no words by then but places and the words' shared numbers. Training and scoring then read written numbers.
 
 Training reads every document once: each task runs AdaGrad over its own documents from
 the same start, and the tasks' weights are averaged by words seen. That happens in
@@ -95,30 +95,36 @@ def coded(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return list(places), codes[codes >= 0], np.bincount(text, minlength=len(texts))
 
 
-CODED = "run long, doc_id long, codes binary, words array<binary>, counts array<long>"
+def code(rows: Iterator[pa.RecordBatch], narrow: bool = False) -> Iterator[pa.RecordBatch]:
+    """For each run of documents a row for each document and one with the run's words and their counts.
 
-
-def code(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each run of documents a row for each document and one with the run's words and their counts."""
-    schema = pa.schema(
-        [("run", pa.int64()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))]
-    )
+    narrow: places in 16 bits where they are enough, and for each word its shared number (`ends`).
+    """
+    words_type, counts_type = pa.list_(pa.binary()), pa.list_(pa.int64())
     for run in batches(rows):
         words, codes, sizes = coded([text for _, text in run])
-        ends = np.cumsum(sizes)
-        parts = [codes[a:b].astype("<i4").tobytes() for a, b in zip(ends - sizes, ends, strict=True)]
+        stops = np.cumsum(sizes)
+        held = codes.astype(width(len(words)) if narrow else "<i4")
+        parts = [held[a:b].tobytes() for a, b in zip(stops - sizes, stops, strict=True)]
         name, n = uuid.uuid4().int >> 65, len(run)
         counts = np.bincount(codes, minlength=len(words))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([name] * (n + 1), pa.int64()),
-                pa.array([doc_id for doc_id, _ in run] + [None], pa.int64()),
-                pa.array([*parts, None], pa.binary()),
-                pa.array([None] * n + [words], schema.field("words").type),
-                pa.array([None] * n + [counts], schema.field("counts").type),
-            ],
-            schema=schema,
-        )
+        made = {
+            "run": pa.array([name] * (n + 1), pa.int64()),
+            "doc_id": pa.array([doc_id for doc_id, _ in run] + [None], pa.int64()),
+            "codes": pa.array([*parts, None], pa.binary()),
+            "words": pa.array([None] * n + [words], words_type),
+            "counts": pa.array([None] * n + [counts], counts_type),
+        }
+        if narrow:
+            made["ends"] = pa.array([None] * n + [bytes([zlib.crc32(x[-3:]) % SHARED for x in words])], pa.binary())
+        yield pa.RecordBatch.from_pydict(made)
+
+
+NARROW = "run long, doc_id long, codes binary, words array<binary>, counts array<long>, ends binary"
+
+
+def width(words: int) -> str:
+    return "<u2" if words <= 1 << 16 else "<i4"
 
 
 def word_counts(runs: DataFrame) -> DataFrame:
@@ -152,19 +158,26 @@ def number_totals(counts: DataFrame, numbers: dict[bytes, int]) -> np.ndarray:
 def log_shares(words: list[bytes], counts: np.ndarray, numbers: dict[bytes, int], totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words' numbers, and the logs of their shares of them; a word with a number of its own has all of it."""
     number = np.array([number_of(w, numbers) for w in words], np.int64)
-    return number, np.where(number < WORDS - SHARED, 0.0, np.log(counts) - np.log(np.maximum(totals[number], 1)))
+    return number, shares(counts, number, totals)
+
+
+def shares(counts: np.ndarray, number: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    return np.where(number < WORDS - SHARED, 0.0, np.log(counts) - np.log(np.maximum(totals[number], 1)))
 
 
 def numberer(sent):
     def number(rows: pa.Table, known: pa.Table) -> pa.Table:
         """The documents of a run with the numbers of their words, and the sum of the words' log shares."""
-        numbers, totals = sent.value
-        words = next(x for x in rows.column("words").to_pylist() if x is not None)
-        counts = np.ones(len(words))
-        counts[known.column("place").to_numpy()] = known.column("total").to_numpy()
-        number, log_share = log_shares(words, counts, numbers, totals)
+        totals = sent.value
+        ends = np.frombuffer(next(x for x in rows.column("ends").to_pylist() if x is not None), np.uint8)
+        place, told = (known.column(c).to_numpy() for c in ("place", "told"))
+        counts, number = np.ones(len(ends)), WORDS - SHARED + ends.astype(np.int64)
+        own = told < 0
+        counts[place[~own]] = told[~own]
+        number[place[own]] = -told[own]
+        log_share = shares(counts, number, totals)
         docs = rows.filter(pc.is_valid(rows.column("codes")))
-        codes = [np.frombuffer(x, "<i4") for x in docs.column("codes").to_pylist()]
+        codes = [np.frombuffer(x, width(len(ends))) for x in docs.column("codes").to_pylist()]
         short = number.astype("<i2")
         return pa.table(
             {
@@ -190,15 +203,18 @@ def numbered(docs: DataFrame, folder: str) -> DataFrame:
     """doc_id, the numbers of all words (16-bit integers) and log_share of every document, written."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    runs = packed(rows.mapInArrow(code, CODED), f"{folder}/runs")
+    runs = packed(rows.mapInArrow(partial(code, narrow=True), NARROW), f"{folder}/runs")
     counts = packed(word_counts(runs), f"{folder}/counts")
     numbers = vocabulary(counts)
-    sent = spark.sparkContext.broadcast((numbers, number_totals(counts, numbers)))
-    own = spark.createDataFrame([(w,) for w in numbers], "word binary")  # under WORDS rows
-    rare = counts.where("total > 1").join(F.broadcast(own), "word", "left_anti")
+    sent = spark.sparkContext.broadcast(number_totals(counts, numbers))
+    own = spark.createDataFrame(list(numbers.items()), "word binary, own int")  # under WORDS rows
+    # one number for each word: its count, or less than zero the number it has of its own; a word
+    # that is there once has the count and the number that a run gives it itself
+    told = F.when(F.col("own").isNotNull(), -F.col("own")).otherwise(F.col("total")).alias("told")
+    often = counts.join(F.broadcast(own), "word", "left").where("total > 1 OR own IS NOT NULL").select("word", told)
     places = runs.where("words IS NOT NULL").select(F.col("run").alias("own_run"), F.posexplode("words").alias("place", "word"))
-    known = places.join(rare, "word").select("own_run", "place", "total")
-    parts = runs.select("run", "doc_id", "codes", "words")
+    known = places.join(often, "word").select("own_run", "place", "told")
+    parts = runs.select("run", "doc_id", "codes", "ends")
     made = parts.groupBy("run").cogroup(known.groupBy("own_run")).applyInArrow(numberer(sent), NUMBERED)
     return packed(made, f"{folder}/numbered")
 
@@ -228,16 +244,15 @@ def written(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndar
         yield ids, words, log_shares
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    """In place, over rows."""
+def exponentials(x: np.ndarray) -> np.ndarray:
+    """In place, over rows; gives their sums, by which they are chances."""
     x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+    return x.sum(axis=1, keepdims=True)
 
 
 def seen_by(weights: Weights, padded: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Context words, their vectors, the hidden layer, and the two softmax layers (side by side) for the words at the places."""
+    """Context words, their vectors, the hidden layer, two layers of exponentials (side by side) and the sums of each, for the words at the places."""
     offsets = [k for k in range(-SIDES, SIDES + 1) if k]
     context = np.stack([padded[places + k] for k in offsets], axis=1)
     given = weights["words"][context].reshape(len(places), -1)
@@ -247,9 +262,7 @@ def seen_by(weights: Weights, padded: np.ndarray, places: np.ndarray) -> tuple[n
     out = hidden @ both_layers(weights)
     out[:, :SIDE] += weights["class_bias"]
     out[:, SIDE:] += weights["within_bias"][padded[places] // SIDE]
-    softmax(out[:, :SIDE])
-    softmax(out[:, SIDE:])
-    return context, given, hidden, out
+    return context, given, hidden, out, exponentials(out[:, :SIDE]), exponentials(out[:, SIDE:])
 
 
 def both_layers(weights: Weights) -> np.ndarray:
@@ -260,9 +273,10 @@ def log_chances(weights: Weights, padded: np.ndarray, places: np.ndarray) -> np.
     out = np.empty(len(places))
     for at in range(0, len(places), SCORED):
         part = places[at : at + SCORED]
-        chances = seen_by(weights, padded, part)[-1]
+        *_, powers, classes, within = seen_by(weights, padded, part)
         word, row = padded[part], np.arange(len(part))
-        out[at : at + SCORED] = np.log(np.maximum(chances[row, word // SIDE] * chances[row, SIDE + word % SIDE], 1e-30))
+        chances = powers[row, word // SIDE] / classes[:, 0] * (powers[row, SIDE + word % SIDE] / within[:, 0])
+        out[at : at + SCORED] = np.log(np.maximum(chances, 1e-30))
     return out
 
 
@@ -277,7 +291,9 @@ def summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 
 def gradient(weights: Weights, padded: np.ndarray, places: np.ndarray) -> Weights:
-    context, given, hidden, out = seen_by(weights, padded, places)
+    context, given, hidden, out, classes, within = seen_by(weights, padded, places)
+    out[:, :SIDE] /= classes
+    out[:, SIDE:] /= within
     word, row = padded[places], np.arange(len(places))
     out[row, word // SIDE] -= 1
     out[row, SIDE + word % SIDE] -= 1

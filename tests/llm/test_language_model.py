@@ -180,3 +180,15 @@ def test_nulls_repeats_and_empty_tables(odd, none):
     assert (rows[2].n_words, rows[2].log_likelihood, rows[2].mean_log_likelihood) == (0, 0.0, None)
     assert rows[4].n_words == 80_000 and rows[None].n_words > 0
     assert lm.score(none).count() == 0
+
+
+def test_narrow_runs_hold_the_same_words_in_half_the_bytes(spark, corpus):
+    frame = spark.createDataFrame(corpus[:60], "doc_id long, text string").coalesce(1)
+    batch = frame.toArrow().combine_chunks().to_batches()
+    for wide, narrow in zip(lm.code(iter(batch)), lm.code(iter(batch), narrow=True), strict=True):
+        assert wide.column("words") == narrow.column("words") and wide.column("counts") == narrow.column("counts")
+        for x, y in zip(wide.column("codes").to_pylist()[:-1], narrow.column("codes").to_pylist()[:-1], strict=True):
+            assert 2 * len(y) == len(x) and (np.frombuffer(x, "<i4") == np.frombuffer(y, "<u2")).all()
+        ends = narrow.column("ends")[-1].as_py()
+        assert [lm.WORDS - lm.SHARED + k for k in ends] == [lm.number_of(w, {}) for w in narrow.column("words")[-1].as_py()]
+    assert lm.width(1 << 16) == "<u2" and lm.width((1 << 16) + 1) == "<i4"
