@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyarrow import fs as stores
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +36,8 @@ def stored(frame: DataFrame, address: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release() -> None:
+    """Gives back Arrow memory that a worker process holds without using it."""
+    pa.default_memory_pool().release_unused()

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paceline.llm.common import table
+from paceline.llm.common import release, table
 
 FOLDS = 5
 SAMPLE = 300
@@ -324,6 +324,11 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and len(words_of(text)[1]) > 0
 
 
+def as_text(column: pa.Array) -> pa.Array:
+    kind = column.type
+    return column if pa.types.is_string(kind) or pa.types.is_large_string(kind) else column.cast(pa.string())
+
+
 def corrected(field: Field | None, label: str | None, found: tuple[str, float]) -> str | None:
     """The language of a text from its label and what labelled() says of it."""
     name, score = found
@@ -339,27 +344,28 @@ def worded(docs: DataFrame, field: Field | None, lang: str = "lang") -> DataFram
     The predicted one stands where `lang` is null, and where the text is in another language
     than that with a score of at least SURE, if KNOWN documents or more of the labelled one
     were learned. All other labels stay; if nothing was learned, null ones too. Decided row
-    by row where the rows are: nothing is shuffled.
+    by row where the rows are: nothing is shuffled, and each text is sent to Python once.
     """
     sent = docs.sparkSession.sparkContext.broadcast(field)
-    columns, at = docs.columns, docs.columns.index(lang)
+    docs = docs.withColumn(lang, F.col(lang).cast("string"))
+    columns, at, text = docs.columns, docs.columns.index(lang), docs.columns.index("text")
 
     def keep(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Field | None = sent.value
         for batch in rows:
-            held = batch.column("row").flatten()
-            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+            held = batch.columns
+            texts = as_text(held[text])
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             for a, b in runs_of(sizes):
-                some, out = batch.column("text").slice(a, b - a).to_pylist(), held[at].slice(a, b - a).to_pylist()
+                some, out = texts.slice(a, b - a).to_pylist(), held[at].slice(a, b - a).to_pylist()
                 out = [corrected(known, *x) for x in zip(out, labelled(known, some), strict=True)]
-                kept = pa.array([k for k, text in enumerate(some) if has_letter(text)], pa.int64())
+                kept = pa.array([k for k, x in enumerate(some) if has_letter(x)], pa.int64())
                 made = [x.slice(a, b - a) for x in held]
                 made[at] = pa.array(out, made[at].type)
                 yield pa.RecordBatch.from_arrays([x.take(kept) for x in made], names=columns)
+        release()
 
-    docs = docs.withColumn(lang, F.col(lang).cast("string"))
-    rows = docs.select(F.struct(*columns).alias("row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

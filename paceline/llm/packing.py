@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from paceline.llm.binary_records import batches
 from paceline.llm.bins import Packing, complete
-from paceline.llm.common import partitions, shared_folder, stored, table
+from paceline.llm.common import partitions, release, shared_folder, stored, table
 from paceline.llm.language_id import UNDETERMINED
-from paceline.llm.tokens import BYTE_BPE, encoder
+from paceline.llm.tokens import BYTE_BPE, encoder, forget
 
 CAPACITY = 2048
 END_ID = 0
@@ -35,7 +35,7 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 KINDS = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 
 
-def cutter(tokenizer: str, capacity: int, end_id: int, with_ids: bool, with_lang: bool):
+def cutter(tokenizer: str, capacity: int, end_id: int, with_ids: bool, with_lang: bool, remember: bool = True):
     schema = pa.schema(KINDS + [("ids", pa.binary())] * with_ids + [("lang", pa.string())] * with_lang)
     end = end_id.to_bytes(4, "little")
 
@@ -53,20 +53,31 @@ def cutter(tokenizer: str, capacity: int, end_id: int, with_ids: bool, with_lang
                         column.append(value)
                     start, stop = stop, stop + 4 * capacity
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+        if not remember:
+            forget()
+            release()
 
     return cut
 
 
 def cut_documents(
-    docs: DataFrame, tokenizer: str = BYTE_BPE, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, with_lang: bool = False
+    docs: DataFrame,
+    tokenizer: str = BYTE_BPE,
+    capacity: int = CAPACITY,
+    end_id: int = END_ID,
+    with_ids: bool = False,
+    with_lang: bool = False,
+    remember: bool = True,
 ) -> DataFrame:
     """Pieces of at most `capacity` tokens; of a longer document only the first may be shorter.
 
     with_ids adds `ids`: the piece's ids as little-endian 32-bit integers. with_lang adds the
-    document's `lang`.
+    document's `lang`. Without `remember` no worker holds the tokenizer and the words it has met
+    beyond a task, which leaves their memory to the other stages of a job.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col("lang").cast("string")] * with_lang)
-    return rows.mapInArrow(cutter(tokenizer, capacity, end_id, with_ids, with_lang), PIECE + ", ids binary" * with_ids + ", lang string" * with_lang)
+    cut = cutter(tokenizer, capacity, end_id, with_ids, with_lang, remember)
+    return rows.mapInArrow(cut, PIECE + ", ids binary" * with_ids + ", lang string" * with_lang)
 
 
 def places(packing: Packing) -> list[tuple]:
@@ -162,7 +173,7 @@ def pack_documents(docs: DataFrame) -> DataFrame:
 def pack_languages(docs: DataFrame) -> DataFrame:
     """pack_documents() with each sequence in one language, which is added: `lang`."""
     folder = shared_folder(docs.sparkSession, "pieces")
-    pieces = stored(cut_documents(docs, with_lang=True), f"{folder}/pieces")
+    pieces = stored(cut_documents(docs, with_lang=True, remember=False), f"{folder}/pieces")
     columns = [name for name, _ in KINDS]
     return pack_apart(pieces, folder).select(*columns, "sequence_id", "offset", "lang")
 

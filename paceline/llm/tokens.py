@@ -129,3 +129,8 @@ class Encoder:
 def encoder(name: str) -> Encoder:
     """One encoder for each worker process and file (a name of the public set, or a path)."""
     return Encoder(name if os.path.isabs(name) else public_tokenizers.path(name))
+
+
+def forget() -> None:
+    """Lets go of this worker process's encoders and the words they remember."""
+    encoder.cache_clear()

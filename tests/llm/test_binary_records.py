@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -88,3 +89,15 @@ def test_empty_table(spark, none):
     address = shared_folder(spark, "test")
     files = records.write_records(none, address)
     assert files == [] and records.read_records(spark, address, files).count() == 0
+
+
+def test_runs_are_the_same_however_a_batch_is_sliced(monkeypatch):
+    rows = [(k, "x" * (k % 7) if k % 5 else None, k % 3) for k in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["doc_id", "text", "other"])
+    monkeypatch.setattr(records, "BATCH_CHARS", 20)
+    made = []
+    for n in (3, 1000):
+        monkeypatch.setattr(records, "SLICE_ROWS", n)
+        made.append(list(records.batches(iter([batch, batch.slice(0, 0), batch]), 3)))
+    assert made[0] == made[1] and [r for run in made[0] for r in run] == [(k, t or "", o) for k, t, o in rows] * 2
+    assert all(20 <= sum(len(t) for _, t, _ in run) < 27 for run in made[0][:-1])

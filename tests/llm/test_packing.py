@@ -6,7 +6,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -134,3 +136,16 @@ def test_sequences_hold_their_pieces_ids(odd):
     made = packing.sequences(packed)
     assert made.where(F.length("ids") != 4 * F.col("length")).count() == 0
     assert made.agg(F.sum("length")).first() == packed.agg(F.sum("length")).first()
+
+
+def test_a_worker_forgets_its_words_where_asked():
+    rows = [(1, "Some words, and more words.", "en"), (2, None, "de"), (None, "", None), (4, "end", "en")]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["doc_id", "text", "lang"])
+    encoder.cache_clear()
+    made = {}
+    for remember in (True, False):
+        cut = packing.cutter(BYTE_BPE, 4, 0, False, True, remember)
+        made[remember] = [r for part in cut(iter([batch, batch])) for r in part.to_pylist()]
+        assert encoder.cache_info().currsize == remember
+    assert made[True] == made[False]
+    check([(1, rows[0][1]), (2, None), (None, ""), (4, "end")] * 2, [Row(**r, sequence_id=k, offset=0) for k, r in enumerate(made[True])], 4)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 import zlib
 
 import pytest
@@ -160,3 +161,10 @@ def test_empty_documents(spark, none):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, MIDDLE)
         assert docs.count() == 0
+
+
+def test_language_id_sends_each_text_to_python_once(spark, documents):
+    docs = documents([(1, "A text of some words.", "en"), (2, "Ein Text aus Wörtern.", "de")])
+    plan = corpus_pipeline.language_id(spark, docs, MIDDLE)._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "MapInArrow"
+    assert re.findall(r"(\w+)#", plan.children().head().output().mkString(",")) == docs.columns
