@@ -35,14 +35,14 @@ BATCH_CHARS = 4_000_000
 SLICE_ROWS = 500
 
 
-def batches(rows: Iterator[pa.RecordBatch], columns: int = 2) -> Iterator[list[tuple]]:
-    """(doc_id, text) rows, and further columns, in runs of at most BATCH_CHARS characters, or one row."""
-    run, held = [], 0
+def batches(rows: Iterator[pa.RecordBatch], columns: int = 2, chars: int | None = None) -> Iterator[list[tuple]]:
+    """(doc_id, text) rows, and further columns, in runs of at most `chars` (BATCH_CHARS) characters, or one row."""
+    run, held, most = [], 0, chars or BATCH_CHARS
     for part in (batch.slice(at, SLICE_ROWS) for batch in rows for at in range(0, batch.num_rows, SLICE_ROWS)):
         for row in zip(*(part.column(k).to_pylist() for k in range(columns)), strict=True):
             run.append((row[0], row[1] or "", *row[2:]))
             held += len(run[-1][1])
-            if held >= BATCH_CHARS:
+            if held >= most:
                 yield run
                 run, held = [], 0
     if run:

@@ -30,6 +30,9 @@ from paceline.llm.tokens import BYTE_BPE, encoder, forget
 
 CAPACITY = 2048
 END_ID = 0
+#: Words and characters that a worker holds at once where it leaves memory to other stages.
+FEW_WORDS = 50_000
+FEW_CHARS = 500_000
 SLOT = "length long, low long, high long, each long, sequence long, at long"
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 KINDS = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -40,8 +43,8 @@ def cutter(tokenizer: str, capacity: int, end_id: int, with_ids: bool, with_lang
     end = end_id.to_bytes(4, "little")
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer)
-        for run in batches(rows, 2 + with_lang):
+        coder = encoder(tokenizer) if remember else encoder(tokenizer, FEW_WORDS)
+        for run in batches(rows, 2 + with_lang, None if remember else FEW_CHARS):
             out: list[list] = [[] for _ in schema]
             for (doc_id, _, *lang), ids in zip(run, coder.encode([text for _, text, *_ in run]), strict=True):
                 ids += end
@@ -72,8 +75,8 @@ def cut_documents(
     """Pieces of at most `capacity` tokens; of a longer document only the first may be shorter.
 
     with_ids adds `ids`: the piece's ids as little-endian 32-bit integers. with_lang adds the
-    document's `lang`. Without `remember` no worker holds the tokenizer and the words it has met
-    beyond a task, which leaves their memory to the other stages of a job.
+    document's `lang`. Without `remember` a worker holds FEW_WORDS words it has met, and neither
+    them nor the tokenizer beyond a task, which leaves memory to the other stages of a job.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col("lang").cast("string")] * with_lang)
     cut = cutter(tokenizer, capacity, end_id, with_ids, with_lang, remember)

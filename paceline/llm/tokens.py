@@ -43,7 +43,7 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """encode() gives each text's ids as unsigned little-endian 32-bit integers."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, memory_words: int = MEMORY_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -54,6 +54,7 @@ class Encoder:
         self.marks = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True))) or "(?!)")
         self.keeps_spaces = not self.model.end_of_word_suffix
         self.letters = byte_letters()
+        self.memory_words = memory_words
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -96,7 +97,7 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > MEMORY_WORDS:
+        if len(self.words) > self.memory_words:
             self.words.clear()
             self.pieces.clear()
         marked = [i for i, x in enumerate(texts) if self.marks.search(x)]
@@ -126,9 +127,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(name: str) -> Encoder:
+def encoder(name: str, memory_words: int = MEMORY_WORDS) -> Encoder:
     """One encoder for each worker process and file (a name of the public set, or a path)."""
-    return Encoder(name if os.path.isabs(name) else public_tokenizers.path(name))
+    return Encoder(name if os.path.isabs(name) else public_tokenizers.path(name), memory_words)
 
 
 def forget() -> None:
